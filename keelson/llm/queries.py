@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .langid import op4_language_id
 from .simhash import op2_simhash_near_dedup
 from .substring import op5_substring_dedup
+from .tokencount import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op5_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_language_id, op5_substring_dedup, op10_token_counts)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 
