@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import OP3_SQL, op3_chat_format
 from .langid import op4_language_id
 from .simhash import op2_simhash_near_dedup
 from .substring import op5_substring_dedup
 from .tokencount import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_language_id, op5_substring_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op10_token_counts)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "op3_chat_format": OP3_SQL,
     "op5_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s
