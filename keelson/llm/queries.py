@@ -7,8 +7,9 @@ from .langid import op4_language_id
 from .simhash import op2_simhash_near_dedup
 from .substring import op5_substring_dedup
 from .tokencount import op10_token_counts
+from .urllm import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op10_token_counts)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 
