@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_format
 from .langid import op4_language_id
+from .mixing import op7_source_mix
 from .quality import op1_divergence_rules
 from .simhash import op2_simhash_near_dedup
 from .substring import op5_substring_dedup
 from .tokencount import op10_token_counts
 from .urllm import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_source_mix, op10_token_counts)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 
