@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_format
 from .decontam import op9_decontaminate
+from .katz import op8_katz_scores
 from .langid import op4_language_id
 from .mixing import op7_source_mix
 from .quality import op1_divergence_rules
@@ -12,7 +13,7 @@ from .substring import op5_substring_dedup
 from .tokencount import op10_token_counts
 from .urllm import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_source_mix, op9_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_source_mix, op8_katz_scores, op9_decontaminate, op10_token_counts)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 
