@@ -18,7 +18,6 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +103,8 @@ def close_all(mass: np.ndarray, chance: np.ndarray, rng: np.random.Generator) ->
 ROW = "doc_id long, source string, h long, size long, m long, sid int, chance double"
 
 
-def _reduced(key: tuple, rows: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
+def _reduced(key, rows, level, last):
+    """One block of a source: texts with their fraction closed, one of them perhaps still open (none if ``last``)."""
     rows = rows.sort_values(["pick", "h", "doc_id", "size"], na_position="last").reset_index(drop=True)
     rng = np.random.default_rng([SEED, level, *(int(k) for k in key)])
     mass = (rows["size"] * rows["m"]).to_numpy(float)

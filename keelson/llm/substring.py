@@ -257,34 +257,55 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return _runs(met.where("sure").select("doc_id", "at", "n").union(later))
 
 
+def _kept(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words, removed words and what stays of each text of a chunk with its listed runs."""
+    words = split_words(part.column("text"))
+    begin, n = _spans(part, words.first)
+    gone = _covered(begin, begin + n + length - 1, len(words))
+    text, opens, closes = words.spaced()
+    removed = np.bincount(words.doc[gone], minlength=words.n_docs)
+    kept = []
+    for d in range(words.n_docs):
+        a, b = int(words.first[d]), int(words.first[d + 1])
+        if not removed[d]:
+            kept.append(text[opens[a] : closes[b - 1]] if b > a else b"")
+        else:
+            kept.append(b" ".join([text[opens[k] : closes[k]] for k in range(a, b) if not gone[k]]))
+    return words.per_doc, removed, [k.decode() for k in kept]
+
+
 def _strip(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text"):
-        words = split_words(part.column("text"))
-        begin, n = _spans(part, words.first)
-        gone = _covered(begin, begin + n + length - 1, len(words))
-        text, opens, closes = words.spaced()
-        removed = np.bincount(words.doc[gone], minlength=words.n_docs)
-        kept = []
-        for d in range(words.n_docs):
-            a, b = int(words.first[d]), int(words.first[d + 1])
-            if not removed[d]:
-                kept.append(text[opens[a] : closes[b - 1]] if b > a else b"")
-            else:
-                kept.append(b" ".join([text[opens[k] : closes[k]] for k in range(a, b) if not gone[k]]))
-        arrays = [part.column("_id"), pa.array(words.per_doc), pa.array(removed), pa.array([k.decode() for k in kept], pa.string())]
+        n_words, removed, kept = _kept(part, length)
+        arrays = [part.column("_id"), pa.array(n_words), pa.array(removed), pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, ["_id", "n_words", "n_removed", "kept"])
 
 
+def _rewrite(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Texts that lost words are replaced by what stays; texts that lost all go."""
+    for part in chunks(batches, "text"):
+        n_words, removed, kept = _kept(part, length)
+        old = part.column("text").to_pylist()
+        text = pa.array([k if r else t for k, r, t in zip(kept, removed, old, strict=True)], part.schema.field("text").type)
+        columns = {name: part.column(name) for name in part.schema.names if name not in ("runs", "_key")} | {"text": text}
+        yield pa.RecordBatch.from_pydict(columns).filter(pa.array((removed == 0) | (removed < n_words)))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs(_id, text)`` with a ``doc_id`` that tells rows apart and sorts as ``_id`` does."""
-    if docs.groupBy("_id").count().where("_id is null or count > 1").isEmpty():
-        return docs.withColumn("doc_id", F.col("_id")).where("doc_id is not null")
-    in_order = docs.orderBy(F.col("_id").asc_nulls_last(), "text").withColumn("doc_id", F.monotonically_increasing_id())
-    return stored(in_order, "keyed").where("doc_id is not null")
+    """``docs`` with a ``_key`` that tells rows apart and sorts as (doc_id, text) do, null ids last."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long")).where("_key is not null")
+    in_order = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_key", F.monotonically_increasing_id())
+    return stored(in_order, "keyed").where("_key is not null")
+
+
+def _with_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    found = repeated_windows(docs.select(F.col("_key").alias("doc_id"), "text"), length, gram)
+    return docs.join(found.withColumnRenamed("doc_id", "_key"), "_key", "left")
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_removed`` and ``kept`` (the words that stay, one space between).
+    """``(doc_id, n_words, n_removed, kept)`` for every row; ``kept`` is the words that stay, one space between.
 
     A word goes if a window of ``length`` words covers it whose sequence also starts
     earlier: in a smaller doc_id, or earlier in the same text.  Windows are judged on
@@ -294,13 +315,22 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     repeated rows the first keeps its words.  An empty table gives no rows.  Columns
     other than doc_id and text are not read and not returned.
     """
-    base = _keyed(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"))
-    found = repeated_windows(base.select("doc_id", "text"), length, gram)
-    joined = base.join(found, "doc_id", "left").select("_id", "text", "runs")
+    base = _keyed(docs.select("doc_id", "text"))
+    joined = _with_runs(base, length, gram).select(F.col("doc_id").cast("long").alias("_id"), "text", "runs")
     out = joined.mapInArrow(partial(_strip, length=length), "_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("_id", "doc_id")
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with repeated windows cut from ``text``, by the rules of :func:`strip_repeats`; other columns as they were.
+
+    Texts that lose nothing keep their white space; what is left of others has one space
+    between words; rows that lose all their words go.
+    """
+    joined = _with_runs(_keyed(docs), length, gram).select(*docs.columns, "runs")
+    return joined.mapInArrow(partial(_rewrite, length=length), docs.schema)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stay after repeated windows of 20 words are removed."""
     out = strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
