@@ -1 +1 @@
-"""functions."""
+"""Scalar column functions."""

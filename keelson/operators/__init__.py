@@ -1 +1 @@
-"""operators."""
+"""Relational operators: DataFrame in, DataFrame out, key columns as parameters."""

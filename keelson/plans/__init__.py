@@ -1 +1 @@
-"""plans."""
+"""Record builders and the query catalogue."""

@@ -1 +1 @@
-"""sources."""
+"""Readers and writers of dataset files."""
