@@ -7,16 +7,16 @@ shown.  The log-likelihood difference per character decides the rest, against a
 threshold calibrated on the labelled URLs, each scored by models of the other half.
 
 URLs are folded to ``SYMBOLS`` characters, so a model has at most 41^3 = 68,921
-entries whatever the input; that table alone reaches the driver and the tasks.
+entries whatever the input; that table is what the tasks get whole.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = LOWER + "0/.-?&=_%:#~+"
 SIZE = len(SYMBOLS) + 2  # one for other characters (0), one for the beginning
@@ -68,8 +68,8 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return labelled.select("label", "fold", F.explode("_grams").alias("gram")).groupBy("label", "fold", "gram").agg(F.count("*").alias("n"))
 
 
-def ratio_model(grams: DataFrame) -> list[float]:
-    """Log-probability under the allowed minus that under the blocked, for every gram code in order.
+def ratio_model(grams: DataFrame) -> DataFrame:
+    """``(gram, r)``: log-probability under the allowed minus that under the blocked, for every gram code.
 
     A label without URLs has the uniform model.
     """
@@ -95,15 +95,13 @@ def ratio_model(grams: DataFrame) -> list[float]:
     for seen, total, kinds in (("n_c", "n_0", "t_0"), ("n_bc", "n_b", "t_b"), ("n", "n_ab", "t_ab")):
         p = F.when(F.col(total).isNull(), p).otherwise((F.coalesce(seen, F.lit(0)) + F.col(kinds) * p) / (F.col(total) + F.col(kinds)))
     sign = F.when(F.col("label") == "allow", 1.0).otherwise(-1.0)
-    scored = grid.groupBy("gram").agg(F.round(F.sum(sign * F.log(p)), 6).alias("r")).orderBy("gram")
-    return [r["r"] for r in scored.select("r").collect()]
+    return stored(grid.groupBy("gram").agg(F.round(F.sum(sign * F.log(p)), 6).alias("r")), "model")
 
 
-def mean_ratio(model: list[float]) -> Column:
-    """Mean of the model over ``_grams``; null for a URL without characters."""
-    table = F.from_json(F.lit(json.dumps(model)), "array<double>")  # folded to a literal before it runs
-    total = F.aggregate("_grams", F.lit(0.0), lambda acc, g: acc + F.get(table, g))
-    return F.when(F.size("_grams") > 0, total / F.size("_grams"))
+def mean_ratio(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """``(url, score)``: mean of the model over ``_grams`` of each URL that has characters, however often it occurs."""
+    each = urls.select("url", F.explode("_grams").alias("gram")).join(F.broadcast(model), "gram")  # 41^3 rows
+    return each.groupBy("url").agg(F.round(F.avg("r"), 6).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float | None:
@@ -130,16 +128,17 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = with_codes(base.withColumns({"rule": rule, "_label": verdict}))
     fold = F.pmod(F.xxhash64("url"), F.lit(2)).cast("int")
-    labelled = base.where("_label is not null").select(F.col("_label").alias("label"), fold.alias("fold"), "_grams")
-    grams = count_grams(labelled).cache()
-    other = [mean_ratio(ratio_model(grams.where(F.col("fold") == k))) for k in (1, 0)]
-    crossed = labelled.select("label", F.when(F.col("fold") == 0, other[0]).otherwise(other[1]).alias("score"))
-    cut = threshold(crossed)
-    model = ratio_model(grams)
-    grams.unpersist()
-    score = F.round(mean_ratio(model), 6)
+    labelled = base.where("_label is not null").select("url", F.col("_label").alias("label"), fold.alias("fold"), "_grams")
+    grams = stored(count_grams(labelled), "grams")
+    crossed = []
+    for k in (0, 1):
+        scores = mean_ratio(labelled.where(F.col("fold") == k), ratio_model(grams.where(F.col("fold") != k)))
+        crossed.append(labelled.where(F.col("fold") == k).select("url", "label").join(scores, "url").select("label", "score"))
+    cut = threshold(crossed[0].union(crossed[1]))
+    scores = mean_ratio(base.where("url is not null"), ratio_model(grams)).withColumnRenamed("url", "_url")
     judged = F.when(F.col("score").isNull(), "block").when(F.col("score") >= F.lit(cut if cut is not None else float("-inf")), "allow").otherwise("block")
-    return base.withColumn("score", score).withColumn("verdict", F.coalesce("_label", judged)).drop("_label", "_grams")
+    met = base.drop("_grams").join(scores, F.col("url") == F.col("_url"), "left").drop("_url")
+    return met.withColumn("verdict", F.coalesce("_label", judged)).drop("_label")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
