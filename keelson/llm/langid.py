@@ -7,7 +7,7 @@ log-probabilities, weighted by the bytes in each window, are summed for the text
 
 The network is fitted on the driver on a bounded sample of labelled rows:
 ``PER_LANGUAGE`` texts of each of the ``MAX_LANGUAGES`` most frequent languages, of
-each text one passage of ``PASSAGE`` characters, both chosen by a hash of the text.
+each text one passage of ``PASSAGE`` characters, chosen by hashes.
 Everything else reads all rows.
 """
 
@@ -28,6 +28,7 @@ from .textops import chunks, raw_text
 WINDOW = 192
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 10, 8
 PER_LANGUAGE, MAX_LANGUAGES, PASSAGE = 500, 64, 600
+SPARE = 3  # times the rows needed pass the first cut
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 7
 SCORED_AT_ONCE = 384  # windows
 UNKNOWN, PAD = "und", 256
@@ -154,15 +155,22 @@ def train(texts: list[str], labels: list[str]) -> Network | None:
 
 
 def training_sample(labelled: DataFrame) -> tuple[list[str], list[str]]:
-    """The bounded sample of ``labelled(text, lang)`` that :func:`train` gets, in an order of its own."""
+    """The bounded sample of ``labelled(doc_id, text, lang)`` that :func:`train` gets, in an order of its own.
+
+    Of each language the rows with the least hashes; a first cut by the hash leaves a
+    few times as many, so rows of a language that meet for the ranking are few, too.
+    """
     named = labelled.where("text is not null and lang is not null and length(text) > 0")
-    common = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    h = F.xxhash64("text")
-    ranked = named.where(F.col("lang").isin(common)).select("lang", "text", h.alias("h"))
-    part = F.expr(f"substring(text, 1 + pmod(h, greatest(1, length(text) - {PASSAGE})), {PASSAGE})").alias("text")
-    ranked = ranked.select("lang", "h", part)
+    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not common:
+        return [], []
+    h = F.xxhash64("doc_id", "text")
+    share = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], SPARE * PER_LANGUAGE / r["count"])])
+    low = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53) < F.try_element_at(share, F.col("lang"))
+    part = F.expr(f"substring(text, 1 + pmod(xxhash64(text), greatest(1, length(text) - {PASSAGE})), {PASSAGE})")
+    chosen = named.where(low).select("lang", h.alias("h"), part.alias("text"))
     best = Window.partitionBy("lang").orderBy("h", "text")
-    rows = ranked.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PER_LANGUAGE).orderBy("lang", "k").collect()
+    rows = chosen.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PER_LANGUAGE).orderBy("lang", "k").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -209,8 +217,8 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Network | None:
-    """Train on labelled rows of ``docs(text, lang)``."""
-    return train(*training_sample(docs.select("text", "lang")))
+    """Train on labelled rows of ``docs(doc_id, text, lang)``."""
+    return train(*training_sample(docs.select("doc_id", "text", "lang")))
 
 
 def held_out(doc_id: str = "doc_id"):
