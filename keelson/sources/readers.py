@@ -90,7 +90,7 @@ def label_index(categories: DataFrame) -> DataFrame:
 
 def voc(spark: SparkSession, root: str) -> DataFrame:
     """``(path, filename, width, height, objects)`` of every annotation file under ``root``."""
-    raw = spark.read.option("pathGlobFilter", "*.xml").option("recursiveFileLookup", True).option("wholetext", True).text(root)
+    raw = spark.read.text(root, wholetext=True, pathGlobFilter="*.xml", recursiveFileLookup=True)
     parsed = raw.select(F.input_file_name().alias("path"), F.from_xml("value", schemas.VOC, {"rowTag": "annotation"}).alias("a"))
     number: dict[str, Column] = {k: X.truncated_number(F.col(f"a.size.{k}")) for k in ("width", "height")}
     return parsed.select("path", F.trim("a.filename").alias("filename"), number["width"].alias("width"), number["height"].alias("height"), F.col("a.object").alias("objects"))
@@ -110,14 +110,14 @@ def voc_classes(annotations: DataFrame) -> DataFrame:
 
 def distances(spark: SparkSession, path: str) -> DataFrame:
     """``(row_id, distance, nearest_id, true_category, error)`` from a JSON object keyed by row number."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     each = raw.select(F.explode(F.from_json("value", schemas.DISTANCES)).alias("k", "v"))
     return each.select(F.col("k").try_cast("long").alias("row_id"), "v.*")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """``(label_id, name)``: stripped lines numbered from 0 by their place in the file."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lines = raw.select(F.posexplode(F.split(X.stripped(F.col("value")), r"\r?\n")).alias("label_id", "name"))
     return lines.select("label_id", X.stripped(F.col("name")).alias("name"))
 
