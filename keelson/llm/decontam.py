@@ -4,11 +4,16 @@ Every passage of every training text is a query.  Impacts are BM25 weights divid
 the item's own full score, so a score is the share of the item's weight that a passage
 holds, and one threshold serves all items.  Passages are two neighbouring blocks of
 words, each as long as the longest item of a length class, so any item lies within one
-passage.  A passage whose terms cannot reach the threshold together is skipped at once
-(terms of little weight count by the most that they give any item); the others run
-block-max WAND and yield all items above the threshold.  Each hit is then verified by
-its words in order: enough 3-word runs of the item's question and of its answer have
-to stand in the passage.
+passage.
+
+Passages of a chunk are searched together, each by the steps of block-max WAND.  Terms
+of little weight are set aside; they count by the most that they give any item.  The
+sum of the other terms' largest impacts bounds a passage's score; where that reaches the
+threshold, the sums of their largest impacts within each block of ``BLOCK`` postings
+bound the score of the items there; and only in blocks that reach it are items scored in
+full.  No item above the threshold is missed.  Each hit is then verified by its words in
+order: enough 3-word runs of the item's question and of its answer have to stand in the
+passage.
 
 Items are indexed in shards of bounded size, each sent to the tasks with the function;
 a benchmark of several shards costs a pass over the texts for each.
@@ -32,9 +37,10 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.5
 ANSWER_SHARE, RUN = 0.3, 3
 SHARD_BYTES, SHARD_ITEMS = 16 << 20, 50_000
-BLOCK = 32  # postings
+BLOCK = 4  # items
 SHORTEST_CLASS = 64  # words
-LIGHT = 0.2  # what light terms may give an item together
+AT_ONCE = 2_000_000  # block maxima summed together
+LIGHT = 0.1  # what light terms may give an item together
 EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 
@@ -64,86 +70,81 @@ class Index:
     items: list[int]
     words: list[list[bytes]]
     ids: dict[bytes, int] = field(default_factory=dict)
-    postings: list[np.ndarray] = field(default_factory=list)  # by term: positions in items, ascending
-    impacts: list[np.ndarray] = field(default_factory=list)
-    block_max: list[np.ndarray] = field(default_factory=list)
-    block_last: list[np.ndarray] = field(default_factory=list)
-    most: np.ndarray | None = None  # by term
-    heavy: np.ndarray | None = None
-    light_sum: float = 0.0
+    weights: list[dict[int, float]] = field(default_factory=list)  # by item: term -> impact
+    most: np.ndarray | None = None  # by term: its largest impact
+    heavy: np.ndarray | None = None  # by term: not set aside
+    light_sum: float = 0.0  # the most that terms set aside give an item
+    first: np.ndarray | None = None  # by term: where its blocks begin in the next two
+    block: np.ndarray | None = None
+    block_max: np.ndarray | None = None
 
     def build(self, df: dict[bytes, int], n_items: int, mean_length: float) -> Index:
-        by_term: dict[bytes, list[tuple[int, float]]] = {}
-        weights = []
+        postings: dict[bytes, list[tuple[int, float]]] = {}
         for k, words in enumerate(self.words):
             length = K1 * (1 - B + B * len(words) / mean_length)
             w = {t: np.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + length) for t, tf in Counter(words).items()}
             total = sum(w.values())
-            weights.append({t: x / total for t, x in w.items()})
-            for t, x in weights[-1].items():
-                by_term.setdefault(t, []).append((k, x))
-        for t in sorted(by_term):
-            self.ids[t] = len(self.ids)
-            at, x = (np.array(c) for c in zip(*by_term[t], strict=True))
-            self.postings.append(at)
-            self.impacts.append(x)
-            ends = np.append(np.arange(BLOCK, len(at), BLOCK), len(at))
-            self.block_max.append(np.maximum.reduceat(x, np.arange(0, len(at), BLOCK)))
-            self.block_last.append(at[ends - 1])
-        self.most = np.array([x.max() for x in self.impacts])
-        light: dict[int, float] = {}
+            for t, x in w.items():
+                postings.setdefault(t, []).append((k, float(x / total)))
+        self.ids = {t: k for k, t in enumerate(sorted(postings))}
+        self.weights = [{} for _ in self.words]
+        self.most = np.zeros(len(self.ids))
+        self.heavy = np.ones(len(self.ids), bool)
+        first, block, block_max = [0], [], []
+        for t, k in self.ids.items():
+            best: dict[int, float] = {}
+            for item, x in postings[t]:
+                self.weights[item][k] = x
+                best[item // BLOCK] = max(best.get(item // BLOCK, 0.0), x)
+            self.most[k] = max(best.values())
+            block += best
+            block_max += best.values()
+            first.append(len(block))
+        self.first, self.block, self.block_max = np.array(first), np.array(block, np.int64), np.array(block_max)
         given = np.zeros(len(self.words))
-        for t in sorted(self.ids, key=lambda t: (-len(self.postings[self.ids[t]]), t)):
-            k = self.ids[t]
-            after = given.copy()
-            after[self.postings[k]] += self.impacts[k]
-            if after.max() > LIGHT:
+        for t in sorted(self.ids, key=lambda t: (-len(postings[t]), t)):  # the most frequent first
+            at, x = zip(*postings[t], strict=True)
+            given[list(at)] += x
+            if given.max() > LIGHT:
                 break
-            given, light[k] = after, 1.0
-        self.light_sum = float(given.max()) if len(given) else 0.0
-        self.heavy = np.array([k not in light for k in range(len(self.ids))])
+            self.light_sum = float(given.max())
+            self.heavy[self.ids[t]] = False
         return self
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose score over distinct ``terms`` reaches the threshold, by block-max WAND."""
+    def search(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+        """(passage, item, score) of all that reach the threshold, from distinct pairs sorted by passage."""
+        terms_of: dict[int, set[int]] = {}
         out = []
-        lists = [[int(self.postings[t][0]), t, 0] for t in terms]  # current item, term, position
-        while lists:
-            lists.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(lists):
-                bound += self.most[c[1]]
-                if bound >= threshold:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            blocks = [int(np.searchsorted(self.block_last[c[1]], item)) for c in lists[: pivot + 1]]
-            bound = sum(self.block_max[c[1]][b] for c, b in zip(lists, blocks, strict=False) if b < len(self.block_max[c[1]]))
-            if bound >= threshold:
-                if lists[0][0] == item:
-                    score = sum(self.impacts[c[1]][c[2]] for c in lists[: pivot + 1])
+        need = threshold - self.light_sum - 1e-9
+        strong = self.heavy[term]
+        p, t = passage[strong], term[strong]
+        bound = np.bincount(p, weights=self.most[t]) if len(p) else np.zeros(0)
+        open_ = bound[p] >= need if len(p) else np.zeros(0, bool)
+        p, t = p[open_], t[open_]
+        n = self.first[t + 1] - self.first[t]
+        n_blocks = -(-len(self.items) // BLOCK)
+        ends = np.flatnonzero(np.append(p[1:] != p[:-1], True)) + 1 if len(p) else np.zeros(0, np.int64)
+        total = np.cumsum(n)
+        at = 0
+        while at < len(p):  # whole passages, as many as fit
+            done = total[at - 1] if at else 0
+            to = int(ends[np.searchsorted(ends, at, side="right")])  # one at least
+            to = max(to, int(np.append(0, ends)[np.searchsorted(total[ends - 1], done + AT_ONCE, side="right")]))
+            some = slice(at, to)
+            row = np.repeat(np.arange(at, to), n[some])
+            entry = np.arange(len(row)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]) + self.first[t[row]]
+            cell, inverse = np.unique(p[row] * n_blocks + self.block[entry], return_inverse=True)
+            best = np.bincount(inverse, weights=self.block_max[entry])
+            for c in cell[best >= need].tolist():
+                d, b = divmod(c, n_blocks)
+                if d not in terms_of:
+                    low, high = np.searchsorted(passage, (d, d + 1))
+                    terms_of[d] = set(term[low:high].tolist())
+                for item in range(b * BLOCK, min(b * BLOCK + BLOCK, len(self.items))):
+                    score = sum(x for k, x in self.weights[item].items() if k in terms_of[d])
                     if score >= threshold:
-                        out.append((item, float(score)))
-                    to = item + 1
-                else:
-                    to = item
-            else:  # no item can do it before the nearest end of a block, or the next list
-                ends = [int(self.block_last[c[1]][b]) + 1 for c, b in zip(lists, blocks, strict=False) if b < len(self.block_last[c[1]])]
-                to = min(ends + ([lists[pivot + 1][0]] if pivot + 1 < len(lists) else []))
-                to = max(to, item + (to <= item))
-            kept = []
-            for k, c in enumerate(lists):
-                if k <= pivot and c[0] < to:
-                    c[2] += int(np.searchsorted(self.postings[c[1]][c[2] :], to))
-                    if c[2] >= len(self.postings[c[1]]):
-                        continue
-                    c[0] = int(self.postings[c[1]][c[2]])
-                kept.append(c)
-            lists = kept
+                        out.append((d, item, score))
+            at = to
         return out
 
     def verified(self, item: int, passage: list[bytes]) -> tuple[float, float]:
@@ -220,29 +221,22 @@ def find_leaks(part: pa.RecordBatch, indexes: list[Index], threshold: float) ->
         blocks = -(-np.diff(first) // ix.span)
         base = np.concatenate(([0], np.cumsum(blocks)))
         block = base[doc] + place // ix.span
-        hit = np.flatnonzero(code >= 0)
-        hit = hit[ix.heavy[code[hit]]]
-        bound = np.bincount(block[hit], weights=ix.most[code[hit]], minlength=base[-1])
         owner = np.repeat(np.arange(words.n_docs), blocks)
-        after = np.append(bound[1:], 0) * np.append(owner[1:] == owner[:-1], False)
-        for b in np.flatnonzero(bound + after + ix.light_sum >= threshold).tolist():
+        hit = np.flatnonzero(code >= 0)
+        at, term_ids = block[hit], code[hit]
+        starts = np.ones(len(owner), bool)
+        starts[1:] = owner[1:] != owner[:-1]
+        inner = ~starts[at]  # a block also belongs to the passage that begins one before
+        size = len(ix.ids)
+        pairs = np.unique(np.concatenate((at * size + term_ids, (at[inner] - 1) * size + term_ids[inner])))
+        for b, item, score in ix.search(pairs // size, pairs % size, threshold):
             d = int(owner[b])
             low = int(first[d] + (b - base[d]) * ix.span)
             high = int(min(low + 2 * ix.span, first[d + 1]))
-            inside = code[low:high]
-            terms = np.unique(inside[inside >= 0])
-            heavy = terms[ix.heavy[terms]]
-            if ix.most[heavy].sum() + ix.light_sum < threshold:
-                continue
-            hits = ix.search(terms.tolist(), threshold)
-            if not hits:
-                continue
-            passage = [plain[k] for k in index[low:high].tolist()]
-            for item, score in hits:
-                question, answer = ix.verified(item, passage)
-                if question >= OVERLAP and answer >= OVERLAP:
-                    key = (d, ix.items[item])
-                    found[key] = max(found.get(key, (0.0, 0.0, 0.0, 0)), (score, question, answer, low - int(first[d])))
+            question, answer = ix.verified(item, [plain[k] for k in index[low:high].tolist()])
+            if question >= OVERLAP and answer >= OVERLAP:
+                key = (d, ix.items[item])
+                found[key] = max(found.get(key, (0.0, 0.0, 0.0, 0)), (score, question, answer, low - int(first[d])))
     return found
 
 
