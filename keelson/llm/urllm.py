@@ -58,9 +58,10 @@ def with_codes(pages: DataFrame) -> DataFrame:
     folded = F.translate(text, UPPER + "123456789", LOWER + "0" * 9)
     letters = F.filter(F.split(folded, ""), lambda c: c != "")
     codes = F.transform(letters, lambda c: F.instr(F.lit(SYMBOLS), c))
-    padded = pages.withColumn("_codes", F.concat(F.array(F.lit(BEGIN), F.lit(BEGIN)), codes))
-    code = lambda c, i: F.get("_codes", i) * (SIZE * SIZE) + F.get("_codes", i + 1) * SIZE + c
-    return padded.withColumn("_grams", F.transform(F.slice("_codes", 3, F.size("_codes")), code)).drop("_codes")
+    padded = F.concat(F.array(F.lit(BEGIN), F.lit(BEGIN)), codes)
+    size = F.size(codes)  # as many grams as characters
+    pairs = F.zip_with(F.slice(padded, 1, size), F.slice(padded, 2, size), lambda a, b: a * SIZE + b)
+    return pages.withColumn("_grams", F.zip_with(pairs, codes, lambda ab, c: ab * SIZE + c))
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
