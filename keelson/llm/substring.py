@@ -198,9 +198,8 @@ def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _spans(part: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spans(listed: pa.ListArray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and length of the listed runs of windows, as word positions in the chunk."""
-    listed = part.column("runs")
     counts = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
     packed = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return (packed >> 16) + np.repeat(first[:-1], counts), packed & 0xFFFF
@@ -211,7 +210,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
     for part in chunks(batches, "text"):
         words = split_words(part.column("text"))
         w = Windows(words, length, gram)
-        begin, n = _spans(part, words.first)
+        begin, n = _spans(part.column("runs"), words.first)
         wanted = _covered(begin, begin + n, len(words))
         which = np.flatnonzero(wanted[w.start])
         if len(which):
@@ -257,10 +256,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return _runs(met.where("sure").select("doc_id", "at", "n").union(later))
 
 
-def _kept(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _kept(part: pa.RecordBatch, runs: str, length: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words, removed words and what stays of each text of a chunk with its listed runs."""
     words = split_words(part.column("text"))
-    begin, n = _spans(part, words.first)
+    begin, n = _spans(part.column(runs), words.first)
     gone = _covered(begin, begin + n + length - 1, len(words))
     text, opens, closes = words.spaced()
     removed = np.bincount(words.doc[gone], minlength=words.n_docs)
@@ -276,32 +275,42 @@ def _kept(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, li
 
 def _strip(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text"):
-        n_words, removed, kept = _kept(part, length)
+        n_words, removed, kept = _kept(part, "_runs", length)
         arrays = [part.column("_id"), pa.array(n_words), pa.array(removed), pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, ["_id", "n_words", "n_removed", "kept"])
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], runs: str, length: int) -> Iterator[pa.RecordBatch]:
     """Texts that lost words are replaced by what stays; texts that lost all go."""
     for part in chunks(batches, "text"):
-        n_words, removed, kept = _kept(part, length)
+        n_words, removed, kept = _kept(part, runs, length)
         old = part.column("text").to_pylist()
         text = pa.array([k if r else t for k, r, t in zip(kept, removed, old, strict=True)], part.schema.field("text").type)
-        columns = {name: part.column(name) for name in part.schema.names if name not in ("runs", "_key")} | {"text": text}
+        columns = {name: part.column(name) for name in part.schema.names if name != runs} | {"text": text}
         yield pa.RecordBatch.from_pydict(columns).filter(pa.array((removed == 0) | (removed < n_words)))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``_key`` that tells rows apart and sorts as (doc_id, text) do, null ids last."""
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a ``key`` that tells rows apart and sorts as (doc_id, text) do, null ids last."""
     if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
-        return docs.withColumn("_key", F.col("doc_id").cast("long")).where("_key is not null")
-    in_order = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_key", F.monotonically_increasing_id())
-    return stored(in_order, "keyed").where("_key is not null")
+        return docs.withColumn(key, F.col("doc_id").cast("long")).where(F.col(key).isNotNull())
+    in_order = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(key, F.monotonically_increasing_id())
+    return stored(in_order, "keyed").where(F.col(key).isNotNull())
 
 
-def _with_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    found = repeated_windows(docs.select(F.col("_key").alias("doc_id"), "text"), length, gram)
-    return docs.join(found.withColumnRenamed("doc_id", "_key"), "_key", "left")
+def _with_runs(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, str]:
+    """``docs`` with the runs of repeated windows of each row, and the name of that column."""
+    key, runs = _fresh(docs, "_key"), _fresh(docs, "_runs")
+    keyed = _keyed(docs, key)
+    found = repeated_windows(keyed.select(F.col(key).alias("doc_id"), "text"), length, gram)
+    return keyed.join(found.select(F.col("doc_id").alias(key), F.col("runs").alias(runs)), key, "left").drop(key), runs
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -315,8 +324,8 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     repeated rows the first keeps its words.  An empty table gives no rows.  Columns
     other than doc_id and text are not read and not returned.
     """
-    base = _keyed(docs.select("doc_id", "text"))
-    joined = _with_runs(base, length, gram).select(F.col("doc_id").cast("long").alias("_id"), "text", "runs")
+    joined, _ = _with_runs(docs.select("doc_id", "text"), length, gram)
+    joined = joined.select(F.col("doc_id").cast("long").alias("_id"), "text", "_runs")
     out = joined.mapInArrow(partial(_strip, length=length), "_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("_id", "doc_id")
 
@@ -327,8 +336,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     Texts that lose nothing keep their white space; what is left of others has one space
     between words; rows that lose all their words go.
     """
-    joined = _with_runs(_keyed(docs), length, gram).select(*docs.columns, "runs")
-    return joined.mapInArrow(partial(_rewrite, length=length), docs.schema)
+    joined, runs = _with_runs(docs, length, gram)
+    return joined.select(*docs.columns, runs).mapInArrow(partial(_rewrite, runs=runs, length=length), docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def odd_docs(spark):
     df = spark.createDataFrame(rows, DOCS)
     from pyspark.sql import functions as F
 
-    for name in ("fingerprint", "component_id", "kept", "copies", "lang_pred", "score", "runs", "fp", "h", "_key", "n_words"):
+    for name in ("fingerprint", "component_id", "kept", "copies", "lang_pred", "score", "runs", "_runs", "fp", "h", "_key", "n_words"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 

@@ -160,8 +160,9 @@ def test_strip_repeats_odd(spark, odd_docs, no_docs):
     got = substring.strip_repeats(odd_docs).collect()
     twice = sorted(r["n_removed"] for r in got if r["doc_id"] == 1)
     assert len(got) == 9 and twice == [0, 23]  # all of its 23 words
-    kept = substring.without_repeats(odd_docs.drop("_key", "runs"))
-    assert kept.columns == odd_docs.drop("_key", "runs").columns and kept.where("doc_id = 1").count() == 1
+    kept = substring.without_repeats(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.where("doc_id = 1").count() == 1
+    assert {(r["_key"], r["_runs"], r["runs"]) for r in kept.collect()} == {("clash",) * 3}
     assert substring.strip_repeats(no_docs).count() == 0 and substring.without_repeats(no_docs).count() == 0
 
 
