@@ -69,40 +69,43 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return labelled.select("label", "fold", F.explode("_grams").alias("gram")).groupBy("label", "fold", "gram").agg(F.count("*").alias("n"))
 
 
-def ratio_model(grams: DataFrame) -> DataFrame:
-    """``(gram, r)``: log-probability under the allowed minus that under the blocked, for every gram code.
+def ratio_models(grams: DataFrame) -> DataFrame:
+    """``(fit, gram, r)``: log-probability under the allowed minus that under the blocked, for every gram code.
 
-    A label without URLs has the uniform model.
+    ``fit`` 0 and 1 learn from the other fold, ``fit`` 2 from both.  A label without URLs
+    has the uniform model.  All three come from one plan.
     """
     spark = grams.sparkSession
-    tri = grams.groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    each = grams.withColumn("fit", F.explode(F.array(1 - F.col("fold"), F.lit(2))))
+    tri = each.groupBy("fit", "label", "gram").agg(F.sum("n").alias("n"))
     a, b, c = (F.floor(F.col("gram") / k).cast("int") % SIZE for k in (SIZE * SIZE, SIZE, 1))
-    tri = tri.select("label", a.alias("a"), b.alias("b"), c.alias("c"), "n")
-    pair = tri.groupBy("label", "b", "c").agg(F.sum("n").alias("n_bc"))
-    one = pair.groupBy("label", "c").agg(F.sum("n_bc").alias("n_c"))
+    tri = tri.select("fit", "label", a.alias("a"), b.alias("b"), c.alias("c"), "n")
+    pair = tri.groupBy("fit", "label", "b", "c").agg(F.sum("n").alias("n_bc"))
+    one = pair.groupBy("fit", "label", "c").agg(F.sum("n_bc").alias("n_c"))
     tallies = [
-        (tri, ["label", "a", "b", "c"]),
-        (pair, ["label", "b", "c"]),
-        (one, ["label", "c"]),
-        (tri.groupBy("label", "a", "b").agg(F.sum("n").alias("n_ab"), F.count("*").alias("t_ab")), ["label", "a", "b"]),
-        (pair.groupBy("label", "b").agg(F.sum("n_bc").alias("n_b"), F.count("*").alias("t_b")), ["label", "b"]),
-        (one.groupBy("label").agg(F.sum("n_c").alias("n_0"), F.count("*").alias("t_0")), ["label"]),
+        (tri, ["a", "b", "c"]),
+        (pair, ["b", "c"]),
+        (one, ["c"]),
+        (tri.groupBy("fit", "label", "a", "b").agg(F.sum("n").alias("n_ab"), F.count("*").alias("t_ab")), ["a", "b"]),
+        (pair.groupBy("fit", "label", "b").agg(F.sum("n_bc").alias("n_b"), F.count("*").alias("t_b")), ["b"]),
+        (one.groupBy("fit", "label").agg(F.sum("n_c").alias("n_0"), F.count("*").alias("t_0")), []),
     ]
-    grid = spark.range(SIZE**3).select(F.col("id").alias("gram"), F.explode(F.array(F.lit("allow"), F.lit("block"))).alias("label"))
-    grid = grid.select("gram", "label", a.alias("a"), b.alias("b"), c.alias("c"))
+    both = F.explode(F.array(F.lit("allow"), F.lit("block"))).alias("label")
+    grid = spark.range(SIZE**3).select(F.col("id").alias("gram"), F.explode(F.array(*map(F.lit, range(3)))).alias("fit"))
+    grid = grid.select("gram", "fit", both).select("gram", "fit", "label", a.alias("a"), b.alias("b"), c.alias("c"))
     for table, keys in tallies:
-        grid = grid.join(table, keys, "left")
+        grid = grid.join(table, ["fit", "label", *keys], "left")
     p = F.lit(1.0 / SIZE)
     for seen, total, kinds in (("n_c", "n_0", "t_0"), ("n_bc", "n_b", "t_b"), ("n", "n_ab", "t_ab")):
         p = F.when(F.col(total).isNull(), p).otherwise((F.coalesce(seen, F.lit(0)) + F.col(kinds) * p) / (F.col(total) + F.col(kinds)))
     sign = F.when(F.col("label") == "allow", 1.0).otherwise(-1.0)
-    return stored(grid.groupBy("gram").agg(F.round(F.sum(sign * F.log(p)), 6).alias("r")), "model")
+    return stored(grid.groupBy("fit", "gram").agg(F.round(F.sum(sign * F.log(p)), 6).alias("r")), "model")
 
 
-def mean_ratio(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """``(url, score)``: mean of the model over ``_grams`` of each URL that has characters, however often it occurs."""
-    each = urls.select("url", F.explode("_grams").alias("gram")).join(F.broadcast(model), "gram")  # 41^3 rows
-    return each.groupBy("url").agg(F.round(F.avg("r"), 6).alias("score"))
+def mean_ratio(urls: DataFrame, models: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, score)``: mean over ``_grams`` of each URL under the model that its ``fit`` names, however often it occurs."""
+    each = urls.select(*keys, "fit", F.explode("_grams").alias("gram")).join(F.broadcast(models), ["fit", "gram"])  # 3 * 41^3 rows
+    return each.groupBy(*keys).agg(F.round(F.avg("r"), 6).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float | None:
@@ -130,13 +133,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     base = with_codes(base.withColumns({"rule": rule, "_label": verdict}))
     fold = F.pmod(F.xxhash64("url"), F.lit(2)).cast("int")
     labelled = base.where("_label is not null").select("url", F.col("_label").alias("label"), fold.alias("fold"), "_grams")
-    grams = stored(count_grams(labelled), "grams")
-    crossed = []
-    for k in (0, 1):
-        scores = mean_ratio(labelled.where(F.col("fold") == k), ratio_model(grams.where(F.col("fold") != k)))
-        crossed.append(labelled.where(F.col("fold") == k).select("url", "label").join(scores, "url").select("label", "score"))
-    cut = threshold(crossed[0].union(crossed[1]))
-    scores = mean_ratio(base.where("url is not null"), ratio_model(grams)).withColumnRenamed("url", "_url")
+    models = ratio_models(stored(count_grams(labelled), "grams"))
+    crossed = mean_ratio(labelled.withColumn("fit", F.col("fold")), models, "url", "label")
+    cut = threshold(labelled.select("url").join(crossed, "url"))  # a URL counts as often as it occurs
+    whole = base.where("url is not null").withColumn("fit", F.lit(2))
+    scores = mean_ratio(whole, models.where("fit = 2"), "url").withColumnRenamed("url", "_url")
     judged = F.when(F.col("score").isNull(), "block").when(F.col("score") >= F.lit(cut if cut is not None else float("-inf")), "allow").otherwise("block")
     met = base.drop("_grams").join(scores, F.col("url") == F.col("_url"), "left").drop("_url")
     return met.withColumn("verdict", F.coalesce("_label", judged)).drop("_label")
