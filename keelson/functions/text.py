@@ -115,3 +115,14 @@ def is_png(content: Column) -> Column:
 def boxes_or_none(boxes: Column) -> Column:
     """JSON of a box list, ``No Objects`` for an empty one."""
     return F.when(F.size(boxes) > 0, F.to_json(boxes)).otherwise("No Objects")
+
+
+def label_of(path: Column, solution: Column, known: list[str]) -> Column:
+    """Class of a record: the folder after ``images`` if it is a known class, else the answer; any case, null if neither is known."""
+    names = F.create_map(*[F.lit(x) for c in known for x in (c.lower(), c)])
+    return F.coalesce(F.try_element_at(names, F.lower(folder_after(path))), F.try_element_at(names, F.lower(answer(solution))))
+
+
+def encoded(content: Column) -> Column:
+    """File content as base64 text in one line."""
+    return F.regexp_replace(F.base64(content), r"\s", "")

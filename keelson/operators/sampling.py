@@ -95,7 +95,7 @@ def running_budget(counts: DataFrame, by: str, per_class: int, cap: int) -> Data
 def budgeted_sample(df: DataFrame, by: str, id_col: str, per_class: int, cap: int, seed: int = SEED) -> DataFrame:
     """Rows that :func:`running_budget` grants each class."""
     grant = running_budget(class_counts(df, by), by, per_class, cap).select(by, "take")
-    return with_rank(df, by, id_col, seed).where(F.col("rn") <= per_class).join(F.broadcast(grant), by).where(F.col("rn") <= F.col("take")).drop("take")
+    return with_rank(df, by, id_col, seed).where(F.col("rn") <= per_class).join(grant, by).where(F.col("rn") <= F.col("take")).drop("take")
 
 
 def split_per_class(df: DataFrame, by: str, id_col: str, ratio: float, seed: int = SEED) -> DataFrame:

@@ -133,3 +133,16 @@ def similarity_flags(df: DataFrame, by: str, similarity: str) -> DataFrame:
     """Counts of very similar (over 0.90) and very far (under 0.30) rows by class."""
     s = F.col(similarity)
     return df.groupBy(by).agg(F.count_if(s > 0.90).alias("very_similar"), F.count_if(s < 0.30).alias("very_far"))
+
+
+def plane(df: DataFrame, vector: str, x: str = "x", y: str = "y") -> DataFrame:
+    """Adds two coordinates for drawing: the first two principal components.
+
+    A substitute for a neighbour embedding, which has no distributed form here.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    given = df.withColumn("_v", array_to_vector(doubles(vector)))
+    got = PCA(k=2, inputCol="_v", outputCol="_p").fit(given).transform(given).withColumn("_p", vector_to_array("_p"))
+    return got.withColumns({x: F.get("_p", 0), y: F.get("_p", 1)}).drop("_v", "_p")

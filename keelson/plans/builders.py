@@ -198,14 +198,14 @@ def osr_rows(known: DataFrame, other: DataFrame, shots: int, seed: int = samplin
     """Known rows with ranked confidences and roles; unknown rows from ``other(path, category, similarity, closest)`` under the running budget."""
     per_class = int(shots * taxonomy.osr_multiplier(shots))
     classes = known.select("category").distinct().count()
-    ids = sampling.k_shot(known, "category", "path", shots, seed).join(aggregates.F.broadcast(sampling.class_counts(known, "category")), "category")
+    ids = sampling.k_shot(known, "category", "path", shots, seed).join(sampling.class_counts(known, "category"), "category")
     used = F.least(F.col("n"), F.lit(shots))
     ids = ids.withColumn("confidence", C.id_confidence(F.col("rn"), used, C.uniform(seed, F.col("path"), "id")))
     ids = ids.withColumn("split", F.when(F.col("rn") <= F.floor(used / 2), "support").otherwise("query"))
     ood = sampling.budgeted_sample(other, "category", "path", per_class, int(classes * shots * 0.5), seed)
     s = F.col("similarity")
     left = ids.select("path", "category", F.lit(True).alias("known"), "confidence", "split", F.lit(None).cast("string").alias("difficulty"), F.lit(None).cast("double").alias("ood_score"))
-    right = ood.select("path", "category", F.lit(False).alias("known"), C.pseudo_confidence(s).alias("confidence"), F.lit("query").alias("split"), C.difficulty(s).alias("difficulty"), C.ood_score(s).alias("ood_score"))
+    right = ood.select("path", "category", F.lit(False).alias("known"), C.pseudo_confidence(s, F.col("category").isin(taxonomy.HARD_OOD)).alias("confidence"), F.lit("query").alias("split"), C.difficulty(s).alias("difficulty"), C.ood_score(s).alias("ood_score"))
     both = left.unionByName(right)
     meta = metadata_json(type=F.when(F.col("known"), "ID").otherwise("OOD"), category=F.col("category"), confidence_target=F.col("confidence"), pseudo_ood_score=F.col("ood_score"), difficulty=F.col("difficulty"), split=F.col("split"))
     return records(both, "path", F.lit(IDENTIFY), confidence_solution(F.col("category"), F.col("confidence"), F.col("known")), meta)
@@ -241,3 +241,31 @@ def coco_from_voc(boxes: DataFrame, ordered_by: str = "name") -> tuple[DataFrame
     w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
     out = numbered.select("annotation_id", "image_id", "category_id", G.corners_to_xywh(*(F.col(k) for k in ("xmin", "ymin", "xmax", "ymax"))).alias("bbox"), G.area(w, h).alias("area"))
     return images, out, cats
+
+
+# --- tasks by name -----------------------------------------------------------------
+
+#: What a task asks for; a user's own tasks join by :func:`register_task`.
+TASKS: dict[str, str] = {"classification": IDENTIFY, "detection": DETECT.replace("{cls}", "{category}")}
+
+
+def register_task(name: str, template: str) -> None:
+    """Add a prompt template, with ``{category}`` and ``{answer}`` to be filled in."""
+    TASKS[name] = template
+
+
+def mapped(df: DataFrame, **columns: Column) -> DataFrame:
+    """Row-wise map by column expressions; rows where one of them is null go."""
+    return df.withColumns(columns).dropna(subset=list(columns))
+
+
+def preflight(shots: int, seed: str, devices: int, **required: str | None) -> list[str]:
+    """What is wrong with the settings of a run; empty if nothing is."""
+    wrong = [f"{name} is not set" for name, value in required.items() if not value]
+    if shots not in (4, 8):
+        wrong.append("shots has to be 4 or 8")
+    if not seed.isdigit():
+        wrong.append("seed has to be a whole number")
+    if devices < 1:
+        wrong.append("no device")
+    return wrong

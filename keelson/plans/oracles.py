@@ -255,4 +255,9 @@ SELECT batch, correct::BIGINT AS correct, total::BIGINT AS total, round(100 * co
 SELECT event_type, row_number() OVER (ORDER BY f, event_type) - 1 AS by_appearance, row_number() OVER (ORDER BY event_type) - 1 AS by_name FROM x""",
     "shots_in_names": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 < 2 THEN n_nationkey::BIGINT END AS shots FROM nation",
     "number_truncation": "SELECT o_orderkey, cast(trunc(cast(printf('%.2f', o_totalprice / 1000) AS DOUBLE)) AS BIGINT) AS n FROM orders",
+    "record_labels": f"""WITH {_SOLUTIONS}, x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND lang IN ('en', 'de', 'fr') THEN lang END AS a, {_ANSWER} AS b FROM s)
+SELECT doc_id, coalesce(a, CASE WHEN b IN ('en', 'de', 'fr') THEN b END) AS label FROM x""",
+    "encoded_contents": "SELECT p_partkey, to_base64(encode(p_name)) AS encoded FROM part",
+    "task_prompts": f"""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN length({_quote(P.IDENTIFY)}) ELSE length({_DETECT}) END AS n_chars, p_size % 3 = 1 AS named
+FROM part WHERE p_size % 3 < 2""",
 }

@@ -690,3 +690,28 @@ def shots_in_names(spark, sf_dir):
 def number_truncation(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return orders.select("o_orderkey", X.truncated_number(F.format_string("%.2f", F.col("o_totalprice") / 1000)).alias("n"))
+
+
+@query
+def record_labels(spark, sf_dir):
+    s = _solutions(spark, sf_dir)
+    path = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("/d/images/"), F.upper("lang"), F.lit("/1.jpg"))).otherwise(F.lit("/d/other/1.jpg"))
+    return s.select("doc_id", X.label_of(path, F.col("solution"), ["en", "de", "fr"]).alias("label"))
+
+
+@query
+def encoded_contents(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.encoded(F.col("p_name").cast("binary")).alias("encoded"))
+
+
+@query
+def task_prompts(spark, sf_dir):
+    task = F.when(F.col("p_size") % 3 == 0, "classification").when(F.col("p_size") % 3 == 1, "detection").otherwise("none")
+    prompt = P.task_prompt(task, F.col("p_type"), F.col("p_name"), P.TASKS)
+    return P.mapped(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_name"), prompt=prompt).select("p_partkey", long(F.length("prompt")).alias("n_chars"), F.contains(F.col("prompt"), F.col("p_type")).alias("named"))
+
+
+@query
+def plane_coordinates(spark, sf_dir):
+    out = vectors.plane(_vectors(spark, sf_dir), "embedding")
+    return out.select("vec_id", long("label").alias("label"), r6(F.abs("x")).alias("x"), r6(F.abs("y")).alias("y"))

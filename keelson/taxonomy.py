@@ -51,6 +51,8 @@ DIFFICULTY = {
     "Medium": "reefer vehicles_carrier passenger_ro-ro_ship".split(),
     "Hard": "fso cruise".split(),
 }
+#: Unknown classes that look most like known ones; they get the bonus of the highest similarity band.
+HARD_OOD = "bitumen cruise fso passenger_ship reefer".split()
 SHORT_NAMES = {  # in the order of scheme tugboat_id
     "id": "bulk container cargo pass_cargo fishing trimaran chem_tnk crude_tnk oil_tnk LNG LPG kayak heavy tug".split(),
     "ood_train": "destroyer carrier frigate submarine fire reefer vehicles ro-ro fso cruise".split(),

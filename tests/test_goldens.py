@@ -215,3 +215,13 @@ def test_batched_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id")).repartition(13)
     placed = {r["id"]: r["pos"] for r in sampling.with_position(df, ["id"]).collect()}
     assert placed == {k: k for k in range(1000)}
+
+
+def test_preflight_and_tasks(spark):
+    assert P.preflight(4, "100", 2, model="m") == []
+    assert len(P.preflight(5, "x", 0, model="", data=None)) == 5
+    P.register_task("open_set", "Is {category} known? {answer}")
+    assert one(spark, P.task_prompt(F.lit("open_set"), F.lit("fso"), F.lit("no"), P.TASKS)) == "Is fso known? no"
+    P.TASKS.pop("open_set")
+    assert one(spark, P.thought_solution(F.lit("<think>a</think> x"), F.lit("<answer>b</answer>"))) == "<solution><think>a</think>\n<answer>b</answer></solution>"
+    assert one(spark, P.thought_solution(F.lit("none"), F.lit("<answer>b</answer>"))) == "<answer>b</answer>"

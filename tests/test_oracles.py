@@ -10,7 +10,7 @@ from keelson.plans.queries import QUERIES
 from .conftest import SF, duck_rows, rows
 
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-ROWS_ONLY = {"prototype_kmeans", "ap_multi_gt", "ap_by_area"}
+ROWS_ONLY = {"prototype_kmeans", "ap_multi_gt", "ap_by_area", "plane_coordinates"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
