@@ -148,17 +148,35 @@ def shuffled(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
     return df.orderBy(shuffle_key(id_col, seed), id_col)
 
 
-def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
+BUCKETS = 4096
+
+
+def hash_bucket(id_col: str, seed: int = SEED) -> Column:
+    """Bucket that rises with :func:`shuffle_key`: its first three digits."""
+    return F.coalesce(F.substring(shuffle_key(id_col, seed), 1, 3), F.lit(""))
+
+
+def range_bucket(df: DataFrame, column: str) -> Column:
+    """Bucket that rises with a numeric column, by its place between minimum and maximum (one pass over it); null first."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return F.lit(0)
+    return F.coalesce(F.floor((F.col(column) - F.lit(low)) * (BUCKETS / (float(high) - float(low) + 1))), F.lit(-1))
+
+
+def with_position(df: DataFrame, order: Sequence[Column | str], bucket: Column, name: str = "pos") -> DataFrame:
     """Adds a running number from 0 in that order without bringing all rows to one task.
 
-    Rows are range-sorted; each range counts its own, and the sums before it are added.
+    ``bucket`` has to rise with the order (:func:`hash_bucket`, :func:`range_bucket`).
+    Each bucket counts its own rows, and the sums of the buckets before it are added.
+    Buckets come from values, not from a sort's ranges, which can differ between the two
+    readings of the same rows.
     """
-    parts = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    parts = parts.withColumn("_at", F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))  # one row for each range
-    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_id", "_at", "_before")
+    marked = df.withColumn("_bucket", bucket)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = marked.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_before"))  # a row a bucket
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return marked.withColumn("_own", own).join(starts, "_bucket").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_bucket", "_own", "_before")
 
 
 def batches(df: DataFrame, pos: str, size: int = 10) -> DataFrame:

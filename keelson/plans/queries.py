@@ -135,13 +135,14 @@ def support_query_role(spark, sf_dir):
 @query
 def global_shuffle_positions(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id")
-    placed = sampling.with_position(events, [sampling.shuffle_key("event_id"), "event_id"])
+    placed = sampling.with_position(events, [sampling.shuffle_key("event_id"), "event_id"], sampling.hash_bucket("event_id"))
     return placed.select("event_id", long("pos").alias("pos"))
 
 
 @query
 def batch_assignment(spark, sf_dir):
-    placed = sampling.with_position(table(spark, sf_dir, "events").select("event_id", "value"), ["event_id"])
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    placed = sampling.with_position(events, ["event_id"], sampling.range_bucket(events, "event_id"))
     batched = sampling.batches(placed, "pos", 10)
     return batched.groupBy("batch").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("value"))
 
@@ -667,7 +668,8 @@ def class_coverage(spark, sf_dir):
 
 @query
 def running_accuracy(spark, sf_dir):
-    labels = sampling.with_position(table(spark, sf_dir, "labels"), ["doc_id"])
+    labels = table(spark, sf_dir, "labels")
+    labels = sampling.with_position(labels, ["doc_id"], sampling.range_bucket(labels, "doc_id"))
     out = windows.running_accuracy(sampling.batches(labels, "pos", 10), "batch", F.col("quality") == 1)
     return out.select("batch", long("correct").alias("correct"), long("total").alias("total"), r6("accuracy").alias("accuracy"))
 

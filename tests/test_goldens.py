@@ -213,8 +213,13 @@ def test_sets(spark):
 
 def test_batched_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id")).repartition(13)
-    placed = {r["id"]: r["pos"] for r in sampling.with_position(df, ["id"]).collect()}
+    placed = {r["id"]: r["pos"] for r in sampling.with_position(df, ["id"], sampling.range_bucket(df, "id")).collect()}
     assert placed == {k: k for k in range(1000)}
+    keys = {r["id"]: r["k"] for r in df.select("id", sampling.shuffle_key("id").alias("k")).collect()}
+    mixed = {r["id"]: r["pos"] for r in sampling.with_position(df, [sampling.shuffle_key("id"), "id"], sampling.hash_bucket("id")).collect()}
+    assert sorted(keys, key=keys.get) == sorted(mixed, key=mixed.get) and set(mixed.values()) == set(range(1000))
+    none = df.where("false")
+    assert sampling.with_position(none, ["id"], sampling.range_bucket(none, "id")).count() == 0
 
 
 def test_preflight_and_tasks(spark):
