@@ -8,8 +8,8 @@ machine) a folder of this process is used.
 from __future__ import annotations
 
 import atexit
-import contextlib
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/keelson-{os.getpid()}"
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and return the table read back."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder, in its partitions, and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/keelson/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path)
     _OPEN[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._keelson_path = path
@@ -48,5 +47,7 @@ def _delete(path: str, spark: SparkSession) -> None:
 @atexit.register
 def _drop_all() -> None:
     for path, spark in list(_OPEN.items()):
-        with contextlib.suppress(Exception):  # the session may have ended before the process
+        try:
             _delete(path, spark)
+        except Exception:  # the session has ended before the process; a local folder can still go
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
