@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from .sampling import BUCKETS, range_bucket
 
 MAX_DETECTIONS = 100
 RECALLS = 101
@@ -89,20 +90,38 @@ def average_precision(matched: DataFrame, truth_counts: DataFrame, cls: str = "c
     """``(cls, t, ap)``: interpolated precision at 101 recall levels; null for a class without ground truth.
 
     ``matched(cls, det_id, score, t, tp[, ignored])``; ``truth_counts(cls, n_gt)``.
-    The envelope (largest precision at this recall or more) comes from a running maximum
-    in reverse order (a frame that looks ahead would cost the square of a class); each recall level looks up the first point that reaches it.
+    The envelope is the largest precision at this recall or more; each recall level
+    looks up the first point that reaches it.
     """
     rows = matched.where(~F.col("ignored")) if "ignored" in matched.columns else matched
-    order = Window.partitionBy(cls, "t").orderBy(F.desc("score"), "det_id")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(cls, "t").orderBy("score", F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.col("tp").cast("int")
-    points = rows.withColumns({"_tp": F.sum(hits).over(run), "_all": F.count("*").over(run)})
-    points = points.withColumn("_p", F.col("_tp") / F.col("_all")).withColumn("_env", F.max("_p").over(back))
-    # only points where recall rises can be the first to reach a level
+    points = _envelopes(rows.withColumn("_h", F.col("tp").cast("int")), [cls, "t"], "score", "det_id", ["_h"])
+    points = points.select(cls, "t", "tp", F.col("_h_n").alias("_tp"), F.col("_h_env").alias("_env"))
     return _interpolated(points.where("tp"), truth_counts, cls)
 
 
+def _envelopes(rows: DataFrame, keys: list[str], score: str, det_id: str, flags: list[str]) -> DataFrame:
+    """For each 0/1 flag ``f`` in order of score: hits so far ``f_n``, and the largest precision from here on ``f_env``.
+
+    A class may hold most detections, so rows are dealt out by class and score bucket.
+    Sums of the buckets before a row's own, and the largest precision of those after it,
+    come from one row for each bucket.
+    """
+    marked = rows.withColumn("_b", BUCKETS - range_bucket(rows, score))
+    each = [*keys, "_b"]
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy(*each).agg(F.count("*").alias("_n"), *(F.sum(f).alias(f"_s{f}") for f in flags))
+    starts = sizes.select(*each, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), *(F.coalesce(F.sum(f"_s{f}").over(before), F.lit(0)).alias(f"_0{f}") for f in flags))
+    run = Window.partitionBy(*each).orderBy(F.desc(score), det_id).rowsBetween(Window.unboundedPreceding, 0)
+    sums = marked.select("*", F.count("*").over(run).alias("_own"), *(F.sum(f).over(run).alias(f"_own{f}") for f in flags)).join(starts, each)
+    points = sums.select(*rows.columns, "_b", (F.col("_own") + F.col("_n0")).alias("_all"), *((F.col(f"_own{f}") + F.col(f"_0{f}")).alias(f"{f}_n") for f in flags))
+    tops = points.groupBy(*each).agg(*(F.max(F.col(f"{f}_n") / F.col("_all")).alias(f"_m{f}") for f in flags))
+    later = tops.select(*each, *(F.max(f"_m{f}").over(after).alias(f"_l{f}") for f in flags))
+    back = Window.partitionBy(*each).orderBy(score, F.desc(det_id)).rowsBetween(Window.unboundedPreceding, 0)
+    own = points.select("*", *(F.max(F.col(f"{f}_n") / F.col("_all")).over(back).alias(f"_e{f}") for f in flags))
+    return own.join(later, each).select(*rows.columns, *(F.col(f"{f}_n") for f in flags), *(F.greatest(f"_e{f}", f"_l{f}").alias(f"{f}_env") for f in flags))
+
+
 def _interpolated(hits: DataFrame, truth_counts: DataFrame, cls: str) -> DataFrame:
     rises = hits.join(truth_counts.select(cls, "n_gt"), cls)
     # levels r / 100 with (tp - 1) / n_gt < r / 100 <= tp / n_gt, in whole numbers
@@ -129,11 +148,7 @@ def average_precision_wide(matched: DataFrame, truth_counts: DataFrame, cls: str
     """:func:`average_precision` from ``tps``: one sort of the detections serves all thresholds."""
     names = [f"_t{t}" for t in range(50, 100, 5)]
     flat = matched.select(cls, score, det_id, *(F.get("tps", k).cast("int").alias(c) for k, c in enumerate(names)))
-    order = Window.partitionBy(cls).orderBy(F.desc(score), det_id)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(cls).orderBy(score, F.desc(det_id)).rowsBetween(Window.unboundedPreceding, 0)
-    sums = flat.select("*", F.count("*").over(run).alias("_all"), *(F.sum(c).over(run).alias(f"{c}_n") for c in names))
-    points = sums.select("*", *(F.max(F.col(f"{c}_n") / F.col("_all")).over(back).alias(f"{c}_env") for c in names))
+    points = _envelopes(flat, [cls], score, det_id, names)
     hits = [F.struct(F.lit(int(c[2:])).alias("t"), F.col(c).alias("hit"), F.col(f"{c}_n").alias("_tp"), F.col(f"{c}_env").alias("_env")) for c in names]
     each = points.select(cls, F.explode(F.filter(F.array(*hits), lambda h: h["hit"] == 1)).alias("h")).select(cls, "h.*")
     return _interpolated(each, truth_counts, cls)
