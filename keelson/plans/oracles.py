@@ -146,7 +146,7 @@ x AS (SELECT b.*, row_number() OVER (PARTITION BY b.l_orderkey ORDER BY l_linenu
 SELECT 'img_' || l_orderkey || '.jpg' AS image, l_returnflag AS category, n, cast(round_even(x / 640 * 1000, 0) AS BIGINT) AS p0, cast(round_even(y / 400 * 1000, 0) AS BIGINT) AS p1,
 cast(round_even((x + w) / 640 * 1000, 0) AS BIGINT) AS p2, cast(round_even((y + h) / 400 * 1000, 0) AS BIGINT) AS p3 FROM x JOIN orders ON o_orderkey = l_orderkey WHERE r = 1""",
     "answer_tag_extract": f"""WITH {_SOLUTIONS} SELECT doc_id, {_ANSWER} AS answer, {_THINK} AS think, {_BEFORE} AS before, {_CONF.format("solution")} AS confidence FROM s""",
-    "answer_accuracy": f"""WITH {_SOLUTIONS}, x AS (SELECT {_NORM.format(_ANSWER)} AS a, {_NORM.format("lang")} AS t FROM s WHERE doc_id % 17 <> 4),
+    "answer_accuracy": f"""WITH {_SOLUTIONS}, x AS (SELECT {_NORM.format(_ANSWER)} AS a, {_NORM.format("lang")} AS t FROM s WHERE n_chars >= 300),
 y AS (SELECT count(*) FILTER (contains(a, t) OR contains(t, a)) AS correct, count(*) FILTER ((contains(a, t) OR contains(t, a)) AND a <> '' AND t <> '') AS strict_correct FROM x)
 SELECT correct, (SELECT count(*) FROM documents) AS total, round(100 * correct / (SELECT count(*) FROM documents), 6) AS accuracy, strict_correct FROM y""",
     "title_tag_extract": r"""SELECT page_id, CASE WHEN regexp_matches(html, '(?s)<title>(.*?)</title>') THEN regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '^\s+|\s+$', '', 'g') END AS title FROM pages""",
@@ -216,13 +216,13 @@ count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL
     "ap_summary": f'WITH {_AP} SELECT round(avg(ap), 6) AS "mAP", round(avg(ap) FILTER (t = 50), 6) AS "AP50", round(avg(ap) FILTER (t = 75), 6) AS "AP75" FROM ap',
     "map_selected": f"WITH {_AP}, m AS (SELECT cls, 100 * avg(ap) AS map FROM ap GROUP BY ALL) SELECT round(coalesce(sum(map), 0) / 3, 6) AS mean_ap FROM m WHERE cls IN ('A', 'R', 'Z')",
     "results_to_rows": f"""WITH {_BOXES} SELECT l_orderkey AS image_id, CASE l_returnflag WHEN 'A' THEN 10 WHEN 'N' THEN 20 ELSE 30 END::BIGINT AS category_id,
-x AS b0, y AS b1, round((x + w) - x, 6) AS b2, round((y + h) - y, 6) AS b3, l_linenumber::DOUBLE AS score FROM b WHERE l_orderkey % 50 = 0""",
+x AS b0, y AS b1, round((x + w) - x, 6) AS b2, round((y + h) - y, 6) AS b3, l_linenumber::DOUBLE AS score FROM b""",
     "audit_integrity": """WITH n AS (SELECT event_type, count(*) AS n, max(event_id) - min(event_id) + 1 = count(*) AS whole FROM events GROUP BY ALL),
 k AS (SELECT event_type FROM n WHERE event_type <> 'click' UNION ALL SELECT 'kayak'),
 f AS (SELECT coalesce(n.event_type, k.event_type) AS category, CASE WHEN k.event_type IS NULL THEN 'invalid' WHEN n IS NULL THEN 'missing' WHEN n <> 2000 THEN 'count' END AS issue, coalesce(n, 0) AS n
       FROM n FULL JOIN k ON n.event_type = k.event_type)
 SELECT category, issue, n FROM f WHERE issue IS NOT NULL UNION ALL SELECT event_type, 'gap', n FROM n WHERE NOT whole""",
-    "audit_contiguity": "SELECT l_orderkey, count(*) AS n, max(l_linenumber) - min(l_linenumber) + 1 = count(*) AS contiguous FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL",
+    "audit_contiguity": "SELECT l_orderkey, count(*) AS n, max(l_linenumber) - min(l_linenumber) + 1 = count(*) AS contiguous FROM lineitem GROUP BY ALL",
     "index_gaps": """SELECT event_type, count(*) AS gaps, max(event_id - p) AS widest FROM (SELECT event_type, event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events)
 WHERE event_id - p <> 1 GROUP BY ALL""",
     "audit_labels": """WITH x AS (SELECT toxic = 1 AS ood, CASE WHEN quality = 1 THEN '<answer>' || lang || '</answer>' ELSE '<answer>unknown</answer>' END AS s FROM documents JOIN labels USING (doc_id)),
