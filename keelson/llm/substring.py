@@ -297,20 +297,26 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with a ``key`` that tells rows apart and sorts as (doc_id, text) do, null ids last."""
-    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
-        return docs.withColumn(key, F.col("doc_id").cast("long")).where(F.col(key).isNotNull())
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells rows apart and sorts as (doc_id, text) do, null ids last: doc_id, if it does."""
+    unique = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty()
+    if unique and docs.schema["doc_id"].dataType.simpleString() == "bigint":
+        return docs.where("doc_id is not null"), "doc_id"
+    key = _fresh(docs, "_key")
     in_order = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(key, F.monotonically_increasing_id())
-    return stored(in_order, "keyed").where(F.col(key).isNotNull())
+    return stored(in_order, "keyed").where(F.col(key).isNotNull()), key
 
 
 def _with_runs(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, str]:
-    """``docs`` with the runs of repeated windows of each row, and the name of that column."""
-    key, runs = _fresh(docs, "_key"), _fresh(docs, "_runs")
-    keyed = _keyed(docs, key)
+    """``docs`` with the runs of repeated windows of each row, and the name of that column.
+
+    Where ``docs`` is (doc_id, text), both joins to it have one shuffle, which Spark reuses.
+    """
+    keyed, key = _keyed(docs)
+    runs, at = _fresh(keyed, "_runs"), _fresh(keyed, "_at")
     found = repeated_windows(keyed.select(F.col(key).alias("doc_id"), "text"), length, gram)
-    return keyed.join(found.select(F.col("doc_id").alias(key), F.col("runs").alias(runs)), key, "left").drop(key), runs
+    found = found.select(F.col("doc_id").alias(at), F.col("runs").alias(runs))
+    return keyed.join(found, keyed[key] == found[at], "left").select(*docs.columns, runs), runs
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -337,7 +343,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     between words; rows that lose all their words go.
     """
     joined, runs = _with_runs(docs, length, gram)
-    return joined.select(*docs.columns, runs).mapInArrow(partial(_rewrite, runs=runs, length=length), docs.schema)
+    return joined.mapInArrow(partial(_rewrite, runs=runs, length=length), docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
