@@ -1,12 +1,16 @@
-"""Katz backoff language model of order 2, in partitioned tables.
+"""Katz backoff language model of order 2 over words, in partitioned tables.
 
 Training counts are exact and complete: a table of all words and a table of all pairs
-of neighbouring *classes*, each written in hash partitions of its key.  A class is the end of a text, any word with a share of
-``CLASS_SHARE`` or more of the training tokens (so there are 100,000 at most), or the
-one class of all rarer words; inside that class a word has its own share.  Counts up to
-``GT_ORDER`` are discounted by Good-Turing (Katz's form), and what a history loses goes
-to the classes it has not shown, in proportion to their own probability; the backoff
-weight is computed from the sums over exactly the seen ones, so every history sums to 1.
+of neighbouring words, whatever their counts.  The end of a text is a word, and as a
+history stands for the beginning.  Counts up to ``GT_ORDER`` are discounted by
+Good-Turing (Katz's form), and what a history loses goes to the words it has not shown,
+in proportion to their own probability; the backoff weight is computed from the sums
+over exactly the seen ones, so every history sums to 1.
+
+A word is named by its 64-bit key; one with a share of ``CLASS_SHARE`` or more of the
+training tokens (so there are 100,000 at most) has a small number instead, its class.
+That only decides where it is looked up: classes travel with the tasks, and a pair that
+holds another word is dealt by that word, which is never hot.
 
 The recursion ``P(w|h) = d c(hw) / c(h)`` if seen, else ``a(h) P(w)``, is taken apart
 for scoring: each token gives ``log a(h) + log P(w)``, and a seen pair adds a correction
@@ -30,7 +34,7 @@ from .scratch import drop, stored
 from .textops import chunks, signed, split_words, word_hashes
 
 CLASS_SHARE, LIST_SHARE, GT_ORDER = 1e-5, 1e-6, 5
-END, RARE = 0, 1  # classes; as a history, END stands for the beginning
+END, RARE = 0, 1  # classes: the end, as a history the beginning; what training has not shown
 END_KEY = int(word_hashes([b" "])[0, 0].astype(np.int64))  # no word holds a space
 GATHER = 2_000_000  # tokens that a task counts together
 
@@ -89,8 +93,9 @@ class Lists:
     unigrams: Unigrams
     keys: np.ndarray  # words with a share of LIST_SHARE, and the end
     counts: np.ndarray
-    class_keys: np.ndarray  # words with a class of their own
+    class_keys: np.ndarray  # words with a class
     log_backoff: np.ndarray | None = None  # by history class
+    key_backoff: np.ndarray | None = None  # by place in keys
     pair_codes: np.ndarray | None = None
     pair_gain: np.ndarray | None = None
 
@@ -102,7 +107,7 @@ class Lists:
 @dataclass
 class Model:
     lists: Lists
-    words: DataFrame  # key, c
+    words: DataFrame  # key, c, b (log10 of the backoff weight)
     gains: DataFrame  # code, n, g
 
 
@@ -152,27 +157,64 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _summed(rows(), ["key", "c"])
 
 
-def _classes(words, index: np.ndarray, keys: np.ndarray, lists: Lists) -> np.ndarray:
-    """Class of every token of a chunk, texts end to end, each with its end."""
+def _names(words, index: np.ndarray, keys: np.ndarray, lists: Lists) -> np.ndarray:
+    """Class or else key of every token of a chunk, texts end to end, each with its end."""
     at, there = _found(lists.class_keys, keys)
-    own = np.where(there, at + 2, RARE)
+    own = np.where(there, at + 2, keys)
     out = np.full(len(words) + words.n_docs, END, np.int64)
     out[np.arange(len(words)) + words.doc] = own[index]
     return out
 
 
-def _pair_codes(classes: np.ndarray, n_classes: int) -> np.ndarray:
-    return np.concatenate(([END], classes[:-1])) * n_classes + classes
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of one 64-bit value, as Spark's xxhash64 chains it over columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+    h = (seed + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _pair_codes(names: np.ndarray, n_classes: int) -> np.ndarray:
+    """One number for each token with the one before: exact and not negative for two classes, else a negative hash."""
+    hist = np.concatenate(([END], names[:-1]))
+    classes = (hist >= 0) & (hist < n_classes) & (names >= 0) & (names < n_classes)
+    hashed = _hash_long(names.view(np.uint64), _hash_long(hist.view(np.uint64), np.full(len(hist), 42, np.uint64)))
+    return np.where(classes, np.where(classes, hist, 0) * n_classes + np.where(classes, names, 0), signed(hashed | np.uint64(1 << 63)))
+
+
+def _is_class(name: str, lists: Lists) -> Column:
+    return (F.col(name) >= 0) & (F.col(name) < lists.n_classes)
+
+
+def _code_of(lists: Lists) -> Column:
+    """_pair_codes for columns hist and next."""
+    classes = _is_class("hist", lists) & _is_class("next", lists)
+    return F.when(classes, F.col("hist") * lists.n_classes + F.col("next")).otherwise(F.xxhash64("hist", "next").bitwiseOR(F.lit(-(1 << 63))))
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch], lists: Lists) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for part in chunks(batches, "text"):
-            words, index, keys = _tokens(part)
-            code = _pair_codes(_classes(words, index, keys, lists), lists.n_classes)
-            yield code, np.ones(len(code), np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        code, name = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, n = np.unique(code, return_index=True, return_counts=True)
+        hist = np.concatenate(([END], name[:-1]))  # chunks end with END, so they follow each other
+        return pa.RecordBatch.from_arrays([pa.array(hist[at]), pa.array(name[at]), pa.array(n)], ["hist", "next", "n"])
 
-    return _summed(rows(), ["code", "n"])
+    for part in chunks(batches, "text"):
+        words, index, keys = _tokens(part)
+        names = _names(words, index, keys, lists)
+        held.append((_pair_codes(names, lists.n_classes), names))
+        size += len(names)
+        if size > GATHER:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
 
 
 def _counts_of_counts(table: DataFrame, column: str) -> list[int]:
@@ -200,38 +242,49 @@ def train(docs: DataFrame) -> Model:
     listed = (counts >= LIST_SHARE * tokens) | (keys == END_KEY)
     lists = Lists(uni, keys[listed], counts[listed], keys[own])
 
-    pairs = text.mapInArrow(partial(_pair_counts, lists=lists), "code long, n long")
-    pairs = stored(pairs.groupBy("code").agg(F.sum("n").alias("n")), "pairs")
+    pairs = text.mapInArrow(partial(_pair_counts, lists=lists), "hist long, next long, n long")
+    # a pair is dealt by a member that is no class, where there is one, and so meets the count of ``next`` on the way
+    other = F.when(~_is_class("next", lists), F.col("next")).when(~_is_class("hist", lists), F.col("hist")).otherwise(_code_of(lists))
+    pairs = pairs.withColumn("key", other).repartition("key").groupBy("key", "hist", "next").agg(F.sum("n").alias("n"))
+    pairs = pairs.join(words, "key", "left").select("hist", "next", "n", F.when(~_is_class("next", lists), F.col("c")).alias("c_next"))
+    pairs = stored(pairs, "pairs")
     d2 = discounts(_counts_of_counts(pairs, "n"))
     spark = docs.sparkSession
     p = np.zeros(lists.n_classes)
     p[2:] = 10 ** uni.log10_p(counts[own])
     ends = counts[keys == END_KEY]
     p[END] = 10 ** uni.log10_p(ends)[0] if len(ends) else 0.0
-    p[RARE] = max(1e-300, 1 - p.sum())
     prior = spark.createDataFrame(pa.table({"next": np.arange(len(p)), "p": p}))  # 100,002 rows at most
-    size = F.lit(lists.n_classes)
-    both = pairs.select("code", "n", F.floor(F.col("code") / size).alias("hist"), (F.col("code") % size).alias("next"))
     factor = F.when(F.col("n") > GT_ORDER, 1.0)
     for r, x in enumerate(d2, 1):
         factor = factor.when(F.col("n") == r, x)
-    both = both.withColumn("dn", factor * F.col("n")).join(F.broadcast(prior), "next")
-    sums = both.groupBy("hist").agg(F.sum("n").alias("c"), F.sum("dn").alias("dc"), F.sum("p").alias("low")).orderBy("hist").toArrow()
-    hist, c, dc, low = (sums.column(k).to_numpy().astype(float) for k in ("hist", "c", "dc", "low"))
-    below = np.where(dc < c, c, c + 1)  # a history of large counts alone gives up one
-    left, rest = 1 - dc / below, 1 - low
-    full = rest <= 1e-12  # it has shown every class: nothing to back off to
-    below = np.where(full, dc, below)
-    back = np.where(full, 1.0, left / np.where(full, 1.0, rest))
+    both = pairs.withColumn("dn", factor * F.col("n")).join(F.broadcast(prior), "next", "left")
+    both = both.withColumn("p", F.coalesce("p", F.pow(F.lit(10.0), uni.log10_p_of(F.col("c_next")))))
+    sums = both.groupBy("hist").agg(F.sum("n").alias("c"), F.sum("dn").alias("dc"), F.sum("p").alias("low"))
+    below = F.when(F.col("dc") < F.col("c"), F.col("c")).otherwise(F.col("c") + 1).cast("double")  # a history of large counts alone gives up one
+    rest = 1 - F.col("low")
+    full = rest <= 1e-12  # it has shown every word: nothing to back off to
+    sums = sums.withColumn("below", F.when(full, F.col("dc")).otherwise(below))
+    sums = stored(sums.select("hist", "below", F.when(full, 1.0).otherwise((1 - F.col("dc") / F.col("below")) / rest).alias("back")), "histories")
+    often = sums.where(_is_class("hist", lists))
+    found = often.orderBy("hist").toArrow()
     lists.log_backoff = np.zeros(lists.n_classes)
-    lists.log_backoff[hist.astype(int)] = np.log10(back)
-    table = spark.createDataFrame(pa.table({"hist": hist.astype(np.int64), "below": below, "back": back}))
+    lists.log_backoff[found.column("hist").to_numpy()] = np.log10(found.column("back").to_numpy())
     gain = F.log10(F.col("dn") / F.col("below")) - F.log10("back") - F.log10("p")
-    gains = stored(both.join(F.broadcast(table), "hist").select("code", "n", gain.alias("g")), "gains")
+    met = both.where(_is_class("hist", lists)).join(F.broadcast(often), "hist")
+    met = met.unionByName(both.where(~_is_class("hist", lists)).join(sums.where(~_is_class("hist", lists)), "hist"))
+    gains = stored(met.select(_code_of(lists).alias("code"), "n", gain.alias("g")), "gains")
     drop(pairs)
+    classes = pa.table({"key": np.concatenate(([END_KEY], lists.class_keys)), "b": np.delete(lists.log_backoff, RARE)})
+    weights = sums.where(~_is_class("hist", lists)).select(F.col("hist").alias("key"), F.log10("back").alias("b")).union(spark.createDataFrame(classes))
+    whole = stored(words.join(weights, "key", "left").select("key", "c", F.coalesce("b", F.lit(0.0)).alias("b")), "words")
+    drop(words)
+    drop(sums)
+    listed = whole.where((F.col("c") >= LIST_SHARE * tokens) | (F.col("key") == END_KEY)).orderBy("key").toArrow()
+    lists.key_backoff = listed.column("b").to_numpy()
     top = gains.where(F.col("n") >= LIST_SHARE * max(1, tokens)).orderBy("code").toArrow()
     lists.pair_codes, lists.pair_gain = top.column("code").to_numpy(), top.column("g").to_numpy()
-    return Model(lists, words, gains)
+    return Model(lists, whole, gains)
 
 
 #: What a row of _evidence says: what its key is (or whose sum its val is).
@@ -253,18 +306,17 @@ def _evidence(batches: Iterator[pa.RecordBatch], lists: Lists) -> Iterator[pa.Re
         end = np.array([ends[0] if len(ends) else 0])
         uni = lists.unigrams
         base_of, p_of = np.where(listed, uni.log10_base(c), 0), np.where(listed, uni.log10_p(c), 0)
+        if len(lists.keys):  # each word is a history once
+            p_of = p_of + np.where(listed, lists.key_backoff[at], 0)
         doc_sum = lambda v: np.bincount(words.doc, weights=v, minlength=n_docs)
         base = doc_sum(base_of[index]) + uni.log10_base(end)[0]
-        score = doc_sum(p_of[index]) + uni.log10_p(end)[0]
+        score = doc_sum(p_of[index]) + uni.log10_p(end)[0] + lists.log_backoff[END]
         known = doc_sum(listed[index].astype(float)) + (end[0] > 0)
-        classes = _classes(words, index, keys, lists)
-        code = _pair_codes(classes, lists.n_classes)
+        code = _pair_codes(_names(words, index, keys, lists), lists.n_classes)
         token_doc = np.repeat(np.arange(n_docs), words.per_doc + 1)
         at, often = _found(lists.pair_codes, code)
-        gain = lists.log_backoff[code // lists.n_classes]
         if len(lists.pair_codes):
-            gain = gain + np.where(often, lists.pair_gain[at], 0)
-        score = score + np.bincount(token_doc, weights=gain, minlength=n_docs)
+            score = score + np.bincount(token_doc, weights=np.where(often, lists.pair_gain[at], 0), minlength=n_docs)
 
         other = np.flatnonzero(~listed[index]) if len(index) else index
         both, n = np.unique(words.doc[other] * max(1, len(keys)) + index[other], return_counts=True)
@@ -305,8 +357,8 @@ def score(docs: DataFrame, model: Model, held: Column) -> DataFrame:
     source = source.withColumn("_row", F.monotonically_increasing_id())
     rows = source.mapInArrow(partial(_evidence, lists=lists), "_row long, key long, what long, val double")
     kind = F.when(F.col("what") >= 0, F.col("what") % 2).otherwise(F.lit(-1))
-    tables = model.words.select(F.lit(WORD).cast("long").alias("kind"), "key", F.col("c").cast("double").alias("x")).union(
-        model.gains.select(F.lit(PAIR).cast("long"), F.col("code"), F.col("g"))
+    tables = model.words.select(F.lit(WORD).cast("long").alias("kind"), "key", F.col("c").cast("double").alias("x"), "b").union(
+        model.gains.select(F.lit(PAIR).cast("long"), F.col("code"), F.col("g"), F.lit(0.0))
     )
     rows = rows.withColumn("kind", kind.cast("long"))
     met = rows.join(tables, ["key", "kind"], "left")
@@ -322,7 +374,7 @@ def score(docs: DataFrame, model: Model, held: Column) -> DataFrame:
         F.round(total(said(KNOWN), word(F.when(c > 0, 1.0).otherwise(0.0)))).cast("long").alias("n_known"),
         F.lit(uni.tokens).cast("long").alias("train_tokens"),
         F.round(total(said(BASE), word(uni.log10_base_of(c))), 9).alias("base_score"),
-        F.round(total(said(SCORE), word(uni.log10_p_of(c)), F.when(F.col("kind") == PAIR, n * c)), 9).alias("score"),
+        F.round(total(said(SCORE), word(uni.log10_p_of(c) + F.coalesce("b", F.lit(0.0))), F.when(F.col("kind") == PAIR, n * c)), 9).alias("score"),
     )
     return summed.drop("_row")
 
