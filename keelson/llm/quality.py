@@ -9,15 +9,16 @@ References come from all documents, by the ``lang`` column.  The common words of
 language are exactly those with a share of ``COMMON`` or more of its words.  They are
 found without shuffling the vocabulary: each chunk names the words with half that share
 of its own, whose sums leave at most 2 / COMMON candidates a language, and a second pass
-counts those exactly.  Languages with a share of ``RARE_LANGUAGE`` of the documents have
-a reference, so there are 100 at most; documents of others are held against the nearest.
+counts those exactly.  Every language with ``MIN_REFERENCE_WORDS`` words has a reference,
+whatever its share of the documents; of others, and of documents without a language, the
+rules say nothing.  References travel with tasks, those of ``SHARD`` languages at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .scratch import drop, stored
 from .textops import Words, chunks, raw_text, split_words
 
-COMMON, RARE_LANGUAGE, MAX_WORD_BYTES = 1 / 500, 0.01, 64
+COMMON, MAX_WORD_BYTES = 1 / 500, 64
+#: At so many words sampling moves a reference by 0.03 at most (WORD_SLACK over the root), a tenth of what is allowed.
+MIN_REFERENCE_WORDS, SHARD = 10_000, 200
 MIN_CHARS, MIN_WORDS = 200, 80
 #: Distance that is always allowed, and what is allowed on top for a text of one character or word.
 MAX_CLASS_DISTANCE, CLASS_SLACK = 0.25, 1.0
@@ -127,34 +130,38 @@ def _count_candidates(batches: Iterator[pa.RecordBatch], candidates: dict[str, l
     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "word", "n"])
 
 
+def _shards(names: list[str]) -> list[list[str]]:
+    return [names[k : k + SHARD] for k in range(0, len(names), SHARD)]
+
+
 def references(docs: DataFrame) -> dict[str, Reference]:
-    """The reference of each language with a sufficient share of ``docs(text, lang)``."""
+    """The reference of each language with enough words in ``docs(text, lang)``."""
     named = docs.where("lang is not null").mapInArrow(_named_words, "lang string, kind string, word binary, n long")
     table = stored(named.groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "shares")
-    size = table.where("kind = 'd'").agg(F.sum("n")).first()[0] or 0
-    langs = sorted(r["lang"] for r in table.where((F.col("kind") == "d") & (F.col("n") >= RARE_LANGUAGE * size)).select("lang").collect())
-    mine = table.where(F.col("lang").isin(langs)) if langs else table.where("false")
-    n_words = {r["lang"]: r["n"] for r in mine.where("kind = 'w'").collect()}
-    classes = {lang: np.zeros(N_CLASSES) for lang in langs}
-    for r in mine.where("kind = 'c'").collect():
-        classes[r["lang"]][int(bytes(r["word"]))] = r["n"]
-    candidates: dict[str, list[bytes]] = {lang: [] for lang in langs}
-    for lang in langs:  # at most 2 / COMMON words each
-        rows = mine.where((F.col("lang") == lang) & (F.col("kind") == "k") & (F.col("n") >= COMMON / 2 * n_words[lang])).select("word").collect()
-        candidates[lang] = sorted(bytes(r["word"]) for r in rows)
-    drop(table)
-    exact = docs.where(F.col("lang").isin(langs) if langs else F.lit(False))
-    counted = exact.mapInArrow(partial(_count_candidates, candidates=candidates), "lang string, word binary, n long")
-    found: dict[str, dict[bytes, int]] = {lang: {} for lang in langs}
-    for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-        if r["n"] >= COMMON * n_words[r["lang"]]:
-            found[r["lang"]][bytes(r["word"])] = r["n"]
+    n_words = {r["lang"]: r["n"] for r in table.where((F.col("kind") == "w") & (F.col("n") >= MIN_REFERENCE_WORDS)).collect()}
+    langs = sorted(n_words)
+    sizes = table.where((F.col("kind") == "w") & (F.col("n") >= MIN_REFERENCE_WORDS)).select("lang", F.col("n").alias("of"))
+    named_often = table.where("kind = 'k'").join(sizes, "lang").where(F.col("n") >= COMMON / 2 * F.col("of"))
     out = {}
-    for lang in langs:
-        words = sorted(found[lang])
-        n = np.array([found[lang][w] for w in words], float)
-        shares = np.concatenate(([max(0.0, n_words[lang] - n.sum())], n)) / max(1, n_words[lang])
-        out[lang] = Reference(classes[lang] / max(1.0, classes[lang].sum()), {w: k + 1 for k, w in enumerate(words)}, shares)
+    for shard in _shards(langs):
+        classes = {lang: np.zeros(N_CLASSES) for lang in shard}
+        for r in table.where((F.col("kind") == "c") & F.col("lang").isin(shard)).collect():
+            classes[r["lang"]][int(bytes(r["word"]))] = r["n"]
+        candidates: dict[str, list[bytes]] = {lang: [] for lang in shard}
+        for r in named_often.where(F.col("lang").isin(shard)).select("lang", "word").collect():  # at most 2 / COMMON words each
+            candidates[r["lang"]].append(bytes(r["word"]))
+        candidates = {lang: sorted(words) for lang, words in candidates.items()}
+        counted = docs.where(F.col("lang").isin(shard)).mapInArrow(partial(_count_candidates, candidates=candidates), "lang string, word binary, n long")
+        found: dict[str, dict[bytes, int]] = {lang: {} for lang in shard}
+        for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+            if r["n"] >= COMMON * n_words[r["lang"]]:
+                found[r["lang"]][bytes(r["word"])] = r["n"]
+        for lang in shard:
+            words = sorted(found[lang])
+            n = np.array([found[lang][w] for w in words], float)
+            shares = np.concatenate(([max(0.0, n_words[lang] - n.sum())], n)) / max(1, n_words[lang])
+            out[lang] = Reference(classes[lang] / max(1.0, classes[lang].sum()), {w: k + 1 for k, w in enumerate(words)}, shares)
+    drop(table)
     return out
 
 
@@ -202,22 +209,17 @@ def _judge(batches: Iterator[pa.RecordBatch], refs: dict[str, Reference]) -> Ite
         n_words = words.per_doc
         failed = (n_words < 50) | (100 * again > 50 * n_words)
         lang = np.array(part.column("lang").to_pylist(), object)
-        by_class, by_word = np.ones(n), np.ones(n)
+        by_class, by_word = np.zeros(n), np.zeros(n)  # no reference, no objection
         for name, ref in refs.items():
-            mine = np.array([x == name or x not in refs for x in lang], bool)
+            mine = lang == name
             if not mine.any():
                 continue
             place = np.array([ref.words.get(w, 0) for w in distinct], np.int64)
             some = mine[words.doc] if len(words) else np.zeros(0, bool)
             k = len(ref.shares)
             counts = np.bincount(words.doc[some] * k + place[index[some]], minlength=n * k).reshape(n, k)
-            a = js_distance(classes[mine], ref.classes)
-            b = js_distance(counts[mine], ref.shares)
-            nearer = a + b < by_class[mine] + by_word[mine]
-            by_class[mine] = np.where(nearer, a, by_class[mine])
-            by_word[mine] = np.where(nearer, b, by_word[mine])
-        if not refs:
-            by_class[:] = by_word[:] = 0
+            by_class[mine] = js_distance(classes[mine], ref.classes)
+            by_word[mine] = js_distance(counts[mine], ref.shares)
         chars = classes.sum(axis=1)
         odd = (chars >= MIN_CHARS) & (by_class > MAX_CLASS_DISTANCE + CLASS_SLACK / np.sqrt(np.maximum(chars, 1)))
         odd |= (n_words >= MIN_WORDS) & (by_word > MAX_WORD_DISTANCE + WORD_SLACK / np.sqrt(np.maximum(n_words, 1)))
@@ -233,13 +235,18 @@ def judge_quality(docs: DataFrame, refs: dict[str, Reference] | None = None) ->
     """Counts, distances and verdict for every row of ``docs(doc_id, text, lang)``.
 
     A null or empty text has no words and fails the base rule.  A document whose lang
-    is null, or has no reference, is held against the nearest reference; with no
-    reference at all (no labelled rows) distances are 0.  Repeated rows are judged
-    alike, null ids stay, an empty table gives no rows, other columns are not read.
+    is null, or has no reference, has distances of 0: only the base rule judges it.
+    Repeated rows are judged alike, null ids stay, an empty table gives no rows, other
+    columns are not read.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     refs = references(source.select("text", "lang")) if refs is None else refs
-    return source.mapInArrow(partial(_judge, refs=refs), ROW)
+    shards = _shards(sorted(refs))
+    if len(shards) < 2:
+        return source.mapInArrow(partial(_judge, refs=refs), ROW)
+    parts = [source.where(F.col("lang").isin(shard)).mapInArrow(partial(_judge, refs={x: refs[x] for x in shard}), ROW) for shard in shards]
+    rest = source.where(~F.coalesce(F.col("lang").isin(sorted(refs)), F.lit(False)))
+    return reduce(DataFrame.union, parts, rest.mapInArrow(partial(_judge, refs={}), ROW))
 
 
 def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
