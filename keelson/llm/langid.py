@@ -6,8 +6,9 @@ several widths, a rectifier, the maximum over positions and a softmax layer; win
 log-probabilities, weighted by the bytes in each window, are summed for the text.
 
 The network is fitted on the driver on a bounded sample of labelled rows:
-``PER_LANGUAGE`` texts of each of the ``MAX_LANGUAGES`` most frequent languages, of
-each text one passage of ``PASSAGE`` characters, chosen by hashes.
+``PER_LANGUAGE`` texts of every language, fewer of each where that makes more than
+``MAX_ROWS`` (but one at least), of each text one passage of ``PASSAGE`` characters,
+chosen by hashes.
 Everything else reads all rows.
 """
 
@@ -27,8 +28,8 @@ from .textops import chunks, raw_text
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 10, 8
-PER_LANGUAGE, MAX_LANGUAGES, PASSAGE = 500, 64, 600
-SPARE = 3  # times the rows needed pass the first cut
+PER_LANGUAGE, MAX_ROWS, PASSAGE = 500, 32_000, 600
+SPARE, SPARE_ROWS = 3, 20  # times the rows needed, and so many more, pass the first cut
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 7
 SCORED_AT_ONCE = 384  # windows
 UNKNOWN, PAD = "und", 256
@@ -161,16 +162,17 @@ def training_sample(labelled: DataFrame) -> tuple[list[str], list[str]]:
     few times as many, so rows of a language that meet for the ranking are few, too.
     """
     named = labelled.where("text is not null and lang is not null and length(text) > 0")
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not common:
+    known = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    if not known:
         return [], []
+    each = max(1, min(PER_LANGUAGE, MAX_ROWS // len(known)))
     h = F.xxhash64("doc_id", "text")
-    share = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], SPARE * PER_LANGUAGE / r["count"])])
+    share = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], (SPARE * each + SPARE_ROWS) / r["count"])])
     low = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53) < F.try_element_at(share, F.col("lang"))
     part = F.expr(f"substring(text, 1 + pmod(xxhash64(text), greatest(1, length(text) - {PASSAGE})), {PASSAGE})")
     chosen = named.where(low).select("lang", h.alias("h"), part.alias("text"))
     best = Window.partitionBy("lang").orderBy("h", "text")
-    rows = chosen.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PER_LANGUAGE).orderBy("lang", "k").collect()
+    rows = chosen.withColumn("k", F.row_number().over(best)).where(F.col("k") <= each).orderBy("lang", "k").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
