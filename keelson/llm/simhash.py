@@ -12,7 +12,8 @@ blocks, once for each of the 28 choices; what meets in such a cell is discarded
 the largest coordinate difference (a distance of d moves no coordinate by more than
 d) and survivors are verified on the bits.  A cell fixes 48 of 64 bits, so it never
 holds more than 65,536 distinct fingerprints, whatever the input.  Only links to the
-first member of each cluster within a cell leave it, never all pairs.
+first member of each cluster within a cell leave it, never all pairs, and pairs that
+are known to be linked are not verified again.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .scratch import stored
 from .textops import chunks, signed, split_words
 
 BITS, BLOCKS, MAX_DISTANCE = 64, 8, 2
-SMALL_CELL = 48  # up to here members of a cell are compared by shifts, beyond by bit flips
+CELL_MASK = 31  # the last bits of a cell's key number its choice of open blocks
+TABLE_ROWS, PAIR_ROWS, HELD_ROWS = 4_096, 1 << 17, 65_536  # rows, pairs and members that a task holds together
 SEED = 42
 
 
@@ -64,7 +66,7 @@ def _cell_keys(table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             if b not in left_out:
                 h = (h ^ keys[:, b]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-        yield cell, h
+        yield cell, (h & ~np.uint64(CELL_MASK)) | np.uint64(cell)
 
 
 def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -106,82 +108,111 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column("fp").to_numpy().view(np.uint64)
-        for at in range(0, len(prints), 65536):
-            some = prints[at : at + 65536]
+        for at in range(0, len(prints), TABLE_ROWS):
+            some = prints[at : at + TABLE_ROWS]
             for _, keys in _cell_keys(pivot_table(some)):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(some))], ["cell", "fp"])
 
 
 def _verified(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether each pair is linked: first by the largest coordinate difference, then by the bits."""
-    near = np.abs(pivot_table(x) - pivot_table(y)).max(axis=1) <= MAX_DISTANCE
-    near[near] = np.bitwise_count(x[near] ^ y[near]) <= MAX_DISTANCE
-    return near
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), TABLE_ROWS):
+        u, v = x[at : at + TABLE_ROWS], y[at : at + TABLE_ROWS]
+        near = np.abs(pivot_table(u) - pivot_table(v)).max(axis=1) <= MAX_DISTANCE
+        near[near] = np.bitwise_count(u[near] ^ v[near]) <= MAX_DISTANCE
+        out[at : at + TABLE_ROWS] = near
+    return out
+
+
+def _block_near() -> np.ndarray:
+    """Which values of one block (256, 256) no coordinate of that block tells apart by more than the distance."""
+    local = pivot_table(np.arange(256, dtype=np.uint64))[:, :9]  # to zero and to the eight words of the block
+    return (np.abs(local[:, None] - local[None]) <= MAX_DISTANCE).all(axis=2)
+
+
+def _merge(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the components of each pair; ``root`` is the least member of each, in place."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, up := root[root]):
+            root[:] = up
+
+
+def _links_of_cells(cells: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole cells, rows sorted by (cell, fp): each linked member, to the least of its component in the cell.
+
+    A cell leaves two blocks open.  Members with the same higher one are a *group*.
+    Groups that a coordinate of that block tells apart are never paired; pairs of
+    members are discarded by the coordinates of the lower block, then by the whole
+    table.  ``PAIR_ROWS`` pairs are looked at together, whatever the cell holds.
+    """
+    open_ = np.array(list(combinations(range(BLOCKS), MAX_DISTANCE)), np.uint64)[cells & CELL_MASK]
+    byte = lambda k: ((prints >> (open_[:, k] * np.uint64(8))) & np.uint64(255)).astype(np.int64)
+    low, high = byte(0), byte(1)
+    near = _block_near()
+    begin = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (high[1:] != high[:-1]))))
+    size = np.diff(np.append(begin, len(cells)))
+    root = np.arange(len(cells))
+    for shift in range(len(begin)):  # 255 at most: a cell has 256 groups
+        g = np.arange(len(begin) - shift)
+        same = cells[begin[g]] == cells[begin[g + shift]]
+        if not same.any():
+            break
+        g = g[same & near[high[begin[g]], high[begin[g + shift]]] & (size[g] * size[g + shift] > (shift == 0))]
+        upto = np.cumsum(size[g] * size[g + shift])
+        at = 0
+        while at < len(g):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIR_ROWS, side="right")))
+            some = g[at:to]
+            at = to
+            n = size[some] * size[some + shift]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            wide = np.repeat(size[some + shift], n)
+            x, y = np.repeat(begin[some], n) + k // wide, np.repeat(begin[some + shift], n) + k % wide
+            few = np.flatnonzero((x < y) & near[low[x], low[y]])
+            few = few[root[x[few]] != root[y[few]]]  # the rest is known to be linked
+            few = few[_verified(prints[x[few]], prints[y[few]])]
+            _merge(root, x[few], y[few])
+    linked = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+    return prints[linked], prints[root[linked]]
 
 
 def _linked_within(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among sorted distinct fingerprints of a large cell: each to its least neighbours by flipped bits."""
+    """Links among sorted distinct fingerprints that differ in two blocks at most, as one cell."""
     spread = int(np.bitwise_or.reduce(members ^ members[0]))
-    bits = [np.uint64(1 << b) for b in range(BITS) if spread >> b & 1]
-    masks = [*bits, *(x | y for x, y in combinations(bits, 2))]
-    a, b = [], []
-    for mask in masks:
-        other = members ^ mask
-        at = np.minimum(np.searchsorted(members, other), len(members) - 1)
-        hit = (members[at] == other) & (other < members)
-        a.append(members[hit])
-        b.append(other[hit])
-    x, y = np.concatenate(a), np.concatenate(b)
-    # each member keeps its least neighbour and a spanning set of the rest: a union-find in this cell
-    root = {}
-
-    def find(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for u, v in zip(x.tolist(), y.tolist(), strict=True):
-        p, q = find(u), find(v)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-    nodes = list(root)
-    return np.array(nodes, np.uint64), np.array([find(v) for v in nodes], np.uint64)
+    differ = {b for b in range(BLOCKS) if spread >> (8 * b) & 255}
+    cell = next(k for k, blocks in enumerate(combinations(range(BLOCKS), MAX_DISTANCE)) if differ <= set(blocks))
+    return _links_of_cells(np.full(len(members), cell), members)
 
 
 def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by (cell, fp); a cell may span batches, but holds 65,536 rows at most."""
-    cells, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
     def links(cells: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.zeros(0, np.int64)
-        size = np.diff(np.append(begin, len(cells)))
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        few = np.repeat((size > 1) & (size <= SMALL_CELL), size)
-        for shift in range(1, min(SMALL_CELL, int(size.max(initial=1)))):
-            at = np.flatnonzero(few[shift:] & (cells[shift:] == cells[:-shift]))
-            if not len(at):
-                break
-            x, y = prints[at + shift], prints[at]
-            near = _verified(x, y)
-            a.append(x[near])
-            b.append(y[near])
-        for k in np.flatnonzero(size > SMALL_CELL):
-            x, y = _linked_within(np.unique(prints[begin[k] : begin[k] + size[k]]))
-            a.append(x)
-            b.append(y)
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        x, y = _links_of_cells(cells, prints)
+        pairs = np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(signed(pairs[:, 0].copy())), pa.array(signed(pairs[:, 1].copy()))], ["a", "b"])
 
     for batch in batches:
-        cells = np.concatenate((cells, batch.column("cell").to_numpy()))
-        prints = np.concatenate((prints, batch.column("fp").to_numpy().view(np.uint64)))
-        if len(cells) < 200_000:
+        held.append((batch.column("cell").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)))
+        size += batch.num_rows
+        if size < HELD_ROWS:
             continue
+        cells, prints = (np.concatenate(x) for x in zip(*held, strict=True))
         cut = int(np.searchsorted(cells, cells[-1]))
-        yield links(cells[:cut], prints[:cut])
-        cells, prints = cells[cut:], prints[cut:]
-    yield links(cells, prints)
+        if cut:
+            yield links(cells[:cut], prints[:cut])
+        held, size = [(cells[cut:], prints[cut:])], len(cells) - cut
+    if size:
+        yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def near_links(prints: DataFrame) -> DataFrame:
