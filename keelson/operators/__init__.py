@@ -1 +1,7 @@
 """Relational operators: DataFrame in, DataFrame out, key columns as parameters."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need the public libraries only

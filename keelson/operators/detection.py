@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
-from .sampling import BUCKETS, range_bucket
+from .sampling import Ranges, range_bucket
 
 MAX_DETECTIONS = 100
 RECALLS = 101
+LEVELS = tuple(range(50, 100, 5))  # IoU thresholds in hundredths
 #: Areas in pixels: all, small, medium, large.
-AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+AREAS = {"all": (0.0, float("inf")), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, float("inf"))}
 
 
 def thresholds() -> Column:
     """0.50 to 0.95 by 0.05, in hundredths."""
-    return F.array(*[F.lit(t) for t in range(50, 100, 5)])
+    return F.array(*[F.lit(t) for t in LEVELS])
 
 
 def flatten_results(results: DataFrame, categories: DataFrame) -> DataFrame:
@@ -29,53 +35,73 @@ def flatten_results(results: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.join(index, "label").select("image_id", "category_id", "bbox", "score")
 
 
-def match(detections: DataFrame, truths: DataFrame, limit: int = MAX_DETECTIONS) -> DataFrame:
-    """``(image_id, category_id, det_id, score, t, tp, ignored, det_area)`` for every detection and threshold ``t``.
-
-    Within an image and class, detections in order of score each take the free ground
-    truth with the largest IoU of at least t (a later one on a tie); a crowd truth can
-    be taken by many and makes its detections ignored.  ``detections(image_id,
-    category_id, det_id, bbox, score)``; ``truths(image_id, category_id, gt_id, bbox)``
-    with an optional ``iscrowd``.  Both sides of an image and class are one row of
-    arrays, matched by a fold; the best ``limit`` detections take part.
+def match_wide(detections: DataFrame, truths: DataFrame, areas: Sequence[str] = ("all",), limit: int = MAX_DETECTIONS) -> DataFrame:
+    """``(image_id, category_id, area, det_id, score, tps, ignores)``: a row for each detection and area band.
+
+    ``tps`` and ``ignores`` hold one flag for each threshold.  Within an image and class,
+    detections in order of score each take the free ground truth with the largest IoU
+    that reaches the threshold (a later one on a tie).  Crowds, and truths outside the
+    area band, are *ignored*: they are taken only where no other can be, and then the
+    detection counts neither way; a crowd can be taken by many.  An unmatched detection
+    outside the band is ignored, too.  ``detections(image_id, category_id, det_id, bbox,
+    score)``; ``truths(image_id, category_id, gt_id, bbox)`` with an optional
+    ``iscrowd``.  Both sides of an image and class are one row of arrays, matched by a
+    fold over the candidates alone; the best ``limit`` detections take part.
     """
     key = ["image_id", "category_id"]
     truths = truths if "iscrowd" in truths.columns else truths.withColumn("iscrowd", F.lit(0))
     best = Window.partitionBy(*key).orderBy(F.desc("score"), "det_id")
     kept = detections.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= limit)
     dets = kept.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_k", "det_id", "score", "bbox"))).alias("dets"))
-    gts = truths.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("iscrowd"), F.col("gt_id"), F.col("bbox")))).alias("gts"))
+    gts = truths.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"), F.col("gt_id"), F.col("bbox")))).alias("gts"))
     met = dets.join(gts, key, "left").withColumn("gts", F.coalesce("gts", F.array().cast(gts.schema["gts"].dataType)))
-    met = met.withColumn("ious", F.transform("dets", lambda d: F.transform("gts", lambda g: _overlap(d["bbox"], g))))
-    met = met.withColumn("t", F.explode(thresholds()))
-    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("hits"))
-
-    def step(state: Column, row: Column) -> Column:
-        free = F.filter(
-            F.transform(row, lambda v, i: F.struct(v.alias("v"), i.alias("i"))),
-            lambda c: (c["v"] >= F.col("t") / 100.0) & ((F.get("gts", c["i"])["iscrowd"] == 1) | ~F.array_contains(state["taken"], c["i"])),
-        )
-        real = F.filter(free, lambda c: F.get("gts", c["i"])["iscrowd"] == 0)
-        top = F.array_max(F.when(F.size(real) > 0, real).otherwise(free))
-        hit = F.coalesce(top["i"], F.lit(-1))
-        return F.struct(F.array_append(state["taken"], hit).alias("taken"), F.array_append(state["hits"], hit).alias("hits"))
-
-    met = met.withColumn("hits", F.aggregate("ious", start, step, lambda s: s["hits"]))
-    each = met.select(*key, "t", "gts", F.explode(F.arrays_zip("dets", "hits")).alias("m"))
-    hit = F.col("m.hits")
-    crowd = F.coalesce(F.get("gts", F.when(hit >= 0, hit))["iscrowd"] == 1, F.lit(False))
-    box = F.col("m.dets.bbox")
+
+    def near(d: Column) -> Column:
+        """Truths that reach the lowest threshold: overlap, index, area, whether a crowd."""
+        each = F.transform("gts", lambda g, i: F.struct(_overlap(d["bbox"], g).alias("v"), i.alias("i"), _area(g["bbox"]).alias("size"), (g["iscrowd"] == 1).alias("crowd")))
+        return F.filter(each, lambda c: c["v"] >= LEVELS[0] / 100.0)
+
+    met = met.withColumn("near", F.transform("dets", near))
+    bands = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(AREAS[a][0]).alias("low"), F.lit(AREAS[a][1]).alias("high")) for a in areas])
+    met = met.withColumn("band", F.explode(bands))
+    out = lambda size: (size < F.col("band.low")) | (size > F.col("band.high"))
+    ranked = lambda c: F.struct((~c["crowd"] & ~out(c["size"])).alias("real"), c["v"].alias("v"), c["i"].alias("i"), c["crowd"].alias("crowd"))
+    met = met.withColumn("near", F.transform("near", lambda row: F.transform(row, ranked)))
+    nothing = F.array().cast("array<struct<real:boolean,v:double,i:int,crowd:boolean>>")
+
+    def hits(t: Column) -> Column:
+        """What each detection takes at one threshold, null for nothing."""
+
+        def step(taken: Column, row: Column) -> Column:
+            free = F.filter(row, lambda c: (c["v"] >= t / 100.0) & (c["crowd"] | ~F.exists(taken, lambda x: x["i"].eqNullSafe(c["i"]))))
+            return F.array_append(taken, F.array_max(free))
+
+        return F.aggregate("near", nothing, step)
+
+    met = met.withColumn("hits", F.transform(thresholds(), hits))
+    each = met.select(*key, "band", "hits", F.posexplode("dets").alias("_at", "d"))
+    hit = F.transform("hits", lambda h: F.get(h, F.col("_at")))
+    each = each.withColumn("hit", hit).withColumn("outside", out(_area(F.col("d.bbox"))))
     return each.select(
         *key,
-        F.col("m.dets.det_id").alias("det_id"),
-        F.col("m.dets.score").alias("score"),
-        F.col("t"),
-        ((hit >= 0) & ~crowd).alias("tp"),
-        crowd.alias("ignored"),
-        (F.get(box, 2) * F.get(box, 3)).alias("det_area"),
+        F.col("band.area").alias("area"),
+        F.col("d.det_id").alias("det_id"),
+        F.col("d.score").alias("score"),
+        F.transform("hit", lambda h: F.coalesce(h["real"], F.lit(False))).alias("tps"),
+        F.transform("hit", lambda h: F.coalesce(~h["real"], F.col("outside"))).alias("ignores"),
     )
 
 
+def match(detections: DataFrame, truths: DataFrame, limit: int = MAX_DETECTIONS) -> DataFrame:
+    """``(image_id, category_id, det_id, score, t, tp, ignored)`` of :func:`match_wide` for every detection and threshold ``t``."""
+    each = match_wide(detections, truths, limit=limit).withColumn("m", F.explode(F.arrays_zip(thresholds().alias("t"), F.col("tps"), F.col("ignores"))))
+    return each.select("image_id", "category_id", "det_id", "score", F.col("m.t").alias("t"), F.col("m.tps").alias("tp"), F.col("m.ignores").alias("ignored"))
+
+
+def _area(box: Column) -> Column:
+    return F.get(box, 2) * F.get(box, 3)
+
+
 def _overlap(box: Column, truth: Column) -> Column:
     """IoU; against a crowd, the share of the detection inside it."""
     g = truth["bbox"]
@@ -90,47 +116,71 @@ def average_precision(matched: DataFrame, truth_counts: DataFrame, cls: str = "c
     """``(cls, t, ap)``: interpolated precision at 101 recall levels; null for a class without ground truth.
 
     ``matched(cls, det_id, score, t, tp[, ignored])``; ``truth_counts(cls, n_gt)``.
-    The envelope is the largest precision at this recall or more; each recall level
-    looks up the first point that reaches it.
     """
-    rows = matched.where(~F.col("ignored")) if "ignored" in matched.columns else matched
-    points = _envelopes(rows.withColumn("_h", F.col("tp").cast("int")), [cls, "t"], "score", "det_id", ["_h"])
-    points = points.select(cls, "t", "tp", F.col("_h_n").alias("_tp"), F.col("_h_env").alias("_env"))
-    return _interpolated(points.where("tp"), truth_counts, cls)
-
-
-def _envelopes(rows: DataFrame, keys: list[str], score: str, det_id: str, flags: list[str]) -> DataFrame:
-    """For each 0/1 flag ``f`` in order of score: hits so far ``f_n``, and the largest precision from here on ``f_env``.
-
-    A class may hold most detections, so rows are dealt out by class and score bucket.
-    Sums of the buckets before a row's own, and the largest precision of those after it,
-    come from one row for each bucket.
+    flags = {"tps": F.array(*[(F.col("t") == t) & F.col("tp") for t in LEVELS])}
+    other = F.col("ignored") if "ignored" in matched.columns else F.lit(False)
+    flags["ignores"] = F.array(*[(F.col("t") != t) | other for t in LEVELS])
+    return average_precision_wide(matched.select(cls, "score", "det_id", *(c.alias(n) for n, c in flags.items())), truth_counts, cls)
+
+
+def _hit_places(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """For each run of rows of one class and bucket, and each threshold: how many count, and the place of each hit among those."""
+    for seq, batch in enumerate(batches):
+        if not batch.num_rows:
+            continue
+        flags = {n: batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(LEVELS)) for n in ("tps", "ignores") if n in batch.schema.names}
+        counts = ~flags["ignores"] if "ignores" in flags else np.ones_like(flags["tps"])
+        ids = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in (*keys, "_b")]
+        cut = np.flatnonzero(np.any([i[1:] != i[:-1] for i in ids], axis=0)) + 1
+        begin = np.concatenate(([0], cut))
+        at, n, tp = [], [], []
+        for s, e in zip(begin, [*cut, batch.num_rows], strict=True):
+            place = np.cumsum(counts[s:e], axis=0)
+            for k in range(len(LEVELS)):
+                at.append(place[flags["tps"][s:e, k], k])
+                n.append(place[-1, k])
+                tp.append(len(at[-1]))
+        rows = pa.array(np.repeat(begin, len(LEVELS)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(tp))).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int64)))
+        columns = [batch.column(k).take(rows) for k in (*keys, "_b")]
+        numbers = [pa.array(np.tile(np.array(LEVELS, np.int32), len(begin))), pa.array(np.full(len(rows), seq)), pa.array(n, pa.int64()), pa.array(tp, pa.int64()), lists]
+        yield pa.RecordBatch.from_arrays([*columns, *numbers], [*keys, "_b", "t", "seq", "n", "tp", "at"])
+
+
+def _hits(rows: DataFrame, keys: list[str], ranges: Ranges, det_id: str) -> DataFrame:
+    """``(keys, t, _tp, _p)``: number and precision of each true positive in order of falling score.
+
+    A class may hold most detections, so rows are dealt out and sorted by class and score
+    bucket; what the buckets of higher scores hold is added from one row for each bucket
+    and threshold, which carries the places of its hits.  The rows are read once.
     """
-    marked = rows.withColumn("_b", BUCKETS - range_bucket(rows, score))
+    named = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{k}` {named[k]}" for k in keys), "_b int, t int, seq long, n long, tp long, at array<long>"])
     each = [*keys, "_b"]
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = marked.groupBy(*each).agg(F.count("*").alias("_n"), *(F.sum(f).alias(f"_s{f}") for f in flags))
-    starts = sizes.select(*each, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), *(F.coalesce(F.sum(f"_s{f}").over(before), F.lit(0)).alias(f"_0{f}") for f in flags))
-    run = Window.partitionBy(*each).orderBy(F.desc(score), det_id).rowsBetween(Window.unboundedPreceding, 0)
-    sums = marked.select("*", F.count("*").over(run).alias("_own"), *(F.sum(f).over(run).alias(f"_own{f}") for f in flags)).join(starts, each)
-    points = sums.select(*rows.columns, "_b", (F.col("_own") + F.col("_n0")).alias("_all"), *((F.col(f"_own{f}") + F.col(f"_0{f}")).alias(f"{f}_n") for f in flags))
-    tops = points.groupBy(*each).agg(*(F.max(F.col(f"{f}_n") / F.col("_all")).alias(f"_m{f}") for f in flags))
-    later = tops.select(*each, *(F.max(f"_m{f}").over(after).alias(f"_l{f}") for f in flags))
-    back = Window.partitionBy(*each).orderBy(score, F.desc(det_id)).rowsBetween(Window.unboundedPreceding, 0)
-    own = points.select("*", *(F.max(F.col(f"{f}_n") / F.col("_all")).over(back).alias(f"_e{f}") for f in flags))
-    return own.join(later, each).select(*rows.columns, *(F.col(f"{f}_n") for f in flags), *(F.greatest(f"_e{f}", f"_l{f}").alias(f"{f}_env") for f in flags))
-
-
-def _interpolated(hits: DataFrame, truth_counts: DataFrame, cls: str) -> DataFrame:
-    rises = hits.join(truth_counts.select(cls, "n_gt"), cls)
-    # levels r / 100 with (tp - 1) / n_gt < r / 100 <= tp / n_gt, in whole numbers
-    first = F.when(F.col("_tp") == 1, 0).otherwise(F.floor((F.col("_tp") - 1) * 100 / F.col("n_gt")) + 1)
-    levels = F.greatest(F.lit(0), F.floor(F.col("_tp") * 100 / F.col("n_gt")) - first + 1)
-    sums = rises.groupBy(cls, "t").agg((F.sum(levels * F.col("_env")) / RECALLS).alias("ap"))
-    grid = truth_counts.select(cls, "n_gt", F.explode(thresholds()).alias("t"))
-    out = grid.join(sums, [cls, "t"], "left")
-    return out.select(cls, "t", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    flags = [c for c in ("tps", "ignores") if c in rows.columns]
+    marked = ranges.mark(rows, "_b").repartition(*each).sortWithinPartitions(*each, F.desc(ranges.column), det_id)
+    pieces = marked.select(*each, *flags).mapInArrow(partial(_hit_places, keys=keys), schema)
+    before = Window.partitionBy(*keys, "t").orderBy(F.desc("_b"), "seq").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    placed = pieces.select(*keys, "t", so_far("tp").alias("_tp0"), so_far("n").alias("_n0"), "at").where(F.size("at") > 0)
+    one = placed.select(*keys, "t", "_tp0", "_n0", F.posexplode("at").alias("_i", "_at"))
+    number = F.col("_tp0") + F.col("_i") + 1
+    return one.select(*keys, "t", number.alias("_tp"), (number / (F.col("_n0") + F.col("_at"))).alias("_p"))
+
+
+def _interpolated(hits: DataFrame, truth_counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Average precision from ``hits(keys, t, _tp, _p)``: each true positive with its number and precision.
+
+    The precision at a recall level is the largest of all hits that reach it, so hits are
+    first reduced to the largest precision for each level they reach highest.
+    """
+    top = F.floor(F.col("_tp") * 100 / F.col("n_gt"))
+    best = hits.join(truth_counts.select(*keys, "n_gt").where("n_gt > 0"), keys).groupBy(*keys, "t", top.alias("_top")).agg(F.max("_p").alias("_p"))
+    levels = best.select(*keys, "t", "_p", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_top", F.lit(100)))).alias("_r"))  # 101 times 101 at most
+    sums = levels.groupBy(*keys, "t", "_r").agg(F.max("_p").alias("_p")).groupBy(*keys, "t").agg((F.sum("_p") / RECALLS).alias("ap"))
+    grid = truth_counts.select(*keys, "n_gt", F.explode(thresholds()).alias("t"))
+    out = grid.join(sums, [*keys, "t"], "left")
+    return out.select(*keys, "t", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
 def single_truth_hits(detections: DataFrame, image: str, cls: str, score: str, overlap: str, det_id: str) -> DataFrame:
@@ -144,14 +194,13 @@ def single_truth_hits(detections: DataFrame, image: str, cls: str, score: str, o
     return detections.withColumn("_seen", seen).withColumn("tps", flags).drop("_seen")
 
 
-def average_precision_wide(matched: DataFrame, truth_counts: DataFrame, cls: str, score: str = "score", det_id: str = "det_id") -> DataFrame:
-    """:func:`average_precision` from ``tps``: one sort of the detections serves all thresholds."""
-    names = [f"_t{t}" for t in range(50, 100, 5)]
-    flat = matched.select(cls, score, det_id, *(F.get("tps", k).cast("int").alias(c) for k, c in enumerate(names)))
-    points = _envelopes(flat, [cls], score, det_id, names)
-    hits = [F.struct(F.lit(int(c[2:])).alias("t"), F.col(c).alias("hit"), F.col(f"{c}_n").alias("_tp"), F.col(f"{c}_env").alias("_env")) for c in names]
-    each = points.select(cls, F.explode(F.filter(F.array(*hits), lambda h: h["hit"] == 1)).alias("h")).select(cls, "h.*")
-    return _interpolated(each, truth_counts, cls)
+def average_precision_wide(matched: DataFrame, truth_counts: DataFrame, cls: str | Sequence[str], score: str = "score", det_id: str = "det_id", ranges: Ranges | None = None) -> DataFrame:
+    """:func:`average_precision` from ``tps`` (and ``ignores``): one sort of the detections serves all thresholds.
+
+    ``ranges`` are buckets of the score, where they can be had without the matching.
+    """
+    keys = [cls] if isinstance(cls, str) else list(cls)
+    return _interpolated(_hits(matched, keys, ranges or range_bucket(matched, score), det_id), truth_counts, keys)
 
 
 def per_class_report(ap: DataFrame, cls: str = "category_id") -> DataFrame:
@@ -161,26 +210,31 @@ def per_class_report(ap: DataFrame, cls: str = "category_id") -> DataFrame:
 
 
 def summary(ap: DataFrame) -> DataFrame:
-    """One row: mAP, AP50 and AP75 over classes with ground truth."""
-    at = lambda t: F.avg(F.when(F.col("t") == t, F.col("ap")))
-    return ap.agg(F.avg("ap").alias("mAP"), at(50).alias("AP50"), at(75).alias("AP75"))
-
-
-def evaluate(detections: DataFrame, truths: DataFrame) -> DataFrame:
+    """One row: mAP, AP50 and AP75 over classes with ground truth; with an ``area`` column also AP_small, AP_m and AP_l."""
+    if "area" not in ap.columns:
+        at = lambda t: F.avg(F.when(F.col("t") == t, F.col("ap")))
+        return ap.agg(F.avg("ap").alias("mAP"), at(50).alias("AP50"), at(75).alias("AP75"))
+    mean = lambda area, t=None: F.avg(F.when((F.col("area") == area) & (F.lit(True) if t is None else F.col("t") == t), F.col("ap")))
+    return ap.agg(mean("all").alias("mAP"), mean("all", 50).alias("AP50"), mean("all", 75).alias("AP75"), mean("small").alias("AP_small"), mean("medium").alias("AP_m"), mean("large").alias("AP_l"))
+
+
+def evaluate_areas(detections: DataFrame, truths: DataFrame, areas: Sequence[str] = tuple(AREAS), limit: int = MAX_DETECTIONS) -> DataFrame:
+    """``(category_id, area, t, ap)``: one matching serves all area bands; null without ground truth in a band."""
+    crowd = F.coalesce(F.col("iscrowd"), F.lit(0)) == 1 if "iscrowd" in truths.columns else F.lit(False)
+    size = _area(F.col("bbox"))
+    inside = [F.count_if(~crowd & (size >= AREAS[a][0]) & (size <= AREAS[a][1])).alias(a) for a in areas]
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.col(a).alias("n_gt")) for a in areas]))
+    counts = truths.groupBy("category_id").agg(*inside).select("category_id", each.alias("x")).select("category_id", "x.*")
+    matched = match_wide(detections, truths, areas, limit)
+    matched = matched if "iscrowd" in truths.columns or list(areas) != ["all"] else matched.drop("ignores")  # nothing is ignored
+    return average_precision_wide(matched, counts, ["category_id", "area"], ranges=range_bucket(detections, "score"))
+
+
+def evaluate(detections: DataFrame, truths: DataFrame, limit: int = MAX_DETECTIONS) -> DataFrame:
     """``(category_id, t, ap)`` for all classes with ground truth."""
-    real = truths.where(F.coalesce(F.col("iscrowd"), F.lit(0)) == 0) if "iscrowd" in truths.columns else truths
-    return average_precision(match(detections, truths), real.groupBy("category_id").agg(F.count("*").alias("n_gt")))
+    return evaluate_areas(detections, truths, ["all"], limit).drop("area").where("ap is not null")
 
 
 def evaluate_area(detections: DataFrame, truths: DataFrame, area: str) -> DataFrame:
-    """:func:`evaluate` for one area band: truths outside count as ignored, as do unmatched detections outside."""
-    low, high = AREAS[area]
-    size = lambda b: F.get(b, 2) * F.get(b, 3)
-    base = truths if "iscrowd" in truths.columns else truths.withColumn("iscrowd", F.lit(0))
-    inside = (size(F.col("bbox")) >= low) & (size(F.col("bbox")) <= high)
-    banded = base.withColumn("iscrowd", F.when(inside, F.col("iscrowd")).otherwise(1))
-    got = match(detections, banded)
-    outside = ~F.col("tp") & ((F.col("det_area") < low) | (F.col("det_area") > high))
-    got = got.withColumn("ignored", F.col("ignored") | outside)
-    counts = banded.groupBy("category_id").agg(F.count_if(F.col("iscrowd") == 0).alias("n_gt"))
-    return average_precision(got, counts)
+    """:func:`evaluate_areas` for one area band."""
+    return evaluate_areas(detections, truths, [area]).drop("area")

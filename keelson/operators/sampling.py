@@ -9,6 +9,7 @@ class leave a task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def shuffled(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
     return df.orderBy(shuffle_key(id_col, seed), id_col)
 
 
-BUCKETS = 4096
+BUCKETS = 512
 
 
 def hash_bucket(id_col: str, seed: int = SEED) -> Column:
@@ -156,15 +157,33 @@ def hash_bucket(id_col: str, seed: int = SEED) -> Column:
     return F.coalesce(F.substring(shuffle_key(id_col, seed), 1, 3), F.lit(""))
 
 
-def range_bucket(df: DataFrame, column: str) -> Column:
-    """Bucket that rises with a numeric column, by its place between minimum and maximum (one pass over it); null first."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None:
-        return F.lit(0)
-    return F.coalesce(F.floor((F.col(column) - F.lit(low)) * (BUCKETS / (float(high) - float(low) + 1))), F.lit(-1))
+@dataclass
+class Ranges:
+    """Buckets of a numeric column between its approximate quantiles, found in the same job that uses them."""
 
+    column: str
+    edges: DataFrame  # one row: BUCKETS - 1 quantiles (null for an empty table)
 
-def with_position(df: DataFrame, order: Sequence[Column | str], bucket: Column, name: str = "pos") -> DataFrame:
+    def mark(self, df: DataFrame, name: str = "_bucket") -> DataFrame:
+        """Adds the bucket of each row; it rises with the column, null first.
+
+        Values equal to an edge have a bucket of their own, so that a very frequent value
+        doesn't take others along.  Edges are searched by halves.
+        """
+        value, steps = F.col(self.column), F.array(*(F.lit(BUCKETS >> k) for k in range(1, BUCKETS.bit_length())))
+        search = lambda at, step: F.when(F.get("_edges", at + step - 1) <= value, at + step).otherwise(at)
+        past = lambda at: at * 2 + F.coalesce(F.get("_edges", F.greatest(at - 1, F.lit(0))) < value, F.lit(False)).cast("int")
+        found = F.when(value.isNull(), -1).otherwise(F.aggregate(steps, F.lit(0), search, past))
+        return df.join(F.broadcast(self.edges)).select(*df.columns, found.alias(name))  # one row
+
+
+def range_bucket(df: DataFrame, column: str) -> Ranges:
+    """Buckets that rise with a numeric column and hold about as many rows each, whatever its distribution."""
+    at = F.array(*(F.lit(k / BUCKETS) for k in range(1, BUCKETS)))
+    return Ranges(column, df.agg(F.percentile_approx(column, at, F.lit(10 * BUCKETS)).alias("_edges")))
+
+
+def with_position(df: DataFrame, order: Sequence[Column | str], bucket: Column | Ranges, name: str = "pos") -> DataFrame:
     """Adds a running number from 0 in that order without bringing all rows to one task.
 
     ``bucket`` has to rise with the order (:func:`hash_bucket`, :func:`range_bucket`).
@@ -172,7 +191,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], bucket: Column,
     Buckets come from values, not from a sort's ranges, which can differ between the two
     readings of the same rows.
     """
-    marked = df.withColumn("_bucket", bucket)
+    marked = bucket.mark(df) if isinstance(bucket, Ranges) else df.withColumn("_bucket", bucket)
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = marked.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_before"))  # a row a bucket
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))

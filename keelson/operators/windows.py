@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def contiguity(df: DataFrame, by: str, idx: str) -> DataFrame:
-    """``(by, n, lo, hi, contiguous)``: distinct indexes of a class have to follow each other; one aggregation, no sort."""
-    out = df.groupBy(by).agg(F.count("*").alias("n"), F.min(idx).alias("lo"), F.max(idx).alias("hi"))
-    return out.withColumn("contiguous", F.col("hi") - F.col("lo") + 1 == F.col("n"))
+    """``(by, n, lo, hi, contiguous)``: each index of a class has to follow the one before by one, so a repeated index breaks it too; no sort."""
+    each = df.groupBy(by, idx).agg(F.count("*").alias("_n"))
+    out = each.groupBy(by).agg(F.sum("_n").alias("n"), F.min(idx).alias("lo"), F.max(idx).alias("hi"), F.max("_n").alias("_most"))
+    return out.withColumn("contiguous", (F.col("hi") - F.col("lo") + 1 == F.col("n")) & (F.col("_most") == 1)).drop("_most")
 
 
 def gaps(df: DataFrame, by: str, idx: str) -> DataFrame:

@@ -61,6 +61,31 @@ p AS (SELECT cls, t, det_id, score, tp, sum(tp::INT) OVER w AS a, count(*) OVER
 v AS (SELECT cls, t, tp, a, max(a / b) OVER (PARTITION BY cls, t ORDER BY score DESC, det_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM p),
 q AS (SELECT cls, t, env, floor(a * 100 / n) - CASE WHEN a = 1 THEN 0 ELSE floor((a - 1) * 100 / n) + 1 END + 1 AS levels FROM v JOIN g USING (cls) WHERE tp),
 ap AS (SELECT cls, t, sum(levels * env) / 101 AS ap FROM q GROUP BY ALL)"""
+_MATCH = f"""RECURSIVE {_BOXES},
+bands(area, low, high) AS (VALUES ('all', 0e0, 1e300), ('small', 0e0, 1024e0), ('medium', 1024e0, 9216e0), ('large', 9216e0, 1e300)),
+det AS (SELECT l_orderkey AS image, l_returnflag AS cls, x + l_linenumber % 4 AS x, y - l_linenumber % 4 AS y, w, h, round((x + y) / 700, 4) AS score,
+  row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY round((x + y) / 700, 4) DESC, l_linenumber, b.x, b.y, w, h) AS k,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber, b.x, b.y, w, h) AS id FROM b),
+gt AS (SELECT l_orderkey AS image, l_returnflag AS cls, x, y, w, h, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, x, y, w, h) AS i FROM b),
+inner_ AS (SELECT d.image, d.cls, d.k, g.i, d.w * d.h AS da, g.w * g.h AS ga,
+  greatest(least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x), 0) * greatest(least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y), 0) AS common
+  FROM det d JOIN gt g ON d.image = g.image AND d.cls = g.cls),
+cand AS (SELECT image, cls, k, area, list({{'real': ga BETWEEN low AND high, 'v': common / (da + ga - common), 'i': i}}) AS near
+  FROM inner_, bands WHERE common / (da + ga - common) >= 50e-2 GROUP BY ALL),
+todo AS (SELECT d.image, d.cls, d.k, t, a.area, coalesce(near, []) AS near FROM det d CROSS JOIN (SELECT unnest(range(50, 100, 5)) AS t) CROSS JOIN bands a
+  LEFT JOIN cand c ON c.image = d.image AND c.cls = d.cls AND c.k = d.k AND c.area = a.area WHERE d.k <= 100),
+state AS (SELECT image, cls, t, area, 0::BIGINT AS k, NULL::STRUCT("real" BOOLEAN, v DOUBLE, i BIGINT) AS hit, []::BIGINT[] AS taken FROM todo WHERE k = 1
+  UNION ALL SELECT image, cls, t, area, k, hit, CASE WHEN hit IS NULL THEN taken ELSE list_append(taken, hit.i) END FROM
+  (SELECT s.image, s.cls, s.t, s.area, n.k, list_max(list_filter(n.near, lambda c: c.v >= s.t / 100e0 AND NOT list_contains(s.taken, c.i))) AS hit, s.taken
+   FROM state s JOIN todo n ON n.image = s.image AND n.cls = s.cls AND n.t = s.t AND n.area = s.area AND n.k = s.k + 1)),
+seen AS (SELECT s.cls, s.t, s.area, d.score, d.id, hit IS NOT NULL AS tp FROM state s JOIN det d ON s.image = d.image AND s.cls = d.cls AND s.k = d.k JOIN bands a ON a.area = s.area
+  WHERE CASE WHEN hit IS NULL THEN d.w * d.h BETWEEN low AND high ELSE hit.real END),
+n AS (SELECT cls, area, count(*) FILTER (w * h BETWEEN low AND high) AS n FROM gt, bands GROUP BY ALL),
+p AS (SELECT cls, t, area, tp, score, id, sum(tp::INT) OVER o AS a, count(*) OVER o AS b FROM seen WINDOW o AS (PARTITION BY cls, t, area ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT cls, t, area, tp, a, max(a / b) OVER (PARTITION BY cls, t, area ORDER BY score DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM p),
+q AS (SELECT cls, t, area, env, floor(a * 100 / n) - CASE WHEN a = 1 THEN 0 ELSE floor((a - 1) * 100 / n) + 1 END + 1 AS levels FROM v JOIN n USING (cls, area) WHERE tp),
+ap AS (SELECT n.cls, u.t, n.area, CASE WHEN n > 0 THEN coalesce(sum(levels * env) / 101, 0) END AS ap
+  FROM n CROSS JOIN (SELECT unnest(range(50, 100, 5)) AS t) u LEFT JOIN q ON q.cls = n.cls AND q.area = n.area AND q.t = u.t GROUP BY n.cls, u.t, n.area, n)"""
 _STRATA = """d AS (SELECT doc_id, CASE WHEN doc_id % 101 = 7 THEN 'only_' || doc_id ELSE source || '_' || lang END AS stratum FROM documents),
 n AS (SELECT stratum, count(*) AS n FROM d GROUP BY ALL),
 k AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM d)"""
@@ -214,15 +239,21 @@ count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL
     "ap_single_gt": f"WITH {_AP} SELECT cls, t, round(ap, 6) AS ap FROM ap",
     "ap_per_class": f"WITH {_AP} SELECT cls, round(100 * max(ap) FILTER (t = 50), 6) AS ap50, round(100 * avg(ap), 6) AS map FROM ap GROUP BY ALL",
     "ap_summary": f'WITH {_AP} SELECT round(avg(ap), 6) AS "mAP", round(avg(ap) FILTER (t = 50), 6) AS "AP50", round(avg(ap) FILTER (t = 75), 6) AS "AP75" FROM ap',
+    "ap_multi_gt": f"WITH {_MATCH} SELECT cls AS category_id, t, round(ap, 6) AS ap FROM ap WHERE area = 'all'",
+    "ap_by_area": f"""WITH {_MATCH} SELECT area, round(avg(ap), 6) AS "mAP", round(avg(ap) FILTER (t = 50), 6) AS "AP50", round(avg(ap) FILTER (t = 75), 6) AS "AP75"
+FROM ap WHERE area <> 'all' GROUP BY ALL""",
+    "ap_six_metrics": f"""WITH {_MATCH} SELECT round(avg(ap) FILTER (area = 'all'), 6) AS "mAP", round(avg(ap) FILTER (area = 'all' AND t = 50), 6) AS "AP50",
+round(avg(ap) FILTER (area = 'all' AND t = 75), 6) AS "AP75", round(avg(ap) FILTER (area = 'small'), 6) AS "AP_small", round(avg(ap) FILTER (area = 'medium'), 6) AS "AP_m",
+round(avg(ap) FILTER (area = 'large'), 6) AS "AP_l" FROM ap""",
     "map_selected": f"WITH {_AP}, m AS (SELECT cls, 100 * avg(ap) AS map FROM ap GROUP BY ALL) SELECT round(coalesce(sum(map), 0) / 3, 6) AS mean_ap FROM m WHERE cls IN ('A', 'R', 'Z')",
     "results_to_rows": f"""WITH {_BOXES} SELECT l_orderkey AS image_id, CASE l_returnflag WHEN 'A' THEN 10 WHEN 'N' THEN 20 ELSE 30 END::BIGINT AS category_id,
 x AS b0, y AS b1, round((x + w) - x, 6) AS b2, round((y + h) - y, 6) AS b3, l_linenumber::DOUBLE AS score FROM b""",
-    "audit_integrity": """WITH n AS (SELECT event_type, count(*) AS n, max(event_id) - min(event_id) + 1 = count(*) AS whole FROM events GROUP BY ALL),
+    "audit_integrity": """WITH n AS (SELECT event_type, count(*) AS n, max(event_id) - min(event_id) + 1 = count(*) AND count(DISTINCT event_id) = count(*) AS whole FROM events GROUP BY ALL),
 k AS (SELECT event_type FROM n WHERE event_type <> 'click' UNION ALL SELECT 'kayak'),
 f AS (SELECT coalesce(n.event_type, k.event_type) AS category, CASE WHEN k.event_type IS NULL THEN 'invalid' WHEN n IS NULL THEN 'missing' WHEN n <> 2000 THEN 'count' END AS issue, coalesce(n, 0) AS n
       FROM n FULL JOIN k ON n.event_type = k.event_type)
 SELECT category, issue, n FROM f WHERE issue IS NOT NULL UNION ALL SELECT event_type, 'gap', n FROM n WHERE NOT whole""",
-    "audit_contiguity": "SELECT l_orderkey, count(*) AS n, max(l_linenumber) - min(l_linenumber) + 1 = count(*) AS contiguous FROM lineitem GROUP BY ALL",
+    "audit_contiguity": "SELECT l_orderkey, count(*) AS n, max(l_linenumber) - min(l_linenumber) + 1 = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY ALL",
     "index_gaps": """SELECT event_type, count(*) AS gaps, max(event_id - p) AS widest FROM (SELECT event_type, event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events)
 WHERE event_id - p <> 1 GROUP BY ALL""",
     "audit_labels": """WITH x AS (SELECT toxic = 1 AS ood, CASE WHEN quality = 1 THEN '<answer>' || lang || '</answer>' ELSE '<answer>unknown</answer>' END AS s FROM documents JOIN labels USING (doc_id)),

@@ -548,10 +548,15 @@ def ap_multi_gt(spark, sf_dir):
 
 @query
 def ap_by_area(spark, sf_dir):
-    det, truth = _many_truths(spark, sf_dir)
-    parts = [detection.summary(detection.evaluate_area(det, truth, a)).withColumn("area", F.lit(a)) for a in ("small", "medium", "large")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("area", *(r6(c).alias(c) for c in ("mAP", "AP50", "AP75")))
+    ap = detection.evaluate_areas(*_many_truths(spark, sf_dir), areas=["small", "medium", "large"])
+    at = lambda t: F.avg(F.when(F.col("t") == t, F.col("ap")))
+    return ap.groupBy("area").agg(r6(F.avg("ap")).alias("mAP"), r6(at(50)).alias("AP50"), r6(at(75)).alias("AP75"))
+
+
+@query
+def ap_six_metrics(spark, sf_dir):
+    out = detection.summary(detection.evaluate_areas(*_many_truths(spark, sf_dir)))
+    return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
 @query
