@@ -26,6 +26,14 @@ def answer(c: Column) -> Column:
     return tag_body(c, "answer")
 
 
+def answer_by_position(c: Column, tag: str = "answer") -> Column:
+    """Trimmed text from after the first opening mark to the first closing one; empty if that comes earlier, null without both."""
+    opens, closes = F.lit(f"<{tag}>"), F.lit(f"</{tag}>")
+    start = F.instr(c, opens) + len(tag) + 2
+    body = F.substring(c, start, F.greatest(F.lit(0), F.instr(c, closes) - start))
+    return F.when(F.contains(c, opens) & F.contains(c, closes), stripped(body))
+
+
 def tag_with_marks(c: Column, tag: str) -> Column:
     """The first tag with its marks; null without one."""
     return _group(c, rf"(?s)(<{tag}>.*?</{tag}>)")
@@ -95,8 +103,10 @@ def shots_in_name(name: Column) -> Column:
 
 
 def metadata_field(metadata: Column, path: str) -> Column:
-    """Field of a JSON text, by dotted path."""
-    return F.get_json_object(metadata, f"$.{path}")
+    """Trimmed field of a JSON text, by dotted path; a text on the way that holds JSON is opened, too.  Null where a step is missing."""
+    for key in path.split("."):
+        metadata = F.get_json_object(metadata, f"$.{key}")
+    return stripped(metadata)
 
 
 def truncated_number(c: Column) -> Column:
@@ -126,3 +136,15 @@ def label_of(path: Column, solution: Column, known: list[str]) -> Column:
 def encoded(content: Column) -> Column:
     """File content as base64 text in one line."""
     return F.regexp_replace(F.base64(content), r"\s", "")
+
+
+def two_digits(c: Column) -> Column:
+    """Two decimals of a number from 0 to 7, rounded by the exact binary value (so 0.175 gives 0.17 and 0.165 gives 0.17), ties to even."""
+    scaled = (c * float(1 << 60)).cast("long")  # exact: only the exponent changes
+    low = scaled.bitwiseAND((1 << 30) - 1) * 100
+    high = F.shiftright(scaled, 30) * 100 + F.shiftright(low, 30)
+    rest = F.shiftleft(high.bitwiseAND((1 << 30) - 1), 30) + low.bitwiseAND((1 << 30) - 1)
+    whole, half = F.shiftright(high, 30), F.lit(1 << 59)
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    n = whole + up.cast("long")
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))

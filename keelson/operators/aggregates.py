@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import range_bucket
+
 
 def main_class(df: DataFrame, image: str, cls: str, pos: str, rule: str = "first_seen") -> DataFrame:
     """``(image, cls, n)``: the most frequent class of each image; ties go to the first seen or, by ``last_name``, to the last name.
@@ -30,16 +34,27 @@ def share(condition: Column) -> Column:
     return 100 * F.count_if(condition) / F.nullif(F.count("*"), F.lit(0))
 
 
-def upper_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """The element ``n // 2`` of the sorted values of each group.
+def order_statistics(df: DataFrame, value: str, by: Sequence[str], places: dict[str, Column]) -> DataFrame:
+    """The values at given places (from 0) of each group's sorted non-null values; a place is an expression of the group's size ``n``.
 
-    A group's values are counted first, so equal values cost one row.
+    Buckets of about equal size are counted first; only those that hold a place are
+    sorted, each by itself, so a group may hold most rows.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    placed = counted.withColumns({"_upto": F.sum("_n").over(run), "_all": F.sum("_n").over(whole)})
-    return placed.where((F.col("_upto") > F.floor(F.col("_all") / 2)) & (F.col("_upto") - F.col("_n") <= F.floor(F.col("_all") / 2))).select(*by, F.col(value).alias("upper_median"))
+    marked = range_bucket(df, value).mark(df.where(F.col(value).isNotNull()).select(*by, value), "_b")
+    sizes = marked.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumns({"_upto": F.sum("_n").over(upto), "n": F.sum("_n").over(Window.partitionBy(*by))})  # some hundred buckets
+    inside = [(p >= F.col("_upto") - F.col("_n")) & (p < F.col("_upto")) for p in places.values()]
+    held = sizes.where(reduce(or_, inside)).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])), (F.col("_upto") - F.col("_n")).alias("_start"), "n")
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_b"])])
+    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value)) - 1
+    placed = marked.join(F.broadcast(held), on).withColumn("_at", F.col("_start") + own)
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("_at") == p, F.col(value))).alias(name) for name, p in places.items()))
+
+
+def upper_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """The element ``n // 2`` of the sorted values of each group."""
+    return order_statistics(df, value, by, {"upper_median": F.floor(F.col("n") / 2)}).drop("n")
 
 
 def bin_of(value: Column, edges: Sequence[float], last_closed: bool = False) -> Column:
@@ -68,8 +83,12 @@ def frequencies(df: DataFrame, value: str) -> DataFrame:
 
 def coordinate_median(df: DataFrame, by: str, *columns: str, least: int = 1) -> DataFrame:
     """Interpolated median of each column by class, for classes of ``least`` rows or more."""
-    medians = [F.percentile(c, F.lit(0.5)).alias(c) for c in columns]
-    return df.groupBy(by).agg(F.count("*").alias("n"), *medians).where(F.col("n") >= least)
+    out = df.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    half = {"_low": F.floor((F.col("n") - 1) / 2), "_high": F.floor(F.col("n") / 2)}
+    for c in columns:
+        middle = order_statistics(df, c, [by], half).select(F.col(by).alias("_by"), ((F.col("_low") + F.col("_high")) / 2).alias(c))
+        out = out.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    return out
 
 
 def accuracy(df: DataFrame, correct: Column, manifest: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from .windows import contiguity
 
 # --- Fixed values. ---
 FEW_OOD, LONG_SOLUTION = 10, 150
+ERROR_DISTANCE, UNKNOWN = 0.5, "unknown"
 DISTANCE_EDGES = [0.0, 0.10, 0.12, 0.14, 0.16, 0.18, 0.20, 0.22, 0.25]
 # --- End of fixed values. ---
 
@@ -67,3 +68,21 @@ def before_after(before: DataFrame, after: DataFrame, key: str, value: str) -> D
     """``(key, before, after, changed)`` by key, not by position."""
     met = before.select(key, F.col(value).alias("before")).join(after.select(key, F.col(value).alias("after")), key, "full")
     return met.withColumn("changed", ~F.col("before").eqNullSafe(F.col("after")))
+
+
+def distance_results(df: DataFrame, distance: str, nearest: str, truth: str, error: str) -> DataFrame:
+    """Adds ``distance`` (four digits), ``nearest_id``, ``true_category`` and ``error``: a row with an error gets fixed values in their place."""
+    ok = F.col(error).isNull()
+    values = {"distance": (F.round(distance, 4), ERROR_DISTANCE), "nearest_id": (F.col(nearest), UNKNOWN), "true_category": (F.col(truth), UNKNOWN)}
+    return df.withColumns({name: F.when(ok, c).otherwise(F.lit(other)) for name, (c, other) in values.items()} | {"error": F.col(error)})
+
+
+def without_errors(df: DataFrame, error: str = "error") -> DataFrame:
+    """Rows that analysis may use."""
+    return df.where(F.col(error).isNull())
+
+
+def tally(df: DataFrame, error: str = "error", *by: str) -> DataFrame:
+    """``([by,] succeeded, failed, total)``."""
+    ok = F.col(error).isNull()
+    return df.groupBy(*by).agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.count("*").alias("total"))

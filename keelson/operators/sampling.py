@@ -28,6 +28,17 @@ def with_rank(df: DataFrame, by: str | Sequence[str], id_col: str, seed: int = S
     return df.withColumn(name, F.row_number().over(order))
 
 
+def with_spread_rank(df: DataFrame, by: str, id_col: str, seed: int = SEED, name: str = "rn") -> DataFrame:
+    """:func:`with_rank` for ranks without a small bound: rows are dealt out by class and hash bucket, so a class may hold most of them."""
+    marked = df.withColumn("_bucket", hash_bucket(id_col, seed))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))  # 4,096 rows a class at most
+    starts = starts.select(F.col(by).alias("_by"), F.col("_bucket").alias("_in"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(shuffle_key(id_col, seed), id_col))
+    met = marked.withColumn("_own", own).join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_in")))
+    return met.withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_by", "_in", "_before")
+
+
 def k_shot(df: DataFrame, by: str, id_col: str, k: int, seed: int = SEED, name: str = "rn") -> DataFrame:
     """``min(k, n)`` rows of each class."""
     return with_rank(df, by, id_col, seed, name).where(F.col(name) <= k)
@@ -73,7 +84,7 @@ def balanced_sample(df: DataFrame, by: str, id_col: str, target: int, coverage:
     counts = counts.withColumns(
         {"first": (F.col("pick") <= F.col("covered")).cast("int"), "extra": F.when(F.lit(target) > F.col("covered"), extra).otherwise(0)}
     )
-    ranked = with_rank(df, by, id_col, seed).join(counts.select(by, "first", "extra"), by)
+    ranked = with_spread_rank(df, by, id_col, seed).join(counts.select(by, "first", "extra"), by)
     chosen = ranked.where(F.col("rn") <= F.col("first") + F.col("extra"))
     chosen = chosen.withColumn("round", F.when(F.col("rn") <= F.col("first"), 1).otherwise(2))
     order = Window.orderBy("round", by, "rn")  # a sample: target and a row or so of each class
@@ -102,7 +113,7 @@ def budgeted_sample(df: DataFrame, by: str, id_col: str, per_class: int, cap: in
 def split_per_class(df: DataFrame, by: str, id_col: str, ratio: float, seed: int = SEED) -> DataFrame:
     """Adds ``split``: ``ceil(n * ratio)`` rows of each class are ``val``; classes of one row stay in ``train``."""
     n_val = F.when(F.col("n") < 2, 0).otherwise(F.ceil(F.col("n") * ratio))
-    ranked = with_rank(df, by, id_col, seed).join(class_counts(df, by), by)
+    ranked = with_spread_rank(df, by, id_col, seed).join(class_counts(df, by), by)
     return ranked.withColumn("split", F.when(F.col("rn") <= n_val, "val").otherwise("train")).drop("rn", "n")
 
 
@@ -127,7 +138,7 @@ def stratified_split(df: DataFrame, by: str, id_col: str, test_share: float, see
     many = counts.where("n >= 2")
     wanted = F.ceil(F.sum("n").over(Window.partitionBy()) * test_share)
     quota = quotas(many.withColumn("_want", wanted), by, F.col("_want")).select(by, "quota")
-    ranked = with_rank(df, by, id_col, seed).join(quota, by, "left")
+    ranked = with_spread_rank(df, by, id_col, seed).join(quota, by, "left")
     return ranked.withColumn("split", F.when(F.col("rn") <= F.coalesce("quota", F.lit(0)), "test").otherwise("train")).drop("rn", "quota")
 
 
@@ -136,7 +147,7 @@ def stratified_subsample(df: DataFrame, by: str, id_col: str, n: int, seed: int
     counts = class_counts(df, by).withColumn("_single", F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).over(Window.partitionBy()))
     many = counts.where("n >= 2").withColumn("_want", F.greatest(F.lit(0), F.least(F.lit(n) - F.col("_single"), F.sum("n").over(Window.partitionBy()))))
     quota = quotas(many, by, F.col("_want")).select(by, "quota").unionByName(counts.where("n = 1").select(by, F.lit(1).cast("long").alias("quota")))
-    return with_rank(df, by, id_col, seed).join(quota, by).where(F.col("rn") <= F.col("quota")).drop("rn", "quota")
+    return with_spread_rank(df, by, id_col, seed).join(quota, by).where(F.col("rn") <= F.col("quota")).drop("rn", "quota")
 
 
 def support_or_query(shot: DataFrame, shots: int, known: Column, rank: str = "rn") -> DataFrame:

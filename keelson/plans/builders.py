@@ -73,6 +73,16 @@ def answer_solution(category: Column, known: Column | None = None) -> Column:
     return tagged("answer", category if known is None else F.when(known, category).otherwise("unknown"))
 
 
+def plain_solution(category: Column) -> Column:
+    """The class name alone, without tags."""
+    return category
+
+
+def class_list(*parts: Column) -> Column:
+    """Class lists one after the other, repeats kept."""
+    return F.concat(*parts)
+
+
 def filled(template: str, category: Column, name: str = "category") -> Column:
     return F.replace(F.lit(template), F.lit("{" + name + "}"), category)
 
@@ -87,7 +97,7 @@ def empty_confidence_solution(category: Column) -> Column:
 
 def confidence_solution(category: Column, value: Column, known: Column) -> Column:
     """Answer and confidence: shortest form for known rows, two decimals for the others."""
-    number = F.when(known, value.cast("string")).otherwise(F.format_string("%.2f", value))
+    number = F.when(known, value.cast("string")).otherwise(X.two_digits(value))
     return F.concat_ws(" ", answer_solution(category, known), tagged("confidence", number))
 
 
@@ -194,8 +204,11 @@ def open_set_listed(items: DataFrame, shots: int, ood_share: float = 0.3, scheme
     return records(both, "path", F.lit(prompt_with_classes(roles["id"])), solution)
 
 
-def osr_rows(known: DataFrame, other: DataFrame, shots: int, seed: int = sampling.SEED) -> DataFrame:
-    """Known rows with ranked confidences and roles; unknown rows from ``other(path, category, similarity, closest)`` under the running budget."""
+def osr_rows(known: DataFrame, other: DataFrame, shots: int, seed: int = sampling.SEED, noise: bool = False) -> DataFrame:
+    """Known rows with ranked confidences and roles; unknown rows from ``other(path, category, similarity, closest)`` under the running budget.
+
+    With ``noise`` the confidence targets of unknown rows vary normally, by a hash of the path.
+    """
     per_class = int(shots * taxonomy.osr_multiplier(shots))
     classes = known.select("category").distinct().count()
     ids = sampling.k_shot(known, "category", "path", shots, seed).join(sampling.class_counts(known, "category"), "category")
@@ -204,10 +217,13 @@ def osr_rows(known: DataFrame, other: DataFrame, shots: int, seed: int = samplin
     ids = ids.withColumn("split", F.when(F.col("rn") <= F.floor(used / 2), "support").otherwise("query"))
     ood = sampling.budgeted_sample(other, "category", "path", per_class, int(classes * shots * 0.5), seed)
     s = F.col("similarity")
-    left = ids.select("path", "category", F.lit(True).alias("known"), "confidence", "split", F.lit(None).cast("string").alias("difficulty"), F.lit(None).cast("double").alias("ood_score"))
-    right = ood.select("path", "category", F.lit(False).alias("known"), C.pseudo_confidence(s, F.col("category").isin(taxonomy.HARD_OOD)).alias("confidence"), F.lit("query").alias("split"), C.difficulty(s).alias("difficulty"), C.ood_score(s).alias("ood_score"))
+    target = C.pseudo_confidence(s, F.col("category").isin(taxonomy.HARD_OOD), C.normal(seed, F.col("path")) if noise else None)
+    none = F.lit(None)
+    only_ood = {"pseudo_ood_score": (C.ood_score(s), "double"), "closest_id": (F.col("closest"), "string"), "max_similarity": (s, "double"), "difficulty": (C.difficulty(s), "string")}
+    left = ids.select("path", "category", F.lit(True).alias("known"), "confidence", "split", *(none.cast(t).alias(c) for c, (_, t) in only_ood.items()))
+    right = ood.select("path", "category", F.lit(False).alias("known"), target.alias("confidence"), F.lit("query").alias("split"), *(x.cast(t).alias(c) for c, (x, t) in only_ood.items()))
     both = left.unionByName(right)
-    meta = metadata_json(type=F.when(F.col("known"), "ID").otherwise("OOD"), category=F.col("category"), confidence_target=F.col("confidence"), pseudo_ood_score=F.col("ood_score"), difficulty=F.col("difficulty"), split=F.col("split"))
+    meta = metadata_json(type=F.when(F.col("known"), "ID").otherwise("OOD"), category=F.col("category"), confidence_target=F.col("confidence"), **{c: F.col(c) for c in only_ood}, split=F.col("split"))
     return records(both, "path", F.lit(IDENTIFY), confidence_solution(F.col("category"), F.col("confidence"), F.col("known")), meta)
 
 

@@ -112,11 +112,16 @@ def _pick(texts: list[str], u: str) -> str:
     return "CASE cast(floor(" + u + " * 5) AS INT) " + " ".join(f"WHEN {k} THEN replace({_quote(t)}, '{{category}}', lang)" for k, t in enumerate(texts)) + " END"
 
 
-_BANDS = "CASE WHEN s > 85e-2 THEN round(greatest(300e-3, least(349e-3, 30e-2 + 33e-2 * (s - 85e-2))), 3) " + " ".join(
-    f"WHEN s > {above} THEN round(greatest({low}, least({high}, {base} + {slope} * (s - {above}))), 3)"
-    for above, base, slope, low, high in (("70e-2", "25e-2", "33e-2", "25e-2", "30e-2"), ("55e-2", "20e-2", "33e-2", "20e-2", "25e-2"), ("40e-2", "18e-2", "27e-2", "18e-2", "22e-2"))
-)
-_BANDS += " ELSE round(greatest(15e-2, least(20e-2, 15e-2 + 5e-2 * (s / 40e-2) - CASE WHEN s < 30e-2 THEN 1e-2 ELSE 0e0 END)), 3) END"
+def _bands(z: str = "0e0") -> str:
+    """Confidence target from similarity ``s`` with noise ``z``."""
+    bands = [("85e-2", "30e-2", "33e-2", "15e-3", "300e-3", "349e-3"), ("70e-2", "25e-2", "33e-2", "20e-3", "25e-2", "30e-2"), ("55e-2", "20e-2", "33e-2", "20e-3", "20e-2", "25e-2"), ("40e-2", "18e-2", "27e-2", "15e-3", "18e-2", "22e-2")]
+    each = " ".join(f"WHEN s > {above} THEN round(greatest({low}, least({high}, {base} + {slope} * (s - {above}) + {sd} * {z})), 3)" for above, base, slope, sd, low, high in bands)
+    return f"CASE {each} ELSE round(greatest(15e-2, least(20e-2, 15e-2 + 5e-2 * (s / 40e-2) + 15e-3 * {z} - CASE WHEN s < 30e-2 THEN 1e-2 ELSE 0e0 END)), 3) END"
+
+
+_DISTANCES = """e AS (SELECT event_id, event_type, CASE WHEN event_id % 29 = 7 THEN 'cannot read ' || event_id END AS error, round(cast(floor(value * 100) AS BIGINT) % 40 / 100e0, 4) AS d FROM events),
+x AS (SELECT event_id, event_type, CASE WHEN error IS NULL THEN d ELSE 5e-1 END AS distance, CASE WHEN error IS NULL THEN event_type ELSE 'unknown' END AS nearest_id,
+  CASE WHEN error IS NULL THEN event_type ELSE 'unknown' END AS true_category, error FROM e)"""
 
 ORACLES = {
     "kshot_per_class": f"SELECT event_type, event_id, rn FROM ({_rank('events', 'event_type', 'event_id')}) WHERE rn <= 4",
@@ -208,7 +213,7 @@ round(max(d), 6) AS d_max FROM near GROUP BY ALL""",
 d AS (SELECT e.vec_id, p.label AS nearest, sqrt(sum((e.x - p.x) * (e.x - p.x))) AS d FROM e JOIN proto p USING (i) GROUP BY ALL)
 SELECT vec_id, nearest::VARCHAR AS nearest, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nearest) AS k FROM d) WHERE k = 1""",
     "cosine_similarity_top1": f"WITH {_SIMILAR} SELECT vec_id, closest::VARCHAR AS closest, round(s, 6) AS similarity FROM sim",
-    "pseudo_confidence": f"WITH {_SIMILAR}, z AS (SELECT vec_id, round(s, 6) AS s FROM sim) SELECT vec_id, {_BANDS} AS confidence, round(greatest(1e-1, least(95e-2, 1 - s)), 3) AS ood_score FROM z",
+    "pseudo_confidence": f"WITH {_SIMILAR}, z AS (SELECT vec_id, round(s, 6) AS s FROM sim) SELECT vec_id, {_bands()} AS confidence, round(greatest(1e-1, least(95e-2, 1 - s)), 3) AS ood_score FROM z",
     "difficulty_bucket": f"""WITH {_SIMILAR}, z AS (SELECT least(1e0, round(round(s, 16) * 2, 6)) AS s FROM sim)
 SELECT CASE WHEN s > 75e-2 THEN 'Hard' WHEN s > 60e-2 THEN 'Medium' ELSE 'Easy' END AS difficulty, count(*) AS n FROM z GROUP BY ALL""",
     "own_prototype_similarity": f"""WITH {_ELEMENTS}, {_FEW}, {_PROTOS}, d AS (SELECT e.vec_id, e.label, sum(e.x * p.x) AS s FROM e JOIN proto p USING (label, i) WHERE vec_id IN (SELECT vec_id FROM few) GROUP BY ALL)
@@ -291,4 +296,27 @@ SELECT doc_id, coalesce(a, CASE WHEN b IN ('en', 'de', 'fr') THEN b END) AS labe
     "encoded_contents": "SELECT p_partkey, to_base64(encode(p_name)) AS encoded FROM part",
     "task_prompts": f"""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN length({_quote(P.IDENTIFY)}) ELSE length({_DETECT}) END AS n_chars, p_size % 3 = 1 AS named
 FROM part WHERE p_size % 3 < 2""",
+    "distance_error_rows": f"WITH {_DISTANCES} SELECT event_id, distance, nearest_id, true_category, error FROM x",
+    "distance_without_errors": f"""WITH {_DISTANCES} SELECT true_category, count(*) AS n, min(distance) AS low, max(distance) AS high, round(avg(distance), 6) AS mean
+FROM x WHERE error IS NULL GROUP BY ALL""",
+    "run_tally": f"WITH {_DISTANCES} SELECT event_type, count(*) FILTER (error IS NULL) AS succeeded, count(error) AS failed, count(*) AS total FROM x GROUP BY ALL",
+    "answer_by_position": rf"""WITH {_SOLUTIONS}, x AS (SELECT doc_id, CASE WHEN doc_id % 17 = 4 THEN '</answer>' || solution ELSE solution END AS t FROM s)
+SELECT doc_id, CASE WHEN contains(t, '<answer>') AND contains(t, '</answer>')
+  THEN regexp_replace(substr(t, instr(t, '<answer>') + 8, greatest(0, instr(t, '</answer>') - instr(t, '<answer>') - 8)), '^\s+|\s+$', '', 'g') END AS answer FROM x""",
+    "json_nested_path": "SELECT event_id, event_type AS category, try_cast(json_extract_string(props, '$.k') AS INT) AS k, NULL::VARCHAR AS missing FROM events",
+    "record_build_plain": _records("lang"),
+    "class_list_union": """SELECT row_number() OVER (ORDER BY n_regionkey >= 2, n_nationkey) - 1 AS pos, n_name AS category FROM nation""",
+    "osr_records": f"""WITH {_SIMILAR},
+r AS (SELECT 'v' || vec_id AS path, 'c' || label AS category, label, closest::VARCHAR AS closest, round(s, 6) AS s FROM sim),
+k AS ({_rank('r', 'category', 'path')}), n AS (SELECT category, count(*) AS n FROM r GROUP BY ALL),
+id AS (SELECT *, least(n, 8) AS used, {_uniform(42, 'path', 'id')} AS u FROM k JOIN n USING (category) WHERE label < 5 AND rn <= 8),
+idc AS (SELECT *, round(CASE WHEN rn <= floor(used / 5) THEN 75e-2 + (85e-2 - 75e-2) * u ELSE 88e-2 + (98e-2 - 88e-2) * u END, 2) AS c FROM id),
+cum AS (SELECT category, least(n, 6) AS raw, sum(least(n, 6)) OVER (ORDER BY category ROWS UNBOUNDED PRECEDING) AS cum FROM n JOIN (SELECT DISTINCT category, label FROM r) USING (category) WHERE label >= 5),
+ood AS (SELECT *, sqrt(-2 * ln(greatest({_uniform(42, 'path', 'u')}, 1e-12))) * cos(2 * 3.141592653589793e0 * {_uniform(42, 'path', 'v')}) AS z
+  FROM k JOIN cum USING (category) WHERE rn <= least(cum, 20) - least(cum - raw, 20)),
+oodc AS (SELECT *, {_bands("z")} AS c FROM ood)
+SELECT path AS image, '<answer>' || category || '</answer> <confidence>' || c || '</confidence>' AS solution, 'ID' AS type, category, NULL::VARCHAR AS closest_id, NULL::VARCHAR AS difficulty,
+  CASE WHEN rn <= floor(used / 2) THEN 'support' ELSE 'query' END AS split, c AS confidence_target, NULL::DOUBLE AS pseudo_ood_score, NULL::DOUBLE AS max_similarity FROM idc
+UNION ALL SELECT path, '<answer>unknown</answer> <confidence>' || printf('%.2f', c) || '</confidence>', 'OOD', category, closest,
+  CASE WHEN s > 75e-2 THEN 'Hard' WHEN s > 60e-2 THEN 'Medium' ELSE 'Easy' END, 'query', c, round(greatest(1e-1, least(95e-2, 1 - s)), 3), s FROM oodc""",
 }

@@ -723,3 +723,69 @@ def task_prompts(spark, sf_dir):
 def plane_coordinates(spark, sf_dir):
     out = vectors.plane(_vectors(spark, sf_dir), "embedding")
     return out.select("vec_id", long("label").alias("label"), r6(F.abs("x")).alias("x"), r6(F.abs("y")).alias("y"))
+
+
+# --- error rows, positions, nested fields, open-set records ---------------------------
+
+
+def _distances(spark, sf_dir):
+    """Events as measured distances; every 29th couldn't be read."""
+    events = table(spark, sf_dir, "events")
+    error = F.when(F.col("event_id") % 29 == 7, F.concat(F.lit("cannot read "), F.col("event_id").cast("string")))
+    return audits.distance_results(events.withColumn("_d", F.floor(F.col("value") * 100) % 40 / 100).withColumn("_e", error), "_d", "event_type", "event_type", "_e")
+
+
+@query
+def distance_error_rows(spark, sf_dir):
+    return _distances(spark, sf_dir).select("event_id", "distance", "nearest_id", "true_category", "error")
+
+
+@query
+def distance_without_errors(spark, sf_dir):
+    out = audits.without_errors(_distances(spark, sf_dir)).groupBy("true_category")
+    return out.agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"), r6(F.avg("distance")).alias("mean"))
+
+
+@query
+def run_tally(spark, sf_dir):
+    return audits.tally(_distances(spark, sf_dir), "error", "event_type")
+
+
+@query
+def answer_by_position(spark, sf_dir):
+    s = _solutions(spark, sf_dir)
+    odd = F.when(F.col("doc_id") % 17 == 4, F.concat(F.lit("</answer>"), F.col("solution"))).otherwise(F.col("solution"))
+    return s.select("doc_id", X.answer_by_position(odd).alias("answer"))
+
+
+@query
+def json_nested_path(spark, sf_dir):
+    inner = F.to_json(F.struct(F.concat(F.lit(" "), F.col("event_type")).alias("category"), F.col("props").alias("extra")))
+    outer = F.to_json(F.struct(inner.alias("metadata")))
+    each = table(spark, sf_dir, "events").select("event_id", outer.alias("row"))
+    at = lambda path: X.metadata_field(F.col("row"), path)
+    return each.select("event_id", at("metadata.category").alias("category"), at("metadata.extra.k").try_cast("int").alias("k"), at("metadata.none.k").alias("missing"))
+
+
+@query
+def record_build_plain(spark, sf_dir):
+    return _records(spark, sf_dir, lambda c, _, __: P.plain_solution(c))
+
+
+@query
+def class_list_union(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    part = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("n_nationkey", "n_name")))), lambda x: x["n_name"])
+    lists = nation.agg(part(F.col("n_regionkey") < 2).alias("id"), part(F.col("n_regionkey") >= 2).alias("ood"))
+    return lists.select(F.posexplode(P.class_list(F.col("id"), F.col("ood"))).alias("pos", "category")).select(long("pos").alias("pos"), "category")
+
+
+@query
+def osr_records(spark, sf_dir):
+    similar = _similar(spark, sf_dir).select("vec_id", "label", F.col("closest").alias("closest"), F.round("similarity", 6).alias("similarity"))
+    items = similar.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), "label", "similarity", F.col("closest").cast("string").alias("closest"))
+    out = P.osr_rows(items.where("label < 5").select("path", "category"), items.where("label >= 5").select("path", "category", "similarity", "closest"), 8, noise=True)
+    m = F.col("metadata")
+    texts = [X.metadata_field(m, k).alias(k) for k in ("type", "category", "closest_id", "difficulty", "split")]
+    numbers = [X.metadata_field(m, k).try_cast("double").alias(k) for k in ("confidence_target", "pseudo_ood_score", "max_similarity")]
+    return out.select("image", "solution", *texts, *numbers)

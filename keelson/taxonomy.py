@@ -5,58 +5,99 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # --- Fixed values: they have to equal those in use, or results differ. ---
-ALL_CLASSES = (
-    "aircraft_carrier bitumen bulk_carrier catamaran_yacht chemical_tanker container_ship crude_oil_tanker cruise "
-    "destroyer firefighting fishing_boat frigate fso general_cargo_ship heavy_load_carrier kayak LNG_tanker LPG_tanker "
-    "monohull_sailboat monohull_yacht oil_products_tanker passenger_cargo_ship passenger_ro-ro_ship passenger_ship "
-    "reefer sailing_catamaran sailing_trimaran submarine tugboat vehicles_carrier"
-).split()
-ID_COMMON = (
-    "bulk_carrier container_ship general_cargo_ship passenger_cargo_ship fishing_boat sailing_trimaran chemical_tanker "
-    "crude_oil_tanker oil_products_tanker LNG_tanker LPG_tanker kayak heavy_load_carrier"
-).split()
-RESERVED = "bitumen passenger_ship catamaran_yacht monohull_yacht monohull_sailboat sailing_catamaran".split()
+ALL_CLASSES = [
+    "aircraft_carrier", "bitumen", "bulk_carrier", "catamaran_yacht", "chemical_tanker", "container_ship",
+    "crude_oil_tanker", "cruise", "destroyer", "firefighting", "fishing_boat", "frigate", "fso",
+    "general_cargo_ship", "heavy_load_carrier", "kayak", "LNG_tanker", "LPG_tanker", "monohull_sailboat",
+    "monohull_yacht", "oil_products_tanker", "passenger_cargo_ship", "passenger_ro-ro_ship", "passenger_ship",
+    "reefer", "sailing_catamaran", "sailing_trimaran", "submarine", "tugboat", "vehicles_carrier",
+]
 SCHEMES = {
     "destroyer_id": {
-        "id": [*ID_COMMON, "destroyer"],
-        "ood_train": "aircraft_carrier frigate submarine firefighting tugboat reefer vehicles_carrier passenger_ro-ro_ship fso cruise".split(),
-        "ood_reserved": RESERVED,
+        "id": [
+            "bulk_carrier", "container_ship", "general_cargo_ship", "passenger_cargo_ship", "fishing_boat",
+            "sailing_trimaran", "chemical_tanker", "crude_oil_tanker", "oil_products_tanker", "LNG_tanker",
+            "LPG_tanker", "kayak", "heavy_load_carrier", "destroyer",
+        ],
+        "ood_train": [
+            "aircraft_carrier", "frigate", "submarine", "firefighting", "tugboat", "reefer", "vehicles_carrier",
+            "passenger_ro-ro_ship", "fso", "cruise",
+        ],
+        "ood_reserved": [
+            "bitumen", "passenger_ship", "catamaran_yacht", "monohull_yacht", "monohull_sailboat",
+            "sailing_catamaran",
+        ],
     },
     "tugboat_id": {
-        "id": [*ID_COMMON, "tugboat"],
-        "ood_train": "destroyer aircraft_carrier frigate submarine firefighting reefer vehicles_carrier passenger_ro-ro_ship fso cruise".split(),
-        "ood_reserved": RESERVED,
+        "id": [
+            "bulk_carrier", "container_ship", "general_cargo_ship", "passenger_cargo_ship", "fishing_boat",
+            "sailing_trimaran", "chemical_tanker", "crude_oil_tanker", "oil_products_tanker", "LNG_tanker",
+            "LPG_tanker", "kayak", "heavy_load_carrier", "tugboat",
+        ],
+        "ood_train": [
+            "destroyer", "aircraft_carrier", "frigate", "submarine", "firefighting", "reefer", "vehicles_carrier",
+            "passenger_ro-ro_ship", "fso", "cruise",
+        ],
+        "ood_reserved": [
+            "bitumen", "passenger_ship", "catamaran_yacht", "monohull_yacht", "monohull_sailboat",
+            "sailing_catamaran",
+        ],
     },
     "osr_near": {
-        "id": [*ID_COMMON, "destroyer"],
-        "ood_train": "bitumen cruise passenger_ship reefer submarine aircraft_carrier".split(),
-        "ood_fallback": "cruise fso passenger_ship monohull_yacht submarine".split(),
+        "id": [
+            "bulk_carrier", "container_ship", "general_cargo_ship", "passenger_cargo_ship", "fishing_boat",
+            "sailing_trimaran", "chemical_tanker", "crude_oil_tanker", "oil_products_tanker", "LNG_tanker",
+            "LPG_tanker", "kayak", "heavy_load_carrier", "destroyer",
+        ],
+        "ood_train": [
+            "bitumen", "cruise", "passenger_ship", "reefer", "submarine", "aircraft_carrier",
+        ],
+        "ood_fallback": [
+            "cruise", "fso", "passenger_ship", "monohull_yacht", "submarine",
+        ],
     },
     "pseudo_ood": {
-        "id": (
-            "aircraft_carrier bitumen bulk_carrier chemical_tanker cruise destroyer fishing_ships fso kayak LNG_tanker "
-            "passenger_cargo_ship sailing_trimaran submarine vehicles_carrier"
-        ).split(),
-        "pseudo_ood": (
-            "container_ship crude_oil_tanker tugboat frigate general_cargo_ship reefer passenger_ship LPG_tanker "
-            "catamaran_yacht heavy_load_carrier firefighting monohull_sailboat monohull_yacht oil_products_tanker "
-            "passenger_ro-ro_ship sailing_catamaran"
-        ).split(),
+        "id": [
+            "aircraft_carrier", "bitumen", "bulk_carrier", "chemical_tanker", "cruise", "destroyer", "fishing_ships",
+            "fso", "kayak", "LNG_tanker", "passenger_cargo_ship", "sailing_trimaran", "submarine",
+            "vehicles_carrier",
+        ],
+        "pseudo_ood": [
+            "container_ship", "crude_oil_tanker", "tugboat", "frigate", "general_cargo_ship", "reefer",
+            "passenger_ship", "LPG_tanker", "catamaran_yacht", "heavy_load_carrier", "firefighting",
+            "monohull_sailboat", "monohull_yacht", "oil_products_tanker", "passenger_ro-ro_ship",
+            "sailing_catamaran",
+        ],
     },
     "all30": {"id": ALL_CLASSES},
 }
 ALIASES = {"fishing_ships": "fishing_boat"}
 DIFFICULTY = {
-    "Easy": "aircraft_carrier frigate submarine firefighting tugboat".split(),
-    "Medium": "reefer vehicles_carrier passenger_ro-ro_ship".split(),
-    "Hard": "fso cruise".split(),
+    "Easy": [
+        "aircraft_carrier", "frigate", "submarine", "firefighting", "tugboat",
+    ],
+    "Medium": [
+        "reefer", "vehicles_carrier", "passenger_ro-ro_ship",
+    ],
+    "Hard": [
+        "fso", "cruise",
+    ],
 }
 #: Unknown classes that look most like known ones; they get the bonus of the highest similarity band.
-HARD_OOD = "bitumen cruise fso passenger_ship reefer".split()
+HARD_OOD = [
+    "bitumen", "cruise", "fso", "passenger_ship", "reefer",
+]
 SHORT_NAMES = {  # in the order of scheme tugboat_id
-    "id": "bulk container cargo pass_cargo fishing trimaran chem_tnk crude_tnk oil_tnk LNG LPG kayak heavy tug".split(),
-    "ood_train": "destroyer carrier frigate submarine fire reefer vehicles ro-ro fso cruise".split(),
-    "ood_reserved": "bitumen pass_ship cat_yacht mono_yacht mono_sail sail_cat".split(),
+    "id": [
+        "bulk", "container", "cargo", "pass_cargo", "fishing", "trimaran", "chem_tnk", "crude_tnk", "oil_tnk", "LNG",
+        "LPG", "kayak", "heavy", "tug",
+    ],
+    "ood_train": [
+        "destroyer", "carrier", "frigate", "submarine", "fire", "reefer", "vehicles", "ro-ro", "fso", "cruise",
+    ],
+    "ood_reserved": [
+        "bitumen", "pass_ship", "cat_yacht", "mono_yacht", "mono_sail", "sail_cat",
+    ],
 }
 #: shots: (share of OOD rows, least OOD rows, least share of OOD classes)
 SHOT_CONFIGS = {

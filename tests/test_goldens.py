@@ -230,3 +230,61 @@ def test_preflight_and_tasks(spark):
     P.TASKS.pop("open_set")
     assert one(spark, P.thought_solution(F.lit("<think>a</think> x"), F.lit("<answer>b</answer>"))) == "<solution><think>a</think>\n<answer>b</answer></solution>"
     assert one(spark, P.thought_solution(F.lit("none"), F.lit("<answer>b</answer>"))) == "<answer>b</answer>"
+
+
+def test_repeated_indexes_are_not_contiguous(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 3), ("a", 5), ("b", 3), ("b", 3), ("b", 4), ("c", 4), ("c", 3), ("d", 9)], "c string, i int")
+    got = {r["c"]: (r["n"], r["contiguous"]) for r in windows.contiguity(df, "c", "i").collect()}
+    assert got == {"a": (3, False), "b": (3, False), "c": (2, True), "d": (1, True)}
+
+
+def test_buckets_follow_the_values(spark):
+    """Narrow scores, an outlier and a very frequent value: buckets rise with the values and stay small."""
+    values = [0.9 + k / 1e5 for k in range(1000)] + [1e15] + [0.905] * 500 + [None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = sampling.range_bucket(df, "x").mark(df, "b").collect()
+    ordered = sorted(((r["x"] is not None, r["x"] or 0.0), r["b"]) for r in rows)
+    assert [b for _, b in ordered] == sorted(b for _, b in ordered)
+    sizes = {}
+    for (_, x), b in ordered:
+        if x != 0.905:
+            sizes[b] = sizes.get(b, 0) + 1
+    assert max(sizes.values()) <= 12 and len({b for (_, x), b in ordered if x == 0.905}) == 1
+
+
+def test_spread_rank_is_the_rank(spark):
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else f"c{k % 2}") for k in range(200)] + [(5, "c1")], "id long, c string")
+    rank = lambda f: sorted((r["id"], r["c"] or "", r["rn"]) for r in f(df, "c", "id").collect())
+    assert rank(sampling.with_spread_rank) == rank(sampling.with_rank)
+
+
+def test_truths_outside_the_band(spark):
+    """A truth outside the band takes a detection once, at its own IoU, and only where no other can."""
+    det = spark.createDataFrame([(1, 1, 1, [0.0, 0.0, 50.0, 50.0], 0.9), (1, 1, 2, [0.0, 0.0, 50.0, 50.0], 0.8), (1, 1, 3, [200.0, 0.0, 10.0, 10.0], 0.7)], "image_id long, category_id long, det_id long, bbox array<double>, score double")
+    gt = spark.createDataFrame([(1, 1, 1, [0.0, 0.0, 50.0, 50.0]), (1, 1, 2, [200.0, 0.0, 10.0, 10.0])], "image_id long, category_id long, gt_id long, bbox array<double>")
+    got = {(r["area"], r["det_id"]): (r["tps"][0], r["ignores"][0]) for r in detection.match_wide(det, gt, ["small", "medium"]).collect()}
+    assert got == {("small", 1): (False, True), ("small", 2): (False, True), ("small", 3): (True, False), ("medium", 1): (True, False), ("medium", 2): (False, False), ("medium", 3): (False, True)}
+    six = detection.summary(detection.evaluate_areas(det, gt)).first().asDict()
+    assert six["AP_small"] == 1 and six["AP_m"] == 1 and six["AP_l"] is None and 0.8 < six["mAP"] < 1
+
+
+def test_error_rows(spark):
+    df = spark.createDataFrame([(0.123456, "a", "b", None), (None, None, "b", "bad file")], "d double, n string, t string, e string")
+    rows = audits.distance_results(df, "d", "n", "t", "e")
+    assert [tuple(r)[4:] for r in rows.collect()] == [(0.1235, "a", "b", None), (0.5, "unknown", "unknown", "bad file")]
+    assert audits.without_errors(rows).count() == 1 and tuple(audits.tally(rows).first()) == (1, 1, 2)
+
+
+def test_two_digits(spark):
+    values = [0.175, 0.165, 0.125, 0.375, 0.2, 0.999, 1.005, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(X.two_digits(F.col("v"))).collect()] == [f"{v:.2f}" for v in values]
+
+
+def test_result_row_and_confidence(spark):
+    df = spark.createDataFrame([("Tug boat", "tugboat", None), (None, "fso", "x" * 200), ("", "fso", None)], "a string, t string, e string")
+    rows = df.select(*P.result_row(F.col("a"), F.col("t"), F.col("e"))).collect()
+    assert [r["is_correct"] for r in rows] == [True, False, True] and len(rows[1]["error"]) == 120
+    one = spark.createDataFrame([("fso", 0.9, True), ("fso", 0.175, False)], "c string, v double, k boolean")
+    got = [r[0] for r in one.select(P.confidence_solution(F.col("c"), F.col("v"), F.col("k"))).collect()]
+    assert got == ["<answer>fso</answer> <confidence>0.9</confidence>", "<answer>unknown</answer> <confidence>0.17</confidence>"]
