@@ -1,20 +1,33 @@
 """Token counts by prefix dynamic programming.
 
-The tokenizer drops white space and never joins text across it, so the count of a
-prefix that ends after a word is the count at the word before plus that word's own:
-``counts[k] = counts[k - 1] + tokens(word k)``.  Each distinct word of a chunk is
-encoded once by the library; a running sum then gives the exact count at every word
-end, which is stored with the byte where the word ends.  A cut inside a word adds the
-count of the cut word, kept in a table of word prefixes (:class:`PrefixCounts`).
-Budgets and truncation are then answered by look-up (:func:`fits`, :func:`tokens_at`).
+``at[k]`` is the exact number of tokens of the first ``k`` characters of a text, stored
+for every ``k``.  The tokenizer drops white space and never joins text across it, nor
+across the pieces it cuts a word into, so a prefix costs the whole pieces before the
+cut plus the count of the cut piece.
+
+Within a piece of up to ``SHORT`` bytes the library counts each prefix once and words
+share it.  In a longer one, where that would cost the square of its length, the counts
+come from a program over its prefixes.  Byte pairs have the property that a tokenization
+without its last token is the tokenization of what is left, and that a sequence is one
+if all its neighbours are, each pair by itself.  So the last token of each prefix is the
+suffix that is a token and a valid neighbour of the last token before it, and its count
+is the one found there plus one.  The token that ends a piece has a form of its own and
+is found the same way.  Pairs are judged by the library and remembered.
+
+Words with other characters than ``PLAIN`` (or a special string), and tokenizers of
+another make, are encoded by the library at every prefix.  Budgets and truncation are
+then answered by look-up (:func:`tokens_at`, :func:`fits`, :func:`tokens_of_prefix`,
+:func:`longest_prefix`), never by encoding again.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from bisect import bisect_right
+import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +37,18 @@ from pyspark.sql import functions as F
 from .textops import chunks, raw_text, split_words
 
 MAX_TOKENS = 2048
-MEMO_WORDS = 400_000  # distinct words that a task remembers; more are encoded again
-ROW = "doc_id long, n_bytes long, ends array<long>, counts array<long>"
+MEMO_WORDS = 400_000  # distinct words that a task remembers; more are counted again
+SHORT = 32  # bytes of the prefixes that words share, counted by the library once each
+ROW = "doc_id long, n_bytes long, ends array<long>, counts array<long>, at array<int>"
+# --- Fixed values: how the vocabulary's own normaliser and pre-tokeniser cut plain words. ---
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+# --- End of fixed values. ---
+#: Letters of Latin-1, Cyrillic, kana, Han and Hangul: one character in lower case, none that joins with the one before.
+LETTERS = "À-ÖØ-öø-ÿЀ-џぁ-ゖァ-ヺ一-鿿가-힣"
+PLAIN = re.compile(rf"[!-~{LETTERS}]+")
+PIECE = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}\n]+")
 
 
 def _load(path: str):
@@ -42,26 +65,187 @@ def _lengths(tokenizer, words: list[str]) -> list[int]:
     return [len(e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
+def _byte_names() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one past 255."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
+
+
+class _Pieces:
+    """Counts at every character of a piece, by the program over its prefixes."""
+
+    def __init__(self, tokenizer, model: dict):
+        from tokenizers.models import BPE
+
+        self._names = _byte_names()
+        self._inner = {t for t in model["vocab"] if not t.endswith(WORD_END)}
+        self._final = {t.removesuffix(WORD_END) for t in model["vocab"] if t.endswith(WORD_END)}
+        self._reach: dict[str, int] = {}  # how long a token with these last three characters can be
+        for t in self._inner | self._final:
+            self._reach[t[-3:]] = max(len(t), self._reach.get(t[-3:], 2))
+        self._ending = tokenizer.model
+        self._plain = BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self._pairs: dict[tuple[str, str], bool] = {}
+        self._ends: dict[tuple[str, str], bool] = {}
+        self._short: dict[str, int] = {"": 0}
+
+    def _neighbours(self, a: str, b: str) -> bool:
+        if not a:
+            return True
+        got = self._pairs.get((a, b))
+        if got is None:
+            got = self._pairs[a, b] = [t.value for t in self._plain.tokenize(a + b)] == [a, b]
+        return got
+
+    def _ending_pair(self, a: str, b: str) -> bool:
+        got = self._ends.get((a, b))
+        if got is None:
+            got = self._ends[a, b] = [t.value for t in self._ending.tokenize(a + b)] == ([a, b + WORD_END] if a else [b + WORD_END])
+        return got
+
+    def _step(self, text: str, at: int, every: list[tuple[str, int, int]]) -> tuple[str, int, int]:
+        """Last inner token and count of ``text[:at]``, and its count as a whole piece; ``every`` holds those of all shorter prefixes."""
+        inner = final = None
+        for size in range(min(at, self._reach.get(text[at - 3 : at], 2) if at > 2 else at), 0, -1):
+            token = text[at - size : at]
+            last, n, _ = every[at - size]
+            if inner is None and token in self._inner and self._neighbours(last, token):
+                inner = token, n + 1
+            if final is None and token in self._final and self._ending_pair(last, token):
+                final = n + 1
+            if inner and final:
+                break
+        return (*inner, final)
+
+    def counts(self, piece: str) -> list[int]:
+        """Tokens of ``piece[:k]`` for k from 1, for a piece that is one at every cut."""
+        if piece.isascii():
+            text, cuts = piece, range(1, len(piece) + 1)
+        else:
+            raw = [c.encode() for c in piece]
+            text = "".join([self._names[b] for c in raw for b in c])
+            cuts = list(accumulate(map(len, raw)))
+        short, tokenize = self._short, self._ending.tokenize
+        known = here = min(len(text), SHORT)
+        while text[:known] not in short:
+            known -= 1
+        for at in range(known + 1, here + 1):
+            short[text[:at]] = len(tokenize(text[:at]))
+        if here == len(text):
+            return [short[text[:k]] for k in cuts]
+        every = [("", 0, 0)]
+        for at in range(1, len(text) + 1):
+            every.append(self._step(text, at, every))
+        return [every[k][2] for k in cuts]
+
+    def forget(self) -> None:
+        if len(self._short) > 2 * MEMO_WORDS:
+            self._short = {"": 0}
+        if len(self._pairs) + len(self._ends) > 2 * MEMO_WORDS:
+            self._pairs, self._ends = {}, {}
+
+
+class _Counter:
+    """Counts at every prefix of distinct words, remembered by word."""
+
+    def __init__(self, path: str):
+        self._tokenizer = _load(path)
+        made = json.loads(self._tokenizer.to_str())
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        cut = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        own = made["model"].get("type") == "BPE" and made["model"].get("end_of_word_suffix") == WORD_END and not made["model"].get("dropout")
+        self._pieces = _Pieces(self._tokenizer, made["model"]) if own and steps == NORMALIZERS and cut == [PATTERN, None] else None
+        self._special = [x["content"] for x in made["added_tokens"]]
+        self._clear()
+
+    def _clear(self) -> None:
+        self._word: dict[bytes, int] = {}
+        self._flat, self._sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        self._piece: dict[str, int] = {}
+        self._piece_counts: list[list[int]] = []
+
+    def table(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words, and where each number's counts begin and what they are, end to end."""
+        new = [w for w in words if w not in self._word]
+        if len(self._word) + len(new) > MEMO_WORDS:
+            self._clear()
+            new = words
+            if self._pieces:
+                self._pieces.forget()
+        texts = [w.decode() for w in new]
+        plain = [bool(self._pieces) and PLAIN.fullmatch(t) is not None and not any(x in t for x in self._special) for t in texts]
+        for some, count in (([t for t, ok in zip(texts, plain, strict=True) if ok], self._by_piece), ([t for t, ok in zip(texts, plain, strict=True) if not ok], self._by_library)):
+            if some:
+                flat, sizes = count(some)
+                self._flat.append(flat)
+                self._sizes.append(sizes)
+        base = len(self._word)
+        order = [w for w, ok in zip(new, plain, strict=True) if ok] + [w for w, ok in zip(new, plain, strict=True) if not ok]
+        self._word.update(zip(order, range(base, base + len(order)), strict=True))
+        self._flat, self._sizes = [np.concatenate(self._flat)], [np.concatenate(self._sizes)]
+        begin = np.concatenate(([0], np.cumsum(self._sizes[0])))
+        return np.array([self._word[w] for w in words], np.int64), begin, self._flat[0]
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts = _lengths(self._tokenizer, [t[:k] for t in texts for k in range(1, len(t) + 1)])
+        return np.array(counts, np.int32), np.array([len(t) for t in texts], np.int64)
+
+    def _by_piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = PIECE.findall("\n".join(texts).lower() + "\n")
+        for p in set(flat) - self._piece.keys() - {"\n"}:
+            self._piece[p] = len(self._piece_counts)
+            if p[0] == "'" and len(p) > 1 and p[1].isalpha():  # 's and the like: cut short, it's two pieces
+                counts = [sum(self._pieces.counts(x)[-1] for x in PIECE.findall(p[:k])) for k in range(1, len(p))] + self._pieces.counts(p)[-1:]
+            else:
+                counts = self._pieces.counts(p)
+            self._piece_counts.append(counts)
+        index = np.array([self._piece.get(p, -1) for p in flat], np.int64)
+        used, inverse = np.unique(index[index >= 0], return_inverse=True)
+        lists = [self._piece_counts[k] for k in used.tolist()]
+        size = np.array([len(x) for x in lists], np.int64)
+        pool = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+        start = np.cumsum(size) - size
+        word = np.cumsum(index < 0)[index >= 0]
+        whole = pool[start + size - 1][inverse].astype(np.int64)
+        before = np.cumsum(whole) - whole
+        before -= before[np.searchsorted(word, word)]  # from the word's first piece
+        n = size[inverse]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        counts = pool[np.repeat(start[inverse], n) + at] + np.repeat(before, n)
+        return counts.astype(np.int32), np.bincount(word, weights=n, minlength=len(texts)).astype(np.int64)
+
+
 def _prefix_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tokenizer, memo = _load(path), {}
+    counter = _Counter(path)
     for part in chunks(batches, "text"):
         column = part.column("text")
         words = split_words(column)
         index, distinct = words.encode()
-        new = [w for w in distinct if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = distinct
-        memo.update(zip(new, _lengths(tokenizer, [w.decode() for w in new]), strict=True))
-        each = np.array([memo[w] for w in distinct], np.int64)[index] if distinct else np.zeros(0, np.int64)
+        number, begin, pool = counter.table(distinct)
+        own = number[index] if len(index) else index
+        size = begin[own + 1] - begin[own]  # characters of each word
+        each = pool[begin[own + 1] - 1].astype(np.int64) if len(own) else own
         running = np.cumsum(each)
-        before = np.concatenate(([0], running))[words.first[:-1]]
-        counts = running - np.repeat(before, words.per_doc)
-        off = raw_text(column)[1]
+        before = np.concatenate(([0], running))
+        start = before[words.first[:-1]]
+        counts = running - np.repeat(start, words.per_doc)
+        raw, off = raw_text(column)
         ends = _word_ends(column) - off[words.doc]
+        # one entry for each character of each text, and one for none: what the words before it hold, plus its own
+        opens = (raw & 0xC0) != 0x80
+        chars = np.concatenate(([0], np.cumsum(opens)))[off]
+        black = opens & (raw != 32) & ~((raw >= 9) & (raw <= 13))
+        word = np.cumsum(np.bincount((np.concatenate(([0], np.cumsum(opens)))[ends + off[words.doc]]) if len(ends) else np.zeros(0, np.int64), minlength=int(opens.sum()) + 1))[: int(opens.sum())]
+        at = before[word]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at[black[opens]] += pool[np.repeat(begin[own], size) + inside] if len(own) else 0
+        at -= np.repeat(start, np.diff(chars))
+        at = np.insert(at, chars[:-1], 0)
         rows = pa.array(words.first.astype(np.int32))
         lists = [pa.ListArray.from_arrays(rows, pa.array(x)) for x in (ends, counts)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off)), *lists], ["doc_id", "n_bytes", "ends", "counts"])
+        lists.append(pa.ListArray.from_arrays(pa.array((chars + np.arange(len(chars))).astype(np.int32)), pa.array(at.astype(np.int32))))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off)), *lists], ["doc_id", "n_bytes", "ends", "counts", "at"])
 
 
 def _word_ends(column: pa.Array) -> np.ndarray:
@@ -76,12 +260,13 @@ def _word_ends(column: pa.Array) -> np.ndarray:
 
 
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_bytes, ends, counts)``: tokens up to and with each word, and the byte where it ends.
+    """``(doc_id, n_bytes, ends, counts, at)``: the exact token count at every prefix of every text.
 
-    ``path`` is a vocabulary file of the ``tokenizers`` library whose normaliser and
+    ``at`` has an entry for each number of characters from 0; ``counts`` and ``ends`` pick
+    out the ends of words, with the byte of each.  ``path`` is a vocabulary file of the ``tokenizers`` library whose normaliser and
     pre-tokeniser drop white space.  Special strings inside a text become their special
     token, the library's default; nothing is added, cut or padded.  Null texts count as
-    empty (empty lists); repeated rows are each returned; null ids stay; an empty table
+    empty (no words, ``at`` is 0 alone); repeated rows are each returned; null ids stay; an empty table
     gives no rows; other columns are not read.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -105,30 +290,28 @@ def fits(ends: Column, counts: Column, budget: int) -> Column:
     return F.coalesce(F.try_element_at(ends, F.nullif(n, F.lit(0))), F.lit(0).cast("long"))
 
 
+def tokens_of_prefix(at: Column, n_chars: int | Column) -> Column:
+    """Tokens of the first ``n_chars`` characters (of all, if there are fewer)."""
+    return F.get(at, F.least(F.size(at) - 1, F.lit(n_chars) if isinstance(n_chars, int) else n_chars))
+
+
+def longest_prefix(at: Column, budget: int) -> Column:
+    """Characters of the longest prefix with ``budget`` tokens at most; a longer prefix can have fewer tokens than a shorter one."""
+    return F.array_max(F.transform(at, lambda n, k: F.when(n <= budget, k)))
+
+
 class PrefixCounts:
     """Exact counts at every character prefix of one text."""
 
     def __init__(self, text: str, path: str):
-        self._tokenizer, self._text = _load(path), text
-        raw = text.encode()
-        at, self._ends, self._counts = 0, [0], [0]
-        for word in raw.split():
-            at = raw.index(word, at) + len(word)
-            self._ends.append(at)
-            self._counts.append(self._counts[-1] + _lengths(self._tokenizer, [word.decode()])[0])
-        self._inside: dict[str, int] = {}
+        batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text])], ["doc_id", "text"])
+        self._at = [0]
+        for out in _prefix_batches(iter([batch]), path):
+            self._at = out.column("at")[0].as_py()
 
     def at(self, n_chars: int) -> int:
         """Tokens of ``text[:n_chars]``."""
-        raw = self._text[:n_chars].encode()
-        k = bisect_right(self._ends, len(raw)) - 1
-        rest = raw[self._ends[k] :].split()
-        if not rest:
-            return self._counts[k]
-        word = rest[0].decode()
-        if word not in self._inside:
-            self._inside[word] = _lengths(self._tokenizer, [word])[0]
-        return self._counts[k] + self._inside[word]
+        return self._at[min(n_chars, len(self._at) - 1)]
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +319,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     found = prefix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), str(public_tokenizers.path("word_bpe_49k.json")))
-    n = found.select("doc_id", "n_bytes", total(F.col("counts")).alias("n_tokens"))
+    n = found.select("doc_id", "n_bytes", F.element_at("at", -1).cast("long").alias("n_tokens"))
     return n.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)

@@ -384,3 +384,24 @@ def test_budgets(spark, vocabulary):
 def test_token_counts_odd(odd_docs, no_docs, vocabulary):
     assert tokencount.prefix_counts(odd_docs, vocabulary).count() == 9
     assert tokencount.prefix_counts(no_docs, vocabulary).count() == 0
+
+
+def test_every_prefix(spark, vocabulary):
+    """The stored count of every prefix is the library's count of that prefix, whatever the text."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(vocabulary), random.Random(5)
+    texts = ["", None, " \t ", "'re 'llama we'll they've I'd! 'S ''t", "日本語のテキスト 한국어 ПриветМир ЁЖ", "a" * 90 + " " + "th" * 60 + "ß" * 40, "İstanbul é́ ﬁ <|endoftext|>x", "\n\n x"]
+    texts += ["".join(rng.choices("abcdethrsoni'.,<>|/w!ÉéñÑß-0123 \n\t#日かЯ", k=120)) for _ in range(20)]
+    texts += ["".join(rng.choices("thearinso", k=150)) for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = F.col("at")
+    rows = tokencount.prefix_counts(df, vocabulary).select("doc_id", "at", tokencount.longest_prefix(at, 7).alias("longest"), tokencount.tokens_of_prefix(at, 9).alias("nine")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        want = [len(t.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert r["at"] == want and r["nine"] == want[min(9, len(text))]
+        assert r["longest"] == max(k for k, n in enumerate(want) if n <= 7)
