@@ -7,10 +7,11 @@ fraction is rounded so that the words taken keep their sum: two texts pass *mass
 or 1; the other goes on to the next partner.
 
 The reduction is a tree.  Leaves are blocks of a source, dealt by a hash, each reduced
-to one open text at most; levels of such blocks follow while many are open.  A bounded
-reserve of each source's texts stays out until the root, where the open ones and the
-reserve are closed from the largest to the smallest, each against all that follow, so
-what is left over at the end is one of the smallest texts.
+to one open text at most; levels of such blocks follow while many are open.  A reserve
+of each source's texts, half of them and some thousand at most, stays out until the
+root, where the open ones and the reserve are closed from the largest to the smallest,
+each against all that follow, so what is left over at the end is one of the smallest
+texts.  So pairs are closed in every source that has two texts to round, however small.
 """
 
 from __future__ import annotations
@@ -155,7 +156,7 @@ def copies_of(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     table = spark.createDataFrame(plan, "src string, sid int, source_size long, target double, whole int, chance double, n long")
     held = F.broadcast(table) if len(plan) <= BROADCAST_SOURCES else table
     open_ = units.join(held, units["source"].eqNullSafe(held["src"])).where((F.col("size") > 0) & (F.col("chance") > EDGE))
-    reserve = F.col("reserve") < RESERVE / F.col("n")
+    reserve = F.col("reserve") < F.least(F.lit(0.5), RESERVE / F.col("n"))
     dealt = open_.withColumn("reserve", _uniform(1)).select("doc_id", "source", "h", "size", "m", "sid", "chance", "n", reserve.alias("kept_back"))
     first = dealt.where(~F.col("kept_back")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     back = dealt.where("kept_back").select(*[c.split()[0] for c in ROW.split(", ")])

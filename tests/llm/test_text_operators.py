@@ -405,3 +405,27 @@ def test_every_prefix(spark, vocabulary):
         want = [len(t.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
         assert r["at"] == want and r["nine"] == want[min(9, len(text))]
         assert r["longest"] == max(k for k, n in enumerate(want) if n <= 7)
+
+
+def test_small_sources_are_paired(spark):
+    """Blocks of a source of 40 equal texts (ties in size) close their fractions in pairs before the root sees any."""
+    rows = [(k, "one two three four five", "b" if k < 40 else "a") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    levels = []
+    plain = mixing._level
+
+    def spied(rows, level, blocks):
+        out = plain(rows, level, blocks)
+        levels.append(out.where("sid = 1").select("chance").collect())
+        return out
+
+    mixing._level = spied
+    try:
+        got = mixing.copies_of(docs).collect()
+    finally:
+        mixing._level = plain
+    first = [r["chance"] for r in levels[0]]
+    assert 5 <= len(first) <= 35 and sum(0 < c < 1 for c in first) <= 1
+    for s in ("a", "b"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 5
