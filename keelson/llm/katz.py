@@ -336,7 +336,7 @@ def _evidence(batches: Iterator[pa.RecordBatch], lists: Lists) -> Iterator[pa.Re
         yield _batch(row[there], ids[there], np.full(there.sum(), DOC_ID), none[there])
         held = part.column("_held").to_numpy(zero_copy_only=False)
         for what, values in ((TOKENS, words.per_doc + 1.0), (KNOWN, known), (BASE, base), (SCORE, score), (HELD, held.astype(float))):
-            yield _batch(row, np.zeros(n_docs, np.int64), np.full(n_docs, what), values)
+            yield _batch(row, row, np.full(n_docs, what), values)  # any key that spreads: these rows meet no table
 
 
 def _batch(row: np.ndarray, key: np.ndarray, what: np.ndarray, val: np.ndarray) -> pa.RecordBatch:
