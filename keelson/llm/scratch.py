@@ -18,7 +18,12 @@ _OPEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/keelson-{os.getpid()}"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"/tmp/checkpoints/keelson-{os.getpid()}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -159,36 +159,50 @@ def _seed(batches: Iterator[pa.RecordBatch], hot: np.ndarray, length: int, gram:
         yield _rows(_first_only(*(np.concatenate(x) for x in zip(cold, warm, strict=True))))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Sorted batches, cut so that no key is split (a key holds few rows: hot anchors don't come here)."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        got = [batch.column(k).to_numpy() for k in range(6)]
-        held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
-        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if cut:
-            yield [x[:cut] for x in held]
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (key, kind, sub): repeats (``sure``), and stretches whose windows have to be compared.
 
+    Those are the first of each content where an anchor has several.  A key may hold any
+    number of rows: all that is kept from one batch to the next is its last row, and the
+    first of its contents while no second one has been seen.
+    """
+    last, waiting = None, None
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: repeats (``sure``), and stretches whose windows have to be compared."""
-    for key, sub, doc, at, n, kind in _grouped(batches):
-        same_key = np.zeros(len(key), bool)
-        same_key[1:] = (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])
-        again = same_key.copy()
+    def rows(doc: np.ndarray, at: np.ndarray, n: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(sure)], ["doc_id", "at", "n", "sure"])
+
+    for batch in batches:
+        key, sub, doc, at, n, kind = (batch.column(k).to_numpy() for k in range(6))
+        if not len(key):
+            continue
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])
+        again = same.copy()
         again[1:] &= sub[1:] == sub[:-1]
-        new = np.ones(len(key), bool)
-        new[1:] = ~same_key[1:]
-        group = np.cumsum(new) - 1
-        kinds = np.bincount(group, weights=~again)[group]  # different stretches at this anchor
+        same[0] = last is not None and last[:2] == (key[0], kind[0])
+        again[0] = same[0] and last[2] == sub[0]
+        fresh = np.flatnonzero(~again & (kind == STRETCH))  # the first of each content
+        several = np.zeros(len(fresh), bool)
+        several[1:] = key[fresh[1:]] == key[fresh[:-1]]
+        if len(fresh) and waiting is not None and waiting[0] == key[fresh[0]]:
+            several[0] = True
+            yield rows(*(np.array([x]) for x in waiting[1:]), np.array([False]))
+        elif len(fresh) and last is not None and last[:2] == (key[fresh[0]], STRETCH):
+            several[0] = True  # its first was sent on before
+        ask = np.zeros(len(key), bool)
+        ask[fresh] = several
+        ask[fresh[:-1]] |= several[1:]
         sure = again | (kind == REPEAT)
-        ask = ~sure & (kind == STRETCH) & (kinds > 1)
+        sure &= (kind != STRETCH) | again
         out = sure | ask
-        arrays = [doc[out], at[out], n[out].astype(np.int32), sure[out]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc_id", "at", "n", "sure"])
+        yield rows(doc[out], at[out], n[out], sure[out])
+        open_ = len(fresh) and key[fresh[-1]] == key[-1] and kind[-1] == STRETCH
+        if open_ and not ask[fresh[-1]]:
+            f = fresh[-1]
+            waiting = key[f], doc[f], at[f], n[f]
+        elif len(fresh) or key[-1] != key[0] or not same[0]:
+            waiting = None
+        last = key[-1], kind[-1], sub[-1]
 
 
 def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
