@@ -224,10 +224,8 @@ def _counts_of_counts(table: DataFrame, column: str) -> list[int]:
     return n
 
 
-def train(docs: DataFrame) -> Model:
-    """Fit the model to the ``text`` of ``docs``; the tables hold every word and pair."""
-    text = docs.select("text")
-    words = stored(text.mapInArrow(_word_counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
+def unigrams(words: DataFrame) -> Unigrams:
+    """Good-Turing estimate from ``words(key, c)``."""
     tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n = _counts_of_counts(words, "c")
     d = discounts(n)
@@ -235,7 +233,15 @@ def train(docs: DataFrame) -> Model:
     scale = 1.0
     if not unseen > 0:
         unseen, scale = 1 / (tokens + 1), tokens / (tokens + 1)
-    uni = Unigrams(tokens, types, d, unseen, scale)
+    return Unigrams(tokens, types, d, unseen, scale)
+
+
+def train(docs: DataFrame) -> Model:
+    """Fit the model to the ``text`` of ``docs``; the tables hold every word and pair."""
+    text = docs.select("text")
+    words = stored(text.mapInArrow(_word_counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
+    uni = unigrams(words)
+    tokens = uni.tokens
     often = words.where((F.col("c") >= min(LIST_SHARE, CLASS_SHARE) * tokens) | (F.col("key") == END_KEY)).orderBy("key").toArrow()
     keys, counts = (often.column(c).to_numpy() for c in ("key", "c"))
     own = (counts >= CLASS_SHARE * tokens) & (keys != END_KEY)
@@ -386,5 +392,6 @@ def held_out() -> Column:
 
 def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and Katz scores of every document, learning from those that are not held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs.where(~held_out())), held_out())
+    from .katz_corpus import learn_and_score
+
+    return learn_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"), held_out())
