@@ -35,12 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import katz
-from .katz import END, END_KEY, GATHER, GT_ORDER, Lists, Unigrams, _found, _names, _tokens
+from .katz import END, END_KEY, GT_ORDER, Lists, Unigrams, _found, _names, _tokens
 from .scratch import drop, stored
 from .textops import chunks, mixed, signed
 
 HOT_SHARE = 1e-5
 BUCKET_TOKENS = 3_000_000
+HELD_TOKENS = 1_000_000  # that a task deals out together
 SECTIONS = 5  # pairs of classes; history without a class, then next one with, without; next without a class, then history with, without
 DOC, UNSEEN_CLASS, UNSEEN_KEY, CLASS, HISTORY, LOWER, COUNTS, NAMED, CLOSED = range(9)  # what a row of the reduced table says
 FOUND = "what int, r int, a long, b long, k long, n long, x double, m array<long>, block binary"
@@ -92,6 +93,7 @@ def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     def out() -> pa.RecordBatch:
         names = np.concatenate([keys[index] for keys, index in held])
+        held.clear()
         word, n = np.unique(names, return_counts=True)
         pair, often = np.unique(_pair_hash(np.concatenate(([END_KEY], names[:-1])), names), return_counts=True)  # chunks end with the end
         keep = often >= max(1, HOT_SHARE / 2 * len(names))
@@ -104,9 +106,9 @@ def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         own[np.arange(len(words)) + words.doc] = index
         held.append((np.append(keys, END_KEY), own))
         size += len(own)
-        if size > GATHER:
+        if size > HELD_TOKENS:
             yield out()
-            held, size = [], 0
+            size = 0
     if size:
         yield out()
 
@@ -156,7 +158,9 @@ def _dealt(batches: Iterator[pa.RecordBatch], classes: _Classes, buckets: int) -
         first = np.cumsum([0, *(len(h[3]) for h in held)])
         hist, next_ = (np.concatenate([h[k] for h in held]) for k in (0, 1))
         doc = np.concatenate([h[2] + f for h, f in zip(held, first, strict=False)])
+        doc = doc.astype(np.int32)
         a, b, train = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
+        held.clear()
         hc, wc = classes.known(hist), classes.known(next_)
         pairs = np.flatnonzero(hc & wc)
         number, named = classes.find_named(hist[pairs], next_[pairs])
@@ -196,9 +200,9 @@ def _dealt(batches: Iterator[pa.RecordBatch], classes: _Classes, buckets: int) -
         a, b = (part.column(c).to_numpy() for c in ("_a", "_b"))
         held.append((*classes.tokens(part), a, b, ~part.column("_held").to_numpy(zero_copy_only=False)))
         size += len(held[-1][0])
-        if size > GATHER:
+        if size > HELD_TOKENS:
             yield out()
-            held, size, turn = [], 0, turn + 1
+            size, turn = 0, turn + 1
     if size:
         yield out()
 
@@ -227,6 +231,7 @@ class _Bucket:
     def __init__(self, classes: _Classes, blocks: list[bytes]):
         self.classes = classes
         parts = [unpack(x) for x in blocks]
+        blocks.clear()
         first = np.cumsum([0, *(len(p[0]) for p in parts)])
         joined = lambda k: np.concatenate([p[k] for p in parts])
         self.a, self.b, self.train = signed(joined(0)), signed(joined(1)), joined(2).astype(bool)
@@ -235,8 +240,10 @@ class _Bucket:
         for k in range(SECTIONS):
             at = 3 + 3 * k
             key = np.concatenate([np.cumsum(p[at], dtype=np.uint64) for p in parts])
-            doc = np.concatenate([p[at + 2].astype(np.int64) + f for p, f in zip(parts, first, strict=False)])
+            doc = np.concatenate([p[at + 2].astype(np.int32) + np.int32(f) for p, f in zip(parts, first, strict=False)])
             self.sections.append((key, signed(joined(at + 1)), doc))
+            for p in parts:
+                p[at] = p[at + 1] = p[at + 2] = None
         n = len(self.a)
         self.score, self.base, self.known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         self.tally, self.closed = np.zeros((GT_ORDER, n)), np.zeros((GT_ORDER, n))  # by count; by least count of the history, from 2
@@ -284,6 +291,7 @@ class _Bucket:
         key, _, doc = self.sections[0]
         if not len(key):
             return
+        self.sections[0] = None
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         begin = _runs(key)
@@ -297,6 +305,7 @@ class _Bucket:
 
     def _sorted(self, first: int) -> tuple[np.ndarray, ...]:
         key, other, doc = (np.concatenate(x) for x in zip(*self.sections[first : first + 2], strict=True))
+        self.sections[first] = self.sections[first + 1] = None
         order = np.lexsort((other, key))
         key, other, doc = key[order], other[order], doc[order]
         words, both = _runs(key), _runs(key, other)
