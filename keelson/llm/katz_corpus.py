@@ -42,6 +42,7 @@ from .textops import chunks, mixed, signed
 HOT_SHARE = 1e-5
 BUCKET_TOKENS = 3_000_000
 HELD_TOKENS = 1_000_000  # that a task deals out together
+PIECES = 8  # of a bucket, by key, worked on one after the other
 SECTIONS = 5  # pairs of classes; history without a class, then next one with, without; next without a class, then history with, without
 DOC, UNSEEN_CLASS, UNSEEN_KEY, CLASS, HISTORY, LOWER, COUNTS, NAMED, CLOSED = range(9)  # what a row of the reduced table says
 FOUND = "what int, r int, a long, b long, k long, n long, x double, m array<long>, block binary"
@@ -287,11 +288,8 @@ class _Bucket:
         other = ok & ~self.train[doc]
         self.held_seen.append((doc[other], hist[other]))
 
-    def pairs(self) -> None:
-        key, _, doc = self.sections[0]
-        if not len(key):
-            return
-        self.sections[0] = None
+    def pairs(self, key: np.ndarray, _, doc: np.ndarray) -> None:
+        """Tokens after a class that have one themselves."""
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         begin = _runs(key)
@@ -303,20 +301,16 @@ class _Bucket:
         run = _grown(begin, len(key))
         self.class_tokens(hist[run], n[run], doc, self.classes.log_p[next_][run])
 
-    def _sorted(self, first: int) -> tuple[np.ndarray, ...]:
-        key, other, doc = (np.concatenate(x) for x in zip(*self.sections[first : first + 2], strict=True))
-        self.sections[first] = self.sections[first + 1] = None
+    def _sorted(self, key: np.ndarray, other: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.lexsort((other, key))
         key, other, doc = key[order], other[order], doc[order]
         words, both = _runs(key), _runs(key, other)
         of_train = self.train[doc].astype(np.int64)
         return key, other, doc, words, both, np.add.reduceat(of_train, words), np.add.reduceat(of_train, both)
 
-    def words(self) -> None:
+    def words(self, *rows: np.ndarray) -> None:
         """Tokens without a class, by themselves."""
-        if not len(self.sections[3][0]) + len(self.sections[4][0]):
-            return
-        key, hist, doc, words, both, c, n = self._sorted(3)
+        key, hist, doc, words, both, c, n = self._sorted(*rows)
         uni = self.classes.uni
         word, run = _grown(words, len(key)), _grown(both, len(key))
         self.base += np.bincount(doc, weights=uni.log10_base(c)[word], minlength=len(self.a))
@@ -333,11 +327,9 @@ class _Bucket:
         if ok.any():
             self.rows.append(_row_batch(LOWER, int(ok.sum()), k=h[ok], n=c[word[both[ok]]]))
 
-    def histories(self) -> None:
+    def histories(self, *rows: np.ndarray) -> None:
         """Tokens after a history without a class."""
-        if not len(self.sections[1][0]) + len(self.sections[2][0]):
-            return
-        key, next_, doc, words, both, c, n = self._sorted(1)
+        key, next_, doc, words, both, c, n = self._sorted(*rows)
         hist, run = _grown(words, len(key)), _grown(both, len(key))
         ok = n[run] > 0
         self.seen(doc[ok], n[run[ok]], c[hist[ok]])
@@ -362,10 +354,20 @@ class _Bucket:
             self.rows.append(_row_batch(HISTORY, int(wanted.sum()), k=signed(key[words][wanted]), n=c[wanted], x=p[wanted], m=shown[wanted].tolist()))
 
     def reduced(self, back: int) -> Iterator[pa.RecordBatch]:
-        self.pairs()
-        self.words()
-        self.histories()
-        yield from self.rows
+        for work, sections in ((self.pairs, [0]), (self.words, [3, 4]), (self.histories, [1, 2])):
+            for piece in range(PIECES):
+                rows = []
+                for k in sections:
+                    key, other, doc = self.sections[k]
+                    at = np.flatnonzero((key & np.uint64(PIECES - 1)) == piece)
+                    rows.append((key[at], other[at] if k else other, doc[at]))
+                some = [np.concatenate(x) for x in zip(*rows, strict=True)]
+                if len(some[0]):
+                    work(*some)
+                yield from self.rows
+                self.rows = []
+            for k in sections:
+                self.sections[k] = None
         number, n, hist, next_ = self.named
         if len(number):
             yield _row_batch(NAMED, len(number), k=number, n=n, a=hist, b=next_)
