@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .scratch import drop, stored
 from .textops import Words, chunks, raw_text, split_words
 
-COMMON, MAX_WORD_BYTES = 1 / 500, 64
+COMMON = 1 / 500
+MAX_WORD_BYTES = float("inf")  # longer words are never common; none is, unless a caller sets this
 #: At so many words sampling moves a reference by 0.03 at most (WORD_SLACK over the root), a tenth of what is allowed.
 MIN_REFERENCE_WORDS, SHARD = 10_000, 200
 MIN_CHARS, MIN_WORDS = 200, 80
