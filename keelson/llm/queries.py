@@ -8,17 +8,19 @@ from .katz import op8_katz_scores
 from .langid import op4_language_id
 from .mixing import op7_source_mix
 from .quality import op1_divergence_rules
+from .ranking import OP13_SQL, op13_ranked_search
 from .simhash import op2_simhash_near_dedup
 from .substring import op5_substring_dedup
 from .tokencount import op10_token_counts
 from .urllm import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_source_mix, op8_katz_scores, op9_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_source_mix, op8_katz_scores, op9_decontaminate, op10_token_counts, op13_ranked_search)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 
 ORACLES = {
     "op3_chat_format": OP3_SQL,
+    "op13_ranked_search": OP13_SQL,
     "op5_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s
