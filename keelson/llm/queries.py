@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op12_bpe_round_trip
 from .chat import OP3_SQL, op3_chat_format
 from .decontam import op9_decontaminate
 from .katz import op8_katz_scores
@@ -9,12 +10,13 @@ from .langid import op4_language_id
 from .mixing import op7_source_mix
 from .quality import op1_divergence_rules
 from .ranking import OP13_SQL, op13_ranked_search
+from .repair import op11_conversation_repair
 from .simhash import op2_simhash_near_dedup
 from .substring import op5_substring_dedup
 from .tokencount import op10_token_counts
 from .urllm import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_source_mix, op8_katz_scores, op9_decontaminate, op10_token_counts, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_divergence_rules, op2_simhash_near_dedup, op3_chat_format, op4_language_id, op5_substring_dedup, op6_url_filter, op7_source_mix, op8_katz_scores, op9_decontaminate, op10_token_counts, op11_conversation_repair, op12_bpe_round_trip, op13_ranked_search)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 
