@@ -14,17 +14,22 @@ suffix that is a token and a valid neighbour of the last token before it, and it
 is the one found there plus one.  The token that ends a piece has a form of its own and
 is found the same way.  Pairs are judged by the library and remembered.
 
-Words with other characters than ``PLAIN`` (or a special string), and tokenizers of
-another make, are encoded by the library at every prefix.  Budgets and truncation are
-then answered by look-up (:func:`tokens_at`, :func:`fits`, :func:`tokens_of_prefix`,
-:func:`longest_prefix`), never by encoding again.
+Words with other characters than ``PLAIN`` (or a special string) are cut into the same
+pieces by the library's own normaliser and pre-tokeniser, so they too cost their length,
+whatever that is.  A cut inside characters that compose changes the last ones only, and
+the program goes on from the state before them.  With tokenizers of another make the
+library encodes every prefix of a word, a bounded number of characters together.
+
+Budgets and truncation are then answered by look-up (:func:`tokens_at`, :func:`fits`,
+:func:`tokens_of_prefix`, :func:`longest_prefix`), never by encoding again.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate, chain
@@ -34,54 +39,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pieces import NORMALIZERS, PATTERN, PIECE, PLAIN, byte_names, load
 from .textops import chunks, raw_text, split_words
 
 MAX_TOKENS = 2048
 MEMO_WORDS = 400_000  # distinct words that a task remembers; more are counted again
 SHORT = 32  # bytes of the prefixes that words share, counted by the library once each
-ROW = "doc_id long, n_bytes long, ends array<long>, counts array<long>, at array<int>"
-# --- Fixed values: how the vocabulary's own normaliser and pre-tokeniser cut plain words. ---
-NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-# --- End of fixed values. ---
-#: Letters of Latin-1, Cyrillic, kana, Han and Hangul: one character in lower case, none that joins with the one before.
-LETTERS = "À-ÖØ-öø-ÿЀ-џぁ-ゖァ-ヺ一-鿿가-힣"
-PLAIN = re.compile(rf"[!-~{LETTERS}]+")
-PIECE = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}\n]+")
-
-
-def _load(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+ROW = "doc_id long, n_bytes long, ends array<long>, counts array<long>, at array<int>"
+MEMO_CHARS = 8_000_000  # prefixes that a task remembers
+AT_ONCE = 1 << 20  # characters encoded together
 
 
 def _lengths(tokenizer, words: list[str]) -> list[int]:
     return [len(e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def _byte_names() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one past 255."""
-    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in seen else chr(next(other)) for b in range(256)]
-
-
 class _Pieces:
     """Counts at every character of a piece, by the program over its prefixes."""
 
     def __init__(self, tokenizer, model: dict):
         from tokenizers.models import BPE
 
-        self._names = _byte_names()
+        self._names = byte_names()
         self._inner = {t for t in model["vocab"] if not t.endswith(WORD_END)}
         self._final = {t.removesuffix(WORD_END) for t in model["vocab"] if t.endswith(WORD_END)}
         self._reach: dict[str, int] = {}  # how long a token with these last three characters can be
+        self._longest = max(map(len, self._inner | self._final), default=2)
         for t in self._inner | self._final:
             self._reach[t[-3:]] = max(len(t), self._reach.get(t[-3:], 2))
         self._ending = tokenizer.model
@@ -120,7 +104,7 @@ class _Pieces:
 
     def counts(self, piece: str) -> list[int]:
         """Tokens of ``piece[:k]`` for k from 1, for a piece that is one at every cut."""
-        if piece.isascii():
+        if piece.isascii() and piece.isprintable():
             text, cuts = piece, range(1, len(piece) + 1)
         else:
             raw = [c.encode() for c in piece]
@@ -134,10 +118,26 @@ class _Pieces:
             short[text[:at]] = len(tokenize(text[:at]))
         if here == len(text):
             return [short[text[:k]] for k in cuts]
+        every = self.program(text)
+        return [every[k][2] for k in cuts]
+
+    def program(self, text: str) -> list[tuple[str, int, int]]:
+        """The states of all prefixes of byte symbols."""
         every = [("", 0, 0)]
         for at in range(1, len(text) + 1):
             every.append(self._step(text, at, every))
-        return [every[k][2] for k in cuts]
+        return every
+
+    def symbols(self, text: str) -> str:
+        return text if text.isascii() and text.isprintable() else "".join([self._names[b] for b in text.encode()])
+
+    def and_more(self, text: str, every: list[tuple[str, int, int]], at: int, more: str) -> int:
+        """Tokens of ``text[:at] + more``, from the states of ``text``."""
+        low = max(0, at - self._longest)
+        text, states = text[low:at] + more, every[low : at + 1]
+        for k in range(at - low + 1, len(text) + 1):
+            states.append(self._step(text, k, states))
+        return states[-1][2]
 
     def forget(self) -> None:
         if len(self._short) > 2 * MEMO_WORDS:
@@ -146,36 +146,51 @@ class _Pieces:
             self._pairs, self._ends = {}, {}
 
 
+def _composing(text: str) -> list[str]:
+    """The text in groups, each a character and those after it that may join with it or change places."""
+    joins = lambda c: unicodedata.category(c)[0] == "M" or "ᅠ" <= c <= "ᇿ"  # noqa: E731  marks, vowels and finals of Hangul
+    out: list[str] = []
+    for c in text:
+        if out and joins(c):
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
 class _Counter:
     """Counts at every prefix of distinct words, remembered by word."""
 
     def __init__(self, path: str):
-        self._tokenizer = _load(path)
+        self._tokenizer = load(path)
         made = json.loads(self._tokenizer.to_str())
         steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
         cut = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         own = made["model"].get("type") == "BPE" and made["model"].get("end_of_word_suffix") == WORD_END and not made["model"].get("dropout")
         self._pieces = _Pieces(self._tokenizer, made["model"]) if own and steps == NORMALIZERS and cut == [PATTERN, None] else None
         self._special = [x["content"] for x in made["added_tokens"]]
+        self._split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self._special, key=lambda x: (-len(x), x))) + ")") if self._special else None
+        self._one: dict[str, str] = {}  # characters as normalised by themselves
         self._clear()
 
     def _clear(self) -> None:
         self._word: dict[bytes, int] = {}
         self._flat, self._sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         self._piece: dict[str, int] = {}
-        self._piece_counts: list[list[int]] = []
+        self._piece_counts: list[array] = []
+        self._piece_chars = 0
 
     def table(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the words, and where each number's counts begin and what they are, end to end."""
         new = [w for w in words if w not in self._word]
-        if len(self._word) + len(new) > MEMO_WORDS:
+        if len(self._word) + len(new) > MEMO_WORDS or len(self._flat[0]) + self._piece_chars > MEMO_CHARS:
             self._clear()
             new = words
             if self._pieces:
                 self._pieces.forget()
         texts = [w.decode() for w in new]
         plain = [bool(self._pieces) and PLAIN.fullmatch(t) is not None and not any(x in t for x in self._special) for t in texts]
-        for some, count in (([t for t, ok in zip(texts, plain, strict=True) if ok], self._by_piece), ([t for t, ok in zip(texts, plain, strict=True) if not ok], self._by_library)):
+        for some, count in (([t for t, ok in zip(texts, plain, strict=True) if ok], self._by_piece), ([t for t, ok in zip(texts, plain, strict=True) if not ok], self._by_rule if self._pieces else self._by_library)):
             if some:
                 flat, sizes = count(some)
                 self._flat.append(flat)
@@ -188,18 +203,105 @@ class _Counter:
         return np.array([self._word[w] for w in words], np.int64), begin, self._flat[0]
 
     def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        counts = _lengths(self._tokenizer, [t[:k] for t in texts for k in range(1, len(t) + 1)])
+        counts, some, size = array("i"), [], 0
+        for t in texts:
+            for k in range(1, len(t) + 1):
+                some.append(t[:k])
+                size += k
+                if size >= AT_ONCE:
+                    counts.extend(_lengths(self._tokenizer, some))
+                    some, size = [], 0
+        counts.extend(_lengths(self._tokenizer, some))
         return np.array(counts, np.int32), np.array([len(t) for t in texts], np.int64)
 
+    def _by_rule(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words with any characters and special strings, each of which is a token of its own once it is whole."""
+        out = array("i")
+        for text in texts:
+            base, parts = 0, self._split.split(text) if self._split else [text]
+            for k in range(0, len(parts), 2):
+                special = parts[k + 1] if k + 1 < len(parts) else ""
+                counts = self._any_counts(parts[k] + special[:-1])
+                out.extend([base + n for n in counts])
+                if special:
+                    base += (counts[len(parts[k]) - 1] if parts[k] else 0) + 1
+                    out.append(base)
+        return np.array(out, np.int32), np.array([len(t) for t in texts], np.int64)
+
+    def _normal(self, text: str) -> str:
+        return self._tokenizer.normalizer.normalize_str(text)
+
+    def _cut(self, normal: str) -> list[tuple[int, int]]:
+        """Where the pieces of a normalised text begin and end."""
+        return [at for _, at in self._tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _any_counts(self, text: str) -> list[int]:
+        """Tokens of ``text[:k]`` for k from 1, special strings read as plain text."""
+        one = self._one
+        for c in set(text) - one.keys():
+            one[c] = self._normal(c)
+        groups = list(text)
+        if re.sub(" +", " ", "".join([one[c] for c in groups])) != self._normal(text):
+            groups = _composing(text)
+        normal = [one[g] if len(g) == 1 else self._normal(g) for g in groups]
+        whole = "".join(normal)
+        pieces = self._cut(whole)
+        upto = np.zeros(len(whole) + 1, np.int64)  # of the normalised text
+        base = 0
+        for a, b in pieces:
+            counts = self._piece_list(whole[a:b])
+            upto[a + 1 : b + 1] = np.add(counts, base)
+            base += counts[-1]
+        inside = np.zeros(len(upto), bool)
+        for a, b in pieces:
+            inside[a + 1 : b + 1] = True
+        last = np.maximum.accumulate(np.where(inside, np.arange(len(upto)), 0))
+        upto = upto[last]  # white space in a word adds nothing
+        out: list[int] = []
+        at, number, states = 0, 0, None
+        for g, n in zip(groups, normal, strict=True):
+            for k in range(1, len(g)):  # a cut inside characters that compose
+                while number < len(pieces) and pieces[number][1] < at:
+                    number, states = number + 1, None
+                a = pieces[number][0] if number < len(pieces) and pieces[number][0] < at else at
+                if states is None and a < at:
+                    symbols = self._pieces.symbols(whole[a : pieces[number][1]])
+                    states = symbols, self._pieces.program(symbols), [0, *accumulate(len(c.encode()) for c in whole[a : pieces[number][1]])]
+                tail = self._normal(g[:k])
+                if 0 < a and at - a < 2 and number and pieces[number - 1] == (a - 1, a) and whole[a - 1] == "'":  # may become 're and the like
+                    out.append(int(upto[a - 1]) + sum(self._piece_list((whole[a - 1 : at] + tail)[x:y])[-1] for x, y in self._cut(whole[a - 1 : at] + tail)))
+                else:
+                    out.append(self._with_tail(whole, a, at, tail, int(upto[at]), int(upto[a]), states))
+            at += len(n)
+            out.append(int(upto[at]))
+        return out
+
+    def _with_tail(self, whole: str, a: int, at: int, tail: str, upto: int, before: int, states) -> int:
+        """Tokens of ``whole[:at] + tail``; a piece goes from ``a`` to ``at`` or beyond, and ``before`` counts what is before it."""
+        near = whole[max(a, at - 8) : at]
+        first = 0
+        cut = self._cut(near + tail)
+        if near and cut and cut[0][1] > len(near):
+            more = (near + tail)[len(near) : cut[0][1]]
+            symbols, program, offsets = states
+            upto = before + self._pieces.and_more(symbols, program, offsets[at - a], self._pieces.symbols(more))
+            first = 1
+        elif near:
+            first = 1
+        return upto + sum(self._piece_list((near + tail)[x:y])[-1] for x, y in cut[first:])
+
+    def _piece_list(self, piece: str) -> list[int]:
+        """Tokens at every character of a piece; 's and the like are two pieces when cut short."""
+        if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
+            return [sum(self._pieces.counts(x)[-1] for x in PIECE.findall(piece[:k])) for k in range(1, len(piece))] + self._pieces.counts(piece)[-1:]
+        return self._pieces.counts(piece)
+
     def _by_piece(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat = PIECE.findall("\n".join(texts).lower() + "\n")
         for p in set(flat) - self._piece.keys() - {"\n"}:
             self._piece[p] = len(self._piece_counts)
-            if p[0] == "'" and len(p) > 1 and p[1].isalpha():  # 's and the like: cut short, it's two pieces
-                counts = [sum(self._pieces.counts(x)[-1] for x in PIECE.findall(p[:k])) for k in range(1, len(p))] + self._pieces.counts(p)[-1:]
-            else:
-                counts = self._pieces.counts(p)
-            self._piece_counts.append(counts)
+            self._piece_counts.append(array("i", self._piece_list(p)))
+            self._piece_chars += len(p)
         index = np.array([self._piece.get(p, -1) for p in flat], np.int64)
         used, inverse = np.unique(index[index >= 0], return_inverse=True)
         lists = [self._piece_counts[k] for k in used.tolist()]
