@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as X
 from ..operators.joins import canonical_names
 from ..operators.sampling import k_shot
+from .json_document import members
 
 GLOB = "*.{jpg,jpeg,png,JPG,JPEG,PNG}"
 #: Suffixes of the wider scan.
@@ -65,21 +67,30 @@ def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFra
     return df if split is None else df.where(F.col("split") == split)
 
 
+def _objects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The objects of a JSON array as rows; other members are left out."""
+    return members(spark, path, 1).select(F.from_json("value", schema).alias("_r")).select("_r.*")
+
+
 def record_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file that holds one array of records."""
-    return spark.read.schema(schemas.RECORD_JSON).option("multiLine", True).json(path)
+    """JSON files that each hold one array of records; a large file is read by many tasks."""
+    return _objects(spark, path, schemas.RECORD_JSON)
 
 
 def record_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RECORD_JSON).json(path)
 
 
-def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, annotations and categories of a COCO file."""
-    doc = spark.read.schema(schemas.COCO).option("multiLine", True).json(path)
-    images = doc.select(F.inline("images")).select(F.col("id").alias("image_id"), "file_name", "width", "height")
-    annotations = doc.select(F.inline("annotations")).withColumnRenamed("id", "annotation_id")
-    categories = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), "name")
+def coco(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, annotations and categories of a COCO file, or of several with parts of each."""
+    found = members(spark, path, 2)
+
+    def array(key: str) -> DataFrame:
+        return found.where(F.col("key") == key).select(F.from_json("value", schemas.COCO[key].dataType.elementType).alias("_r")).select("_r.*")
+
+    images = array("images").select(F.col("id").alias("image_id"), "file_name", "width", "height")
+    annotations = array("annotations").withColumnRenamed("id", "annotation_id")
+    categories = array("categories").select(F.col("id").alias("category_id"), "name")
     return images, annotations, categories
 
 
@@ -109,10 +120,9 @@ def voc_classes(annotations: DataFrame) -> DataFrame:
 
 
 def distances(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_id, distance, nearest_id, true_category, error)`` from a JSON object keyed by row number."""
-    raw = spark.read.text(path, wholetext=True)
-    each = raw.select(F.explode(F.from_json("value", schemas.DISTANCES)).alias("k", "v"))
-    return each.select(F.col("k").try_cast("long").alias("row_id"), "v.*")
+    """``(row_id, distance, nearest_id, true_category, error)`` from a JSON object of objects keyed by row number."""
+    each = members(spark, path, 1).select("key", F.from_json("value", schemas.DISTANCES.valueType).alias("v"))
+    return each.select(F.col("key").try_cast("long").alias("row_id"), "v.*")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +138,8 @@ def manifest(df: DataFrame, column: str = "entries") -> DataFrame:
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PREDICTION).option("multiLine", True).json(path)
+    """Entries of a COCO result file."""
+    return _objects(spark, path, schemas.PREDICTION)
 
 
 def cached(spark: SparkSession, path: str, compute) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,28 @@ def save_document(path: str, **arrays: DataFrame) -> None:
     out.select(F.to_json(F.struct(*arrays)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch], opens: str, closes: str) -> Iterator[pa.RecordBatch]:
+    """Lines of one JSON array, a line ahead of what is written; an empty part stays empty."""
+    last = None
+    for batch in batches:
+        out = []
+        for value in batch.column(0).to_pylist():
+            if last is not None:
+                out.append(last + ",")
+            last = (opens if last is None else "") + value
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last + closes], pa.string())], ["value"])
+
+
+def save_arrays(df: DataFrame, path: str, key: str | None = None) -> None:
+    """JSON documents of any size in all: a file for each partition, an array of its rows, or with ``key`` an object that holds it."""
+    opens, closes = ("[", "]") if key is None else (f"{{{json.dumps(key)}: [", "]}")
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(partial(_bracketed, opens=opens, closes=closes), "value string")
+    lines.write.mode("overwrite").text(path)
+
+
 def save_report(df: DataFrame, path: str, columns: Sequence[str], by: str | None = None, separator: str = "\t") -> None:
     """Text lines; with ``by`` one block for each value of that column."""
     line = F.concat_ws(separator, *(F.col(c).cast("string") for c in columns))
