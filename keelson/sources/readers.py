@@ -12,7 +12,10 @@ from .. import schemas
 from ..functions import text as X
 from ..operators.joins import canonical_names
 from ..operators.sampling import k_shot
+from .arrow_folder import SPLITS, STATE, read_arrow
 from .json_document import members
+from .publish import cached as cached
+from .publish import recover
 
 GLOB = "*.{jpg,jpeg,png,JPG,JPEG,PNG}"
 #: Suffixes of the wider scan.
@@ -62,7 +65,10 @@ def sampled_tree(spark: SparkSession, root: str, shots: int, seed: int = 42) ->
 
 
 def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A saved dataset, or one split of it."""
+    """A saved dataset, or one split of it: Parquet, or a folder of Arrow files with its state."""
+    recover(spark, path)
+    if exists(spark, f"{path}/{STATE}") or exists(spark, f"{path}/{SPLITS}"):
+        return read_arrow(spark, path, split)
     df = spark.read.parquet(path)
     return df if split is None else df.where(F.col("split") == split)
 
@@ -142,13 +148,6 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return _objects(spark, path, schemas.PREDICTION)
 
 
-def cached(spark: SparkSession, path: str, compute) -> DataFrame:
-    """The table at ``path``, computed and written there first if it is missing."""
-    if not exists(spark, path):
-        compute().write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def first_existing(df: DataFrame, files: DataFrame, key: str, suffixes: Sequence[str] = (".jpg", ".jpeg", ".png"), required: bool = True) -> DataFrame:
     """Adds ``found``: the file of that stem with the first suffix in order; an error (or null) without one."""
     order = F.array_position(F.array(*map(F.lit, suffixes)), X.extension(F.col("path")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .publish import replaced
 
 
 def save_dataset(df: DataFrame, path: str, split: str | None = "split") -> None:
@@ -20,18 +21,8 @@ def save_dataset(df: DataFrame, path: str, split: str | None = "split") -> None:
 
 
 def rewrite(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` that ``df`` may be read from: written beside it, then swapped."""
-    spark = df.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
-    target, beside, old = jvm.Path(path), jvm.Path(f"{path}.new"), jvm.Path(f"{path}.old")
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(beside, target):
-        raise OSError(f"cannot move {path}.new")
-    fs.delete(old, True)
+    """Replace the table at ``path`` that ``df`` may be read from, in one step."""
+    replaced(df.sparkSession, path, lambda new: df.write.parquet(new))
 
 
 def save_lines(df: DataFrame, path: str, one_file: bool = False) -> None:
