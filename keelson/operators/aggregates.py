@@ -40,16 +40,17 @@ def order_statistics(df: DataFrame, value: str, by: Sequence[str], places: dict[
     Buckets of about equal size are counted first; only those that hold a place are
     sorted, each by itself, so a group may hold most rows.
     """
-    marked = range_bucket(df, value).mark(df.where(F.col(value).isNotNull()).select(*by, value), "_b")
+    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    marked = range_bucket(values, "_v").mark(values, "_b")
     sizes = marked.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumns({"_upto": F.sum("_n").over(upto), "n": F.sum("_n").over(Window.partitionBy(*by))})  # some hundred buckets
     inside = [(p >= F.col("_upto") - F.col("_n")) & (p < F.col("_upto")) for p in places.values()]
     held = sizes.where(reduce(or_, inside)).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])), (F.col("_upto") - F.col("_n")).alias("_start"), "n")
     on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_b"])])
-    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value)) - 1
-    placed = marked.join(F.broadcast(held), on).withColumn("_at", F.col("_start") + own)
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("_at") == p, F.col(value))).alias(name) for name, p in places.items()))
+    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_v")) - 1
+    placed = marked.join(held, on).withColumn("_at", F.col("_start") + own)
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("_at") == p, F.col("_v"))).alias(name) for name, p in places.items()))
 
 
 def upper_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -61,6 +61,14 @@ def save_arrays(df: DataFrame, path: str, key: str | None = None) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def save_objects(df: DataFrame, path: str, key: str) -> None:
+    """JSON objects of objects: a file for each partition, its rows by the text of the column ``key``."""
+    name = F.expr(f"to_json(named_struct('k', cast(`{key}` AS string)))")  # {"k":"..."}
+    value = F.to_json(F.struct(*(c for c in df.columns if c != key)))
+    lines = df.select(F.substring(name, 6, 1 << 30).alias("n"), value.alias("v")).select(F.concat(F.expr("left(n, length(n) - 1)"), F.lit(": "), "v").alias("value"))
+    lines.mapInArrow(partial(_bracketed, opens="{", closes="}"), "value string").write.mode("overwrite").text(path)
+
+
 def save_report(df: DataFrame, path: str, columns: Sequence[str], by: str | None = None, separator: str = "\t") -> None:
     """Text lines; with ``by`` one block for each value of that column."""
     line = F.concat_ws(separator, *(F.col(c).cast("string") for c in columns))

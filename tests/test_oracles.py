@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from keelson.plans.oracles import ORACLES
-from keelson.plans.queries import QUERIES
+from keelson.plans.catalogue import ORACLES, QUERIES
 
 from .conftest import SF, duck_rows, rows
 
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-ROWS_ONLY = {"prototype_kmeans", "ap_multi_gt", "ap_by_area", "plane_coordinates"}
+ROWS_ONLY = {"prototype_kmeans", "plane_coordinates"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
