@@ -98,9 +98,8 @@ def equal_quota_sample(df: DataFrame, by: str, id_col: str, target: int, classes
 
 def running_budget(counts: DataFrame, by: str, per_class: int, cap: int) -> DataFrame:
     """``(by, n, raw, take)``: ``min(n, per_class)`` of each class in name order while the total stays under ``cap``."""
-    raw = F.least(F.col("n"), F.lit(per_class))
-    so_far = F.sum("raw").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
-    out = counts.withColumn("raw", raw).withColumn("cum", so_far)
+    counts = counts.withColumn("raw", F.least(F.col("n"), F.lit(per_class)))
+    out = with_running(counts, [by], sampled_ranges(counts, by), cum=F.col("raw"))
     return out.withColumn("take", F.least(F.col("cum"), F.lit(cap)) - F.least(F.col("cum") - F.col("raw"), F.lit(cap))).drop("cum")
 
 
@@ -194,19 +193,46 @@ def range_bucket(df: DataFrame, column: str) -> Ranges:
     return Ranges(column, df.agg(F.percentile_approx(column, at, F.lit(10 * BUCKETS)).alias("_edges")))
 
 
-def with_position(df: DataFrame, order: Sequence[Column | str], bucket: Column | Ranges, name: str = "pos") -> DataFrame:
-    """Adds a running number from 0 in that order without bringing all rows to one task.
+SAMPLE = 4096
+
+
+def sampled_ranges(df: DataFrame, column: str) -> Ranges:
+    """As :func:`range_bucket`, for a column of any type that can be ordered, such as strings.
+
+    The edges are those of the ``SAMPLE`` distinct values with the least hashes: a
+    uniform sample of the values, the same on every run, whose size is fixed.
+    """
+    value = F.col(column)
+    some = df.where(value.isNotNull()).select(column).distinct().orderBy(F.xxhash64(column), column).limit(SAMPLE)
+    values = F.sort_array(F.collect_list(column))
+    at = F.transform(F.sequence(F.lit(1), F.lit(BUCKETS - 1)), lambda k: F.get("_values", F.floor(k * F.size("_values") / BUCKETS).cast("int")))
+    return Ranges(column, some.agg(values.alias("_values")).select(F.when(F.size("_values") > 0, at).alias("_edges")))
 
-    ``bucket`` has to rise with the order (:func:`hash_bucket`, :func:`range_bucket`).
-    Each bucket counts its own rows, and the sums of the buckets before it are added.
-    Buckets come from values, not from a sort's ranges, which can differ between the two
-    readings of the same rows.
+
+def with_running(df: DataFrame, order: Sequence[Column | str], bucket: Column | Ranges, **sums: Column) -> DataFrame:
+    """Adds running sums, each row's own value included, in that order without bringing all rows to one task.
+
+    ``bucket`` has to rise with the order (:func:`hash_bucket`, :func:`range_bucket`,
+    :func:`sampled_ranges`).  Each bucket sums its own rows, and the sums of the buckets
+    before it, a row each, are added.  Buckets come from values, not from a sort's
+    ranges, which can differ between the two readings of the same rows.  Nulls add
+    nothing; before the first value a sum is 0.
     """
     marked = bucket.mark(df) if isinstance(bucket, Ranges) else df.withColumn("_bucket", bucket)
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = marked.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_before"))  # a row a bucket
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return marked.withColumn("_own", own).join(starts, "_bucket").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_bucket", "_own", "_before")
+    marked = marked.withColumns({f"_add_{n}": c for n, c in sums.items()})
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = marked.groupBy("_bucket").agg(*(F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in sums))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    starts = totals.select("_bucket", *(zero(F.sum(f"_sum_{n}").over(upto)).alias(f"_before_{n}") for n in sums))  # a row a bucket
+    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = marked.withColumns({f"_own_{n}": zero(F.sum(f"_add_{n}").over(inside)) for n in sums}).join(starts, "_bucket")
+    made = [(F.col(f"_before_{n}") + F.col(f"_own_{n}")).alias(n) for n in sums]
+    return own.select(*(c for c in df.columns if c not in sums), *made)
+
+
+def with_position(df: DataFrame, order: Sequence[Column | str], bucket: Column | Ranges, name: str = "pos") -> DataFrame:
+    """Adds a running number from 0 in that order; see :func:`with_running`."""
+    return with_running(df, order, bucket, **{name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
 
 
 def batches(df: DataFrame, pos: str, size: int = 10) -> DataFrame:
