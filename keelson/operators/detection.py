@@ -36,7 +36,7 @@ def flatten_results(results: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def match_wide(detections: DataFrame, truths: DataFrame, areas: Sequence[str] = ("all",), limit: int = MAX_DETECTIONS) -> DataFrame:
-    """``(image_id, category_id, area, det_id, score, tps, ignores)``: a row for each detection and area band.
+    """``(image_id, category_id, area, det_id, score, rank, tps, ignores)``: a row for each detection and area band.
 
     ``tps`` and ``ignores`` hold one flag for each threshold.  Within an image and class,
     detections in order of score each take the free ground truth with the largest IoU
@@ -87,6 +87,7 @@ def match_wide(detections: DataFrame, truths: DataFrame, areas: Sequence[str] =
         F.col("band.area").alias("area"),
         F.col("d.det_id").alias("det_id"),
         F.col("d.score").alias("score"),
+        F.col("d._k").alias("rank"),
         F.transform("hit", lambda h: F.coalesce(h["real"], F.lit(False))).alias("tps"),
         F.transform("hit", lambda h: F.coalesce(~h["real"], F.col("outside"))).alias("ignores"),
     )
@@ -235,6 +236,19 @@ def evaluate(detections: DataFrame, truths: DataFrame, limit: int = MAX_DETECTIO
     return evaluate_areas(detections, truths, ["all"], limit).drop("area").where("ap is not null")
 
 
+def evaluate_limits(detections: DataFrame, truths: DataFrame, limits: Sequence[int] = (1, 10, MAX_DETECTIONS)) -> DataFrame:
+    """``(category_id, limit, t, ap)``: the best 1, 10 and 100 detections of each image and class alone.
+
+    What a detection takes depends on those before it only, so one matching of the largest limit serves all.
+    """
+    counted = ~(F.coalesce(F.col("iscrowd"), F.lit(0)) == 1) if "iscrowd" in truths.columns else F.lit(True)
+    each = F.explode(F.array(*map(F.lit, limits)))
+    counts = truths.groupBy("category_id").agg(F.count_if(counted).alias("n_gt")).select("category_id", each.alias("limit"), "n_gt")
+    matched = match_wide(detections, truths, limit=max(limits)).withColumn("limit", each).where(F.col("rank") <= F.col("limit"))
+    matched = matched if "iscrowd" in truths.columns else matched.drop("ignores")  # nothing is ignored
+    return average_precision_wide(matched, counts, ["category_id", "limit"], ranges=range_bucket(detections, "score"))
+
+
 def evaluate_area(detections: DataFrame, truths: DataFrame, area: str) -> DataFrame:
     """:func:`evaluate_areas` for one area band."""
     return evaluate_areas(detections, truths, [area]).drop("area")

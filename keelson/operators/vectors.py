@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 MAX_PROTOTYPES = 10_000
 
 
@@ -24,8 +24,13 @@ def unit(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
 
 
+def squared(a: Column, b: Column) -> Column:
+    """Squared distance."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
 def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(squared(a, b))
 
 
 def or_zero(v: Column, dims: int) -> Column:
@@ -91,42 +96,46 @@ def inlier_prototypes(df: DataFrame, by: str, vector: str, dims: int, centres: D
     return out.select(by, "n", F.coalesce("inliers", F.lit(0)).alias("inliers"), unit(F.coalesce("_mean", "proto")).alias("proto"))
 
 
-def _largest_cluster(vectors: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
-    """Centre of the largest of k clusters (lowest index on a tie), by Lloyd's method from a fixed start."""
-    start = [0]
-    while len(start) < k:  # farthest from those chosen
-        gap = ((vectors[:, None] - vectors[start][None]) ** 2).sum(2).min(1)
-        start.append(int(gap.argmax()))
-    centres = vectors[start].copy()
-    for _ in range(rounds):
-        own = ((vectors[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        moved = np.array([vectors[own == j].mean(0) if (own == j).any() else centres[j] for j in range(k)])
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    own = ((vectors[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-    return centres[np.bincount(own, minlength=k).argmax()]
+ROUNDS = 25
 
 
-def cluster_centres(df: DataFrame, by: str, vector: str, id_col: str) -> DataFrame:
-    """``(by, proto)``: of three rows or more the centre of the largest of ``min(2, n // 2)`` clusters, else the mean.
+def _near(a: Column, b: Column) -> Column:
+    """All elements agree to 1e-5 of ``b``, or 1e-8."""
+    return F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= 1e-8 + 1e-5 * F.abs(y)), lambda ok: ok)
 
-    A class is a few-shot set, so its rows fit one task.
-    """
-    kind = df.schema[by].dataType.simpleString()
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(id_col)
-        v = np.array(rows[vector].tolist(), float)
-        centre = _largest_cluster(v, min(2, len(v) // 2)) if len(v) >= 3 else v.mean(0)
-        return pd.DataFrame({by: [rows[by].iloc[0]], "proto": [centre.tolist()]})
+def cluster_centres(df: DataFrame, by: str, vector: str, id_col: str, dims: int) -> DataFrame:
+    """``(by, proto)``: of four rows or more the centre of the larger of two clusters (the first on a tie), else the mean.
 
-    return df.select(by, vector, id_col).groupBy(by).applyInPandas(one, f"{by} {kind}, proto array<double>")
+    Lloyd's method for all classes at once: the first centre is the row of the least id,
+    the second the row farthest from it, and every round is one aggregation by class and
+    cluster, so a class may hold most rows.  A class whose centres no longer move keeps
+    them; rounds end when none does, or after ``ROUNDS``.
+    """
+    rows = df.select(F.col(by).alias("_by"), doubles(vector).alias("_x"), F.col(id_col).alias("_id"))
+    means = centroids(rows, "_by", "_x", dims)
+    first = rows.groupBy("_by").agg(F.count("*").alias("_n"), F.min_by("_x", "_id").alias("_c0")).where("_n >= 4")
+    met = rows.join(first.drop("_n"), "_by")
+    second = F.min_by("_x", F.struct(-squared(F.col("_x"), F.col("_c0")), F.col("_id")))
+    centres = stored(met.groupBy("_by").agg(F.first("_c0").alias("_c0"), second.alias("_c1")).withColumn("_moved", F.lit(True)), "centres")
+    cluster = F.when(squared(F.col("_x"), F.col("_c1")) < squared(F.col("_x"), F.col("_c0")), 1).otherwise(0)
+    sums = [F.avg(F.get("_x", i)) for i in range(dims)]
+    for _ in range(ROUNDS):
+        means_now = rows.join(centres, "_by").groupBy("_by", cluster.alias("_k")).agg(F.array(*sums).alias("_m"))
+        pair = means_now.groupBy("_by").agg(*(F.max(F.when(F.col("_k") == k, F.col("_m"))).alias(f"_m{k}") for k in (0, 1)))
+        both = centres.join(pair, "_by").withColumns({f"_m{k}": F.coalesce(f"_m{k}", f"_c{k}") for k in (0, 1)})
+        moved = ~(_near(F.col("_m0"), F.col("_c0")) & _near(F.col("_m1"), F.col("_c1")))
+        centres = stored(both.select("_by", *(F.when(moved, F.col(f"_m{k}")).otherwise(F.col(f"_c{k}")).alias(f"_c{k}") for k in (0, 1)), moved.alias("_moved")), "centres")
+        if not centres.where("_moved").take(1):
+            break
+    sizes = rows.join(centres, "_by").groupBy("_by").agg(F.count_if(cluster == 1).alias("_n1"), F.count_if(cluster == 0).alias("_n0"), F.first("_c0").alias("_c0"), F.first("_c1").alias("_c1"))
+    largest = sizes.select(F.col("_by").alias("_of"), F.when(F.col("_n1") > F.col("_n0"), F.col("_c1")).otherwise(F.col("_c0")).alias("_largest"))
+    return means.join(largest, F.col("_by").eqNullSafe(F.col("_of")), "left").select(F.col("_by").alias(by), F.coalesce("_largest", "proto").alias("proto"))
 
 
 def robust_prototypes(df: DataFrame, by: str, vector: str, id_col: str, dims: int) -> DataFrame:
     """Cluster centres with outliers dropped, at length 1."""
-    return inlier_prototypes(df, by, vector, dims, cluster_centres(df, by, vector, id_col))
+    return inlier_prototypes(df, by, vector, dims, cluster_centres(df, by, vector, id_col, dims))
 
 
 def similarity_flags(df: DataFrame, by: str, similarity: str) -> DataFrame:

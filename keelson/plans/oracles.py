@@ -86,6 +86,7 @@ v AS (SELECT cls, t, area, tp, a, max(a / b) OVER (PARTITION BY cls, t, area ORD
 q AS (SELECT cls, t, area, env, floor(a * 100 / n) - CASE WHEN a = 1 THEN 0 ELSE floor((a - 1) * 100 / n) + 1 END + 1 AS levels FROM v JOIN n USING (cls, area) WHERE tp),
 ap AS (SELECT n.cls, u.t, n.area, CASE WHEN n > 0 THEN coalesce(sum(levels * env) / 101, 0) END AS ap
   FROM n CROSS JOIN (SELECT unnest(range(50, 100, 5)) AS t) u LEFT JOIN q ON q.cls = n.cls AND q.area = n.area AND q.t = u.t GROUP BY n.cls, u.t, n.area, n)"""
+_ALL = _MATCH.replace(", ('small', 0e0, 1024e0), ('medium', 1024e0, 9216e0), ('large', 9216e0, 1e300)", "")
 _STRATA = """d AS (SELECT doc_id, CASE WHEN doc_id % 101 = 7 THEN 'only_' || doc_id ELSE source || '_' || lang END AS stratum FROM documents),
 n AS (SELECT stratum, count(*) AS n FROM d GROUP BY ALL),
 k AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM d)"""
@@ -245,6 +246,7 @@ count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL
     "ap_per_class": f"WITH {_AP} SELECT cls, round(100 * max(ap) FILTER (t = 50), 6) AS ap50, round(100 * avg(ap), 6) AS map FROM ap GROUP BY ALL",
     "ap_summary": f'WITH {_AP} SELECT round(avg(ap), 6) AS "mAP", round(avg(ap) FILTER (t = 50), 6) AS "AP50", round(avg(ap) FILTER (t = 75), 6) AS "AP75" FROM ap',
     "ap_multi_gt": f"WITH {_MATCH} SELECT cls AS category_id, t, round(ap, 6) AS ap FROM ap WHERE area = 'all'",
+    "ap_by_detections": " UNION ALL ".join(f"SELECT * FROM (WITH {_ALL.replace('d.k <= 100', f'd.k <= {n}')} SELECT cls AS category_id, cast({n} AS BIGINT) AS max_dets, t, round(ap, 6) AS ap FROM ap)" for n in (1, 2, 100)),
     "ap_by_area": f"""WITH {_MATCH} SELECT area, round(avg(ap), 6) AS "mAP", round(avg(ap) FILTER (t = 50), 6) AS "AP50", round(avg(ap) FILTER (t = 75), 6) AS "AP75"
 FROM ap WHERE area <> 'all' GROUP BY ALL""",
     "ap_six_metrics": f"""WITH {_MATCH} SELECT round(avg(ap) FILTER (area = 'all'), 6) AS "mAP", round(avg(ap) FILTER (area = 'all' AND t = 50), 6) AS "AP50",

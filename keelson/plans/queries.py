@@ -553,6 +553,12 @@ def ap_by_area(spark, sf_dir):
     return ap.groupBy("area").agg(r6(F.avg("ap")).alias("mAP"), r6(at(50)).alias("AP50"), r6(at(75)).alias("AP75"))
 
 
+@query
+def ap_by_detections(spark, sf_dir):
+    out = detection.evaluate_limits(*_many_truths(spark, sf_dir), limits=(1, 2, 100))
+    return out.select("category_id", long("limit").alias("max_dets"), long("t").alias("t"), r6("ap").alias("ap"))
+
+
 @query
 def ap_six_metrics(spark, sf_dir):
     out = detection.summary(detection.evaluate_areas(*_many_truths(spark, sf_dir)))
