@@ -8,10 +8,12 @@ or 1; the other goes on to the next partner.
 
 The reduction is a tree.  Leaves are blocks of a source, dealt by a hash, each reduced
 to one open text at most; levels of such blocks follow while many are open.  A reserve
-of each source's texts, half of them and some thousand at most, stays out until the
-root, where the open ones and the reserve are closed from the largest to the smallest,
-each against all that follow, so what is left over at the end is one of the smallest
-texts.  So pairs are closed in every source that has two texts to round, however small.
+of each source's texts, half of them but twenty at least and some thousand at most, stays
+out until the root, where the open ones and the reserve are closed from the largest to
+the smallest, each against all that follow, and what is left open at the end is rounded
+by itself.  So pairs are closed in every source that has two texts to round, and only the
+root can miss a target.  Where the words that it takes are off by more than its smallest
+text, it draws anew with pairs, up to ``DRAWS`` times, and keeps the nearest draw.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .scratch import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-BLOCK, RESERVE, ROOT_ROWS = 20_000, 2_000, 4_000
+BLOCK, RESERVE, LEAST_RESERVE, ROOT_ROWS, DRAWS = 20_000, 2_000, 20, 4_000, 64
 MAX_SOURCES = 1_000_000
 BROADCAST_SOURCES = 20_000
 SEED = 17
@@ -48,7 +50,8 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_REPEATS) -
         for k in over:
             out[k] = float(most * sizes[k])
         left -= sum(out[k] for k in over)
-        open_ = [k for k in open_ if k not in set(over)]
+        full = set(over)
+        open_ = [k for k in open_ if k not in full]
     return out
 
 
@@ -101,6 +104,22 @@ def close_all(mass: np.ndarray, chance: np.ndarray, rng: np.random.Generator) ->
     return out
 
 
+def close_root(mass: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Round all fractions, and again with pairs from the largest mass to the smallest while the sum is off by more than the smallest."""
+    order = np.argsort(-mass, kind="stable")
+    want, least = float(mass @ chance), float(mass.min(initial=np.inf))
+    best = close_all(mass, chance, rng)
+    for _ in range(DRAWS):
+        if abs(float(mass @ best) - want) <= least:
+            break
+        got = np.empty_like(chance)
+        got[order] = close_pairs(mass[order], chance[order], rng)
+        open_ = (got > EDGE) & (got < 1 - EDGE)  # one at most
+        got[open_] = rng.random(int(open_.sum())) < got[open_]
+        best = min(best, got, key=lambda p: abs(float(mass @ p) - want))
+    return best
+
+
 ROW = "doc_id long, source string, h long, size long, m long, sid int, chance double"
 
 
@@ -109,7 +128,7 @@ def _reduced(key, rows, level, last):
     rows = rows.sort_values(["pick", "h", "doc_id", "size"], na_position="last").reset_index(drop=True)
     rng = np.random.default_rng([SEED, level, *(int(k) for k in key)])
     mass = (rows["size"] * rows["m"]).to_numpy(float)
-    rows["chance"] = (close_all if last else close_pairs)(mass, rows["chance"].to_numpy(float), rng)
+    rows["chance"] = (close_root if last else close_pairs)(mass, rows["chance"].to_numpy(float), rng)
     return rows[["doc_id", "source", "h", "size", "m", "sid", "chance"]]
 
 
@@ -135,7 +154,9 @@ def copies_of(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
     ``h`` is a hash of the text and ``m`` how often the row occurs; rows that agree in
     doc_id, source and text get the same number of copies.  ``weights`` are repeated
-    over the sources in code point order, null last.
+    over the sources in code point order, null last.  Texts without words (null, empty,
+    however many) have no copies, a very long text counts all its words, a null doc_id is
+    one like any other, other columns are not read, and an empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("h"), size.alias("size"))
@@ -156,7 +177,7 @@ def copies_of(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     table = spark.createDataFrame(plan, "src string, sid int, source_size long, target double, whole int, chance double, n long")
     held = F.broadcast(table) if len(plan) <= BROADCAST_SOURCES else table
     open_ = units.join(held, units["source"].eqNullSafe(held["src"])).where((F.col("size") > 0) & (F.col("chance") > EDGE))
-    reserve = F.col("reserve") < F.least(F.lit(0.5), RESERVE / F.col("n"))
+    reserve = F.col("reserve") < F.greatest(F.least(F.lit(0.5), RESERVE / F.col("n")), LEAST_RESERVE / F.col("n"))
     dealt = open_.withColumn("reserve", _uniform(1)).select("doc_id", "source", "h", "size", "m", "sid", "chance", "n", reserve.alias("kept_back"))
     first = dealt.where(~F.col("kept_back")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     back = dealt.where("kept_back").select(*[c.split()[0] for c in ROW.split(", ")])
