@@ -147,7 +147,7 @@ def similarity_flags(df: DataFrame, by: str, similarity: str) -> DataFrame:
 def plane(df: DataFrame, vector: str, x: str = "x", y: str = "y") -> DataFrame:
     """Adds two coordinates for drawing: the first two principal components.
 
-    A substitute for a neighbour embedding, which has no distributed form here.
+    :mod:`.neighbours` has a map that keeps neighbours together.
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array

@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..operators import vectors
+from ..operators import neighbours, vectors
 from ..operators.maps import map_chain, map_function, map_rows
 from .queries import DIMS, Query, long, r6, table
 
@@ -86,6 +86,23 @@ def missing_features(spark, sf_dir):
     return met.groupBy(long("quality").alias("quality")).agg(F.count("*").alias("n"), F.count_if(F.get("v", 0) == 0).alias("zeros"), r6(F.sum(F.get("v", 5))).alias("x"))
 
 
+@query
+def neighbour_places(spark, sf_dir):
+    """A map of the embeddings in which neighbours stay together."""
+    return neighbours.neighbour_map(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", steps=30).select(F.col("id").alias("vec_id"), r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query
+def neighbours_kept(spark, sf_dir):
+    """Whether that map keeps more of each row's neighbours than the principal plane."""
+    rows = table(spark, sf_dir, "embeddings")
+    flat = vectors.plane(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "v").select("id", "x", "y")
+    places = neighbours.neighbour_map(rows, "vec_id", "embedding", steps=30)
+    kept = [neighbours.preserved(rows, "vec_id", "embedding", p).select(F.col("kept").alias(f"kept{k}")) for k, p in enumerate((places, flat))]
+    both = kept[0].join(F.broadcast(kept[1])).join(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row each
+    return both.select("n", (F.col("kept0") > F.col("kept1")).alias("keeps_more"))
+
+
 _PART = """m AS (SELECT p_partkey, lower(string_split(p_type, ' ')[-1]) AS label, cast(p_size AS BIGINT) AS size, p_partkey % 37 = 11 AS bad FROM part WHERE p_partkey % 37 = 11 OR p_size % 10 <> 4),
 e AS (SELECT p_partkey, CASE WHEN NOT bad THEN label END AS label, CASE WHEN NOT bad THEN size END AS size, CASE WHEN bad THEN 'ValueError: cannot read ' || p_partkey END AS error FROM m)"""
 ORACLES = {
@@ -93,6 +110,7 @@ ORACLES = {
     "mapped_chain": f"""WITH {_PART} SELECT label, count(*) AS n, count(error) AS errors, cast(sum(length('Is this ' || label || '? ') + size) AS BIGINT) AS chars FROM e WHERE label IS DISTINCT FROM 'tin' GROUP BY ALL""",
     "mapped_batches": "SELECT c_custkey, true AS same FROM customer",
     "whole_images": "SELECT cast(s_nationkey AS BIGINT) AS nation, count(*) AS n, cast(sum(s_suppkey) AS BIGINT) AS keys FROM supplier WHERE s_suppkey % 7 <> 3 AND s_suppkey % 11 <> 5 GROUP BY ALL",
+    "neighbours_kept": "SELECT count(*) AS n, true AS keeps_more FROM embeddings",
     "missing_features": """SELECT cast(quality AS BIGINT) AS quality, count(*) AS n, count(*) FILTER (coalesce(embedding[1], 0) = 0) AS zeros, round(coalesce(sum(cast(embedding[6] AS DOUBLE)), 0), 6) AS x
         FROM labels LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 3 <> 1) e ON vec_id = doc_id GROUP BY ALL""",
 }

@@ -95,7 +95,7 @@ y AS (SELECT *, floor(e) AS f FROM x),
 z AS (SELECT stratum, f, want - sum(f) OVER () AS missing, row_number() OVER (ORDER BY round(e - f, 9) DESC, stratum) AS place FROM y),
 q AS (SELECT stratum, f + (place <= missing)::INT AS quota FROM z)"""
 _CLASSES = """seen AS (SELECT DISTINCT CASE WHEN n_nationkey % 9 = 4 THEN 'odd ' || n_name ELSE n_name END AS category
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9900)"""
+  FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer GROUP BY ALL HAVING count(*) > (SELECT count(*) / count(DISTINCT c_nationkey) FROM customer)))"""
 _MAIN_SELECT = "SELECT l_orderkey, l_returnflag, cast(n AS BIGINT) AS n FROM m WHERE k = 1"
 _DETECT = f"replace({_quote(P.DETECT)}, '{{cls}}', p_type)"
 
@@ -127,8 +127,8 @@ x AS (SELECT event_id, event_type, CASE WHEN error IS NULL THEN d ELSE 5e-1 END
 ORACLES = {
     "kshot_per_class": f"SELECT event_type, event_id, rn FROM ({_rank('events', 'event_type', 'event_id')}) WHERE rn <= 4",
     "kshot_nested_5_of_8": f"SELECT event_type, event_id, rn FROM ({_rank('events', 'event_type', 'event_id')}) WHERE rn <= 5",
-    "shot_deficit_report": """SELECT n_name, count(c_custkey) AS n, greatest(0, 12 - count(c_custkey)) AS deficit FROM nation
-LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name""",
+    "shot_deficit_report": """SELECT n_name, count(s_suppkey) AS n, greatest(0, 5 - count(s_suppkey)) AS deficit FROM nation
+LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name""",
     "ood_ratio_target": f"""WITH conf AS (SELECT * FROM (VALUES (1, 25e-2, 5), (2, 25e-2, 9), (4, 40e-2, 30), (5, 38e-2, 35), (8, 35e-2, 40), (10, 32e-2, 50), (16, 30e-2, 68)) c(k, r, m)),
 a AS (SELECT count(*) AS available FROM events WHERE event_type NOT IN {KNOWN}),
 x AS (SELECT i.k::BIGINT AS k, i.k::BIGINT * 14 AS n_id, coalesce(r, 20e-2) AS ood_ratio, coalesce(m, 20) AS m FROM (SELECT unnest(range(1, 17)) AS k) i LEFT JOIN conf USING (k)),
@@ -279,11 +279,12 @@ q AS (SELECT c, count(DISTINCT part) AS k FROM p GROUP BY ALL)
 SELECT (SELECT count(*) FROM q WHERE k > 1) AS overlapping, (SELECT count(*) FROM nation WHERE n_name NOT IN (SELECT c FROM q)) AS missing,
 (SELECT count(*) FROM q WHERE c NOT IN (SELECT n_name FROM nation)) AS invalid""",
     "taxonomy_partition_check": """SELECT scheme, overlapping::BIGINT AS overlapping, missing::BIGINT AS missing, invalid::BIGINT AS invalid
-FROM (VALUES ('destroyer_id', 0, 0, 0), ('tugboat_id', 0, 0, 0), ('osr_near', 0, 0, 0), ('pseudo_ood', 0, 1, 1)) v(scheme, overlapping, missing, invalid)""",
+FROM (SELECT scheme, overlapping, missing + 30 - n AS missing, invalid + 30 - n AS invalid FROM (SELECT count(DISTINCT p_partkey % 30) AS n FROM part),
+  (VALUES ('destroyer_id', 0, 0, 0), ('tugboat_id', 0, 0, 0), ('osr_near', 0, 0, 0), ('pseudo_ood', 0, 1, 1)) v(scheme, overlapping, missing, invalid))""",
     "union_id_ood": f"""SELECT 'id' AS kind, event_type, event_id FROM ({_rank('events', 'event_type', 'event_id', f'event_type IN {KNOWN}')}) WHERE rn <= 6
 UNION ALL SELECT 'ood', event_type, event_id FROM ({_rank('events', 'event_type', 'event_id', f'event_type NOT IN {KNOWN}')}) WHERE rn <= 4""",
     "distinct_think": f"WITH {_SOLUTIONS} SELECT count(DISTINCT {_THINK}) AS thoughts, count(DISTINCT {_BEFORE}) AS before FROM s",
-    "class_coverage": """SELECT seen, expected, round(seen / expected, 6) AS coverage FROM (SELECT count(DISTINCT c_nationkey) AS seen FROM customer WHERE c_acctbal > 9800),
+    "class_coverage": """SELECT seen, expected, round(seen / expected, 6) AS coverage FROM (SELECT count(*) AS seen FROM (SELECT c_nationkey FROM customer GROUP BY ALL HAVING count(*) > (SELECT count(*) / count(DISTINCT c_nationkey) FROM customer))),
 (SELECT count(*) AS expected FROM nation)""",
     "running_accuracy": """WITH x AS (SELECT quality, cast(floor((row_number() OVER (ORDER BY doc_id) - 1) / 10) AS BIGINT) AS batch FROM labels),
 y AS (SELECT batch, count(*) FILTER (quality = 1) AS c, count(*) AS t FROM x GROUP BY ALL),

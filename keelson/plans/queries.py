@@ -57,8 +57,8 @@ def kshot_nested_5_of_8(spark, sf_dir):
 @query
 def shot_deficit_report(spark, sf_dir):
     classes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("category"), "n_name")
-    items = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("category"))
-    counted = audits.class_balance(items, "category", classes, 12)
+    items = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("category"))
+    counted = audits.class_balance(items, "category", classes, 5)
     return classes.join(counted, "category").select("n_name", "n", F.col("missing").alias("deficit"))
 
 
@@ -620,8 +620,14 @@ def source_readiness(spark, sf_dir):
     return out.select("source", "rows", "classes", "short_classes")
 
 
+def _large_classes(spark, sf_dir):
+    """Nations with more customers than the mean."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.avg("n").alias("mean")))).where("n > mean").select("k")  # one row
+
+
 def _class_names(spark, sf_dir):
-    seen = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("k"))
+    seen = _large_classes(spark, sf_dir)
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("category"))
     return seen.join(names, "k").select(F.when(F.col("k") % 9 == 4, F.concat(F.lit("odd "), "category")).otherwise(F.col("category")).alias("category")), names.select("category")
 
@@ -649,7 +655,8 @@ def set_partition_check(spark, sf_dir):
 def taxonomy_partition_check(spark, sf_dir):
     t = taxonomy.taxonomy(spark)
     t = t.where(F.col("role") != "ood_fallback")
-    whole = t.where("scheme = 'all30'").select("category")
+    of_parts = table(spark, sf_dir, "part").select((F.col("p_partkey") % 30).cast("int").alias("ordinal")).distinct()  # the class of each part
+    whole = t.where("scheme = 'all30'").join(of_parts, "ordinal").select("category")
     out = None
     for scheme in ("destroyer_id", "tugboat_id", "osr_near", "pseudo_ood"):
         one = sets.partition_report(t.where(F.col("scheme") == scheme).select(F.col("role").alias("part"), "category"), whole).withColumn("scheme", F.lit(scheme))
@@ -674,7 +681,7 @@ def distinct_think(spark, sf_dir):
 
 @query
 def class_coverage(spark, sf_dir):
-    seen = table(spark, sf_dir, "customer").where("c_acctbal > 9800").agg(F.count_distinct("c_nationkey").alias("seen"))
+    seen = _large_classes(spark, sf_dir).agg(F.count_distinct("k").alias("seen"))
     return seen.join(F.broadcast(table(spark, sf_dir, "nation").agg(F.count("*").alias("expected")))).withColumn("coverage", r6(F.col("seen") / F.col("expected")))
 
 

@@ -9,7 +9,7 @@ from keelson.plans.catalogue import ORACLES, QUERIES
 from .conftest import SF, duck_rows, rows
 
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-ROWS_ONLY = {"prototype_kmeans", "plane_coordinates"}
+ROWS_ONLY = {"prototype_kmeans", "plane_coordinates", "neighbour_places"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
