@@ -10,6 +10,7 @@ from ..functions import confidence as C
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import aggregates, sampling
+from ..scratch import stored
 
 # --- Fixed values: prompts and templates. ---
 IDENTIFY = """This is an image containing a ship. Please identify the model of the ship based on the image.
@@ -246,9 +247,13 @@ def detection_records(images: DataFrame, annotations: DataFrame, categories: Dat
 
 
 def coco_from_voc(boxes: DataFrame, ordered_by: str = "name") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, annotations and categories from VOC boxes; categories are numbered by name or by first appearance."""
+    """Images, annotations and categories from VOC boxes; categories are numbered by name or by first appearance.
+
+    The boxes are kept in a table of the shared folder, so the files are read once.
+    """
     from ..operators.windows import first_seen_ids, sorted_ids
 
+    boxes = stored(boxes, "boxes")  # read once
     images = sorted_ids(boxes, "filename", "image_id")
     placed = boxes.join(images, "filename")
     order = F.struct("image_id", "pos")
