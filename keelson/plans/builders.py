@@ -254,10 +254,10 @@ def coco_from_voc(boxes: DataFrame, ordered_by: str = "name") -> tuple[DataFrame
     from ..operators.windows import first_seen_ids, sorted_ids
 
     boxes = stored(boxes, "boxes")  # read once
-    images = sorted_ids(boxes, "filename", "image_id")
+    images = stored(sorted_ids(boxes, "filename", "image_id"), "images")
     placed = boxes.join(images, "filename")
     order = F.struct("image_id", "pos")
-    cats = sorted_ids(boxes, "name", "category_id") if ordered_by == "name" else first_seen_ids(placed.withColumn("_o", order), "name", "_o", "category_id")
+    cats = stored(sorted_ids(boxes, "name", "category_id") if ordered_by == "name" else first_seen_ids(placed.withColumn("_o", order), "name", "_o", "category_id"), "categories")
     numbered = sampling.with_position(placed, ["image_id", "pos"], sampling.range_bucket(images, "image_id"), "annotation_id").join(cats, "name")
     w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
     out = numbered.select("annotation_id", "image_id", "category_id", G.corners_to_xywh(*(F.col(k) for k in ("xmin", "ymin", "xmax", "ymax"))).alias("bbox"), G.area(w, h).alias("area"))
