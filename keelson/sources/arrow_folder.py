@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -21,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..scratch import hadoop_path
 from .publish import recover, replaced
 
 # --- Fixed values: names of files and fields in a saved dataset. ---
@@ -202,9 +204,47 @@ class ArrowFolder(DataSource):
         return _Writer(self.options["path"].rstrip("/"), schema, overwrite)
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch], schema: pa.Schema, splits: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Batches of files that come whole."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            split = splits.get("/".join(path.rsplit("/", 2)[1:]))
+            with pa.ipc.open_stream(pa.BufferReader(content.as_buffer())) as stream:
+                for own in stream:
+                    columns = [pa.array([split] * own.num_rows, f.type) if split is not None and f.name == "split" else own.column(f.name).cast(f.type) for f in schema]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _by_spark(spark: SparkSession, path: str, split: str | None) -> DataFrame:
+    """As :func:`read_arrow`, where only Spark's own readers open the path: each file is one row, so it has to fit a task."""
+
+    def said(name: str) -> dict | None:
+        at, fs = hadoop_path(spark, f"{path}/{name}")
+        return json.loads(spark.read.text(f"{path}/{name}", wholetext=True).first()[0]) if fs.exists(at) else None
+
+    names = said(SPLITS)
+    folders = [""] if names is None else [f"{n}/" for n in names["splits"] if split in (None, n)]
+    states = {f: said(f + STATE) for f in folders}
+    if not folders or None in states.values():
+        raise FileNotFoundError(f"no dataset at {path}" + (f" with a split {split}" if split else ""))
+    if any(s.get(INDICES) for s in states.values()):
+        raise ValueError(f"{path} selects rows by an index; flatten it when it is saved")
+    files = [(f"{path}/{f}{x[FILE]}", f.rstrip("/")) for f, s in states.items() for x in s[FILES]]
+    whole = spark.read.format("binaryFile").load([f for f, _ in files]).select("path", "content")
+    head = spark.read.format("binaryFile").load(files[0][0]).select(F.substring("content", 1, 16 << 20).alias("h")).first()["h"]
+    own = pa.schema([pa.field(x.name, _plain(x.type), x.nullable) for x in pa.ipc.read_schema(pa.py_buffer(bytes(head))) if names is None or x.name != "split"])
+    schema = from_arrow_schema(own) if names is None else from_arrow_schema(own).add("split", "string")
+    of_file = {} if names is None else {"/".join(f.rsplit("/", 2)[1:]): s for f, s in files}
+    return whole.mapInArrow(partial(_unpacked, schema=to_arrow_schema(schema), splits=of_file), schema)
+
+
 def read_arrow(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """A saved dataset of Arrow files; of several splits all with a column ``split``, or one of them."""
     recover(spark, path)
+    try:
+        file_system(path)
+    except (pa.ArrowInvalid, OSError):  # a scheme that pyarrow doesn't know or can't open here
+        return _by_spark(spark, path, split)
     spark.dataSource.register(ArrowFolder)
     reader = spark.read.format("arrow_folder")
     return (reader if split is None else reader.option("split", split)).load(path)

@@ -49,6 +49,22 @@ def test_splits(spark, tmp_path, nested):
         A.read_arrow(spark, path, "test").count()
 
 
+def test_by_sparks_own_readers(spark, tmp_path, nested, monkeypatch):
+    """Where pyarrow can't open a path."""
+    flat, path = str(tmp_path / "flat"), str(tmp_path / "set")
+    A.save_arrow(nested.drop("split"), flat)
+    A.save_arrow(nested, path, "split")
+
+    def unknown(_):
+        raise pa.ArrowInvalid("Unrecognized filesystem type")
+
+    monkeypatch.setattr(A, "file_system", unknown)
+    assert tidy(A.read_arrow(spark, flat)) == tidy(nested.drop("split")) and tidy(A.read_arrow(spark, path)) == tidy(nested)
+    assert tidy(A.read_arrow(spark, path, "val").drop("split")) == tidy(nested.where("split = 'val'").drop("split"))
+    with pytest.raises(FileNotFoundError):
+        A.read_arrow(spark, path, "none")
+
+
 def test_a_failed_task_leaves_what_was_there(spark, tmp_path, nested):
     path = str(tmp_path / "set")
     fails = nested.withColumn("name", F.when(F.col("id") == 59, F.raise_error(F.lit("broken row"))).otherwise(F.col("name")))
