@@ -64,3 +64,16 @@ def test_missing_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, None)], "id int, v array<double>")
     assert [r["z"] for r in df.orderBy("id").withColumn("z", vectors.or_zero(df["v"], 2)).collect()] == [[3.0, 4.0], [0.0, 0.0]]
     assert vectors.cluster_centres(df.where("id = 0").selectExpr("'a' AS c", "id", "v"), "c", "v", "id", 2).collect() == []
+
+
+def test_query(spark):
+    """The catalogue's query, class by class."""
+    from keelson.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = queries._few(spark, sf, 16).orderBy("vec_id").collect()
+    got = {r["label"]: r for r in queries.prototype_kmeans(spark, sf).collect()}
+    assert set(got) == {r["label"] for r in rows}
+    for label, found in got.items():
+        v = np.array([r["embedding"] for r in rows if r["label"] == label], float)
+        assert found["n"] == len(v) and found["x0"] == pytest.approx(plain_prototype(v)[0], abs=2e-6)
