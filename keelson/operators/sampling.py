@@ -96,14 +96,15 @@ def equal_quota_sample(df: DataFrame, by: str, id_col: str, target: int, classes
     return k_shot(df, by, id_col, max(1, target // classes), seed)
 
 
-def running_budget(counts: DataFrame, by: str, per_class: int, cap: int) -> DataFrame:
-    """``(by, n, raw, take)``: ``min(n, per_class)`` of each class in name order while the total stays under ``cap``."""
+def running_budget(counts: DataFrame, by: str, per_class: int, cap: int | DataFrame) -> DataFrame:
+    """``(by, n, raw, take)``: ``min(n, per_class)`` of each class in name order while the total stays under ``cap``, a number or a table of one."""
     counts = counts.withColumn("raw", F.least(F.col("n"), F.lit(per_class)))
     out = with_running(counts, [by], sampled_ranges(counts, by), cum=F.col("raw"))
-    return out.withColumn("take", F.least(F.col("cum"), F.lit(cap)) - F.least(F.col("cum") - F.col("raw"), F.lit(cap))).drop("cum")
+    out = out.withColumn("_cap", F.lit(cap)) if isinstance(cap, int) else out.join(F.broadcast(cap.toDF("_cap")))  # one row
+    return out.withColumn("take", F.least("cum", "_cap") - F.least(F.col("cum") - F.col("raw"), F.col("_cap"))).drop("cum", "_cap")
 
 
-def budgeted_sample(df: DataFrame, by: str, id_col: str, per_class: int, cap: int, seed: int = SEED) -> DataFrame:
+def budgeted_sample(df: DataFrame, by: str, id_col: str, per_class: int, cap: int | DataFrame, seed: int = SEED) -> DataFrame:
     """Rows that :func:`running_budget` grants each class."""
     grant = running_budget(class_counts(df, by), by, per_class, cap).select(by, "take")
     return with_rank(df, by, id_col, seed).where(F.col("rn") <= per_class).join(grant, by).where(F.col("rn") <= F.col("take")).drop("take")

@@ -211,12 +211,12 @@ def osr_rows(known: DataFrame, other: DataFrame, shots: int, seed: int = samplin
     With ``noise`` the confidence targets of unknown rows vary normally, by a hash of the path.
     """
     per_class = int(shots * taxonomy.osr_multiplier(shots))
-    classes = known.select("category").distinct().count()
+    cap = known.agg(F.floor(F.count_distinct("category") * shots * 0.5))
     ids = sampling.k_shot(known, "category", "path", shots, seed).join(sampling.class_counts(known, "category"), "category")
     used = F.least(F.col("n"), F.lit(shots))
     ids = ids.withColumn("confidence", C.id_confidence(F.col("rn"), used, C.uniform(seed, F.col("path"), "id")))
     ids = ids.withColumn("split", F.when(F.col("rn") <= F.floor(used / 2), "support").otherwise("query"))
-    ood = sampling.budgeted_sample(other, "category", "path", per_class, int(classes * shots * 0.5), seed)
+    ood = sampling.budgeted_sample(other, "category", "path", per_class, cap, seed)
     s = F.col("similarity")
     target = C.pseudo_confidence(s, F.col("category").isin(taxonomy.HARD_OOD), C.normal(seed, F.col("path")) if noise else None)
     none = F.lit(None)
