@@ -139,12 +139,15 @@ def encoded(content: Column) -> Column:
 
 
 def two_digits(c: Column) -> Column:
-    """Two decimals of a number from 0 to 7, rounded by the exact binary value (so 0.175 gives 0.17 and 0.165 gives 0.17), ties to even."""
-    scaled = (c * float(1 << 60)).cast("long")  # exact: only the exponent changes
+    """Two decimals of a number below 2**63 in size, rounded by the exact binary value (so 0.175 gives 0.17 and 0.165 gives 0.17), ties to even."""
+    size = F.abs(c)
+    ones = F.floor(size)
+    scaled = ((size - ones.cast("double")) * float(1 << 60)).cast("long")  # exact: what is left of the whole number loses no bits, then only the exponent changes
     low = scaled.bitwiseAND((1 << 30) - 1) * 100
     high = F.shiftright(scaled, 30) * 100 + F.shiftright(low, 30)
     rest = F.shiftleft(high.bitwiseAND((1 << 30) - 1), 30) + low.bitwiseAND((1 << 30) - 1)
     whole, half = F.shiftright(high, 30), F.lit(1 << 59)
     up = (rest > half) | ((rest == half) & (whole % 2 == 1))
     n = whole + up.cast("long")
-    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    over = (n == 100).cast("long")
+    return F.concat(F.when(c < 0, "-").otherwise(""), (ones + over).cast("string"), F.lit("."), F.lpad((n - over * 100).cast("string"), 2, "0"))

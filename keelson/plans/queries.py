@@ -710,7 +710,7 @@ def shots_in_names(spark, sf_dir):
 @query
 def number_truncation(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", X.truncated_number(F.format_string("%.2f", F.col("o_totalprice") / 1000)).alias("n"))
+    return orders.select("o_orderkey", X.truncated_number(X.two_digits(F.col("o_totalprice") / 1000)).alias("n"))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from keelson.functions import geometry as G
 from keelson.functions import text as X
 from keelson.operators import aggregates, audits, detection, joins, sampling, sets, vectors, windows
 from keelson.plans import builders as P
+from keelson.plans.catalogue import ORACLES, QUERIES
 
 
 def one(spark, column):
@@ -281,6 +283,20 @@ def test_two_digits(spark):
     assert [r[0] for r in df.select(X.two_digits(F.col("v"))).collect()] == [f"{v:.2f}" for v in values]
 
 
+def test_two_digits_of_large_and_negative_numbers(spark):
+    rnd = random.Random(5)
+    values = [k + 0.995 for k in range(600)] + [0.125, 1e6 + 0.125, 99.999, 1e15 + 0.375, 4e18, -0.995, -17.995, -3.0] + [rnd.uniform(-1, 1) * 10 ** rnd.randint(-6, 15) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(X.two_digits(F.col("v"))).collect()] == [f"{v:.2f}" for v in values]
+
+
+def test_number_truncation_at_ties(spark, duck, tmp_path):
+    """Prices whose thousands end in .995 lie below or above the tie by their binary value."""
+    spark.range(1000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 1000 + 995).cast("double").alias("o_totalprice")).write.parquet(str(tmp_path / "orders.parquet"))
+    want = duck.sql(ORACLES["number_truncation"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'"))
+    assert sorted(map(tuple, QUERIES["number_truncation"](spark, str(tmp_path)).collect())) == sorted(want.fetchall())
+
+
 def test_result_row_and_confidence(spark):
     df = spark.createDataFrame([("Tug boat", "tugboat", None), (None, "fso", "x" * 200), ("", "fso", None)], "a string, t string, e string")
     rows = df.select(*P.result_row(F.col("a"), F.col("t"), F.col("e"))).collect()
