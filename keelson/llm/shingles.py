@@ -2,9 +2,12 @@
 
 Two texts are near copies if the sets of their ``WORDS``-word shingles (words lower-cased
 in A-Z; of all words where there are fewer) have a Jaccard similarity of ``LEAST`` or
-more.  Equal sets are one *member*, named by a hash of the set.  Members meet where one
-of ``BANDS`` groups of ``ROWS`` minima over the set is equal, which for a pair of
-similarity s fails with probability (1 - s**4)**24: 3 in a million at 0.8, none at 1.
+more.  Equal sets are one *member*, named by a hash of the set.  Members first meet by
+their SimHash fingerprints: those at distance 2 or less, found in the cells of op2's pivot
+distance table.  A pair of similarity 0.8 may be ten bits or more apart, where no cells
+can be exact, so members also meet where one of ``BANDS`` groups of ``ROWS`` minima over
+the set is equal, which for a pair of similarity s fails with probability
+(1 - s**4)**24: 3 in a million at 0.8, none at 1.
 What meets is verified on the sets themselves, so no pair below ``LEAST`` is linked.
 
 Groups of ``SMALL`` members give all their pairs.  In a larger one the task that holds it
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import stored
+from .simhash import BITS, near_links
 from .textops import chunks, mixed, signed, split_words, word_hashes
 
 WORDS, LEAST = 5, 0.8
@@ -76,6 +80,20 @@ def bands(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_prints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a bit is 1 if it is in over half the shingles' hashes; 0 for the empty one."""
+    n = np.diff(off)
+    full = np.flatnonzero(n)
+    out = np.zeros(len(n), np.uint64)
+    if len(full):
+        ones = np.zeros((len(full), BITS), np.int32)
+        for k in range(BITS // 8):  # eight bits at a time, for memory
+            byte = ((h >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8)
+            ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(np.unpackbits(byte[:, None], axis=1, bitorder="little"), off[full], axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two ascending sets, neither empty."""
     if min(len(a), len(b)) < LEAST * max(len(a), len(b)):
@@ -91,7 +109,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = bands(h, off)
         at = np.concatenate(([0], np.cumsum((np.diff(off) > 0) * BANDS)))
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(mine.ravel())))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(signed(set_keys(h, off))), lists], ["doc_id", "key", "bands"])
+        numbers = [pa.array(signed(x)) for x in (set_keys(h, off), set_prints(h, off))]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *numbers, lists], ["doc_id", "key", "fp", "bands"])
 
 
 def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +234,19 @@ def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(member[pairs[:, k]], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs of members ``(key, fp)`` that keep all links of fingerprints within two bits, by the pivot table's cells.
+
+    Members of one fingerprint meet its first; a text without words has no part in it.
+    """
+    some = members.where("key <> 0").select("key", "fp")
+    heads = stored(some.groupBy("fp").agg(F.min("key").alias("head")), "heads")
+    same = some.join(heads, "fp").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_head")) for x in ("a", "b"))
+    other = near_links(heads.select("fp")).join(a, "a").join(b, "b").select("a_head", "b_head")
+    return same.union(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``(doc_id, component_id)`` for every row of ``docs`` with a doc_id.
 
@@ -222,11 +254,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     without words (or null) are copies of each other.  Other columns are not read.
     """
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stored(source.mapInArrow(_sketches, "doc_id long, key long, bands array<long>"), "sketches")
-    members = stored(sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "members")
+    sketches = stored(source.mapInArrow(_sketches, "doc_id long, key long, fp long, bands array<long>"), "sketches")
+    members = stored(sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "members")
     dealt = members.select("key", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band", "key")
     met = stored(dealt.mapInArrow(partial(_met, small=SMALL), "a long, b long, large boolean"), "met")
-    pairs = met.where("not large").select("a", "b").distinct()
+    pairs = stored(met.where("not large").select("a", "b").union(pivot_pairs(members)).distinct(), "pairs")
     crowds = met.where("large").select(F.col("a").alias("band"), F.col("b").alias("key"))
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowds.select("key")).distinct()
     texts = source.join(wanted.join(members, "key").select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")

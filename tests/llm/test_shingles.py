@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -52,3 +54,30 @@ def test_crowds_and_chains(spark, monkeypatch, small):
     docs = spark.createDataFrame([*texts.items(), (None, "a b")], "doc_id long, text string")
     got = [r["doc_id"] for r in shingles.keep_first(docs).collect()]
     assert None in got and set(got) - {None} == plain_kept(texts) and len(got) == len(set(got))
+
+
+def test_members_meet_in_the_pivot_table(spark):
+    """Fingerprints of sets bit by bit, and all links within two bits by the cells alone."""
+    rnd = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[k // 8 * 9 : k // 8 * 9 + 300 - k % 8]) for k in range(64)] + ["", "a b"]
+    h, off = shingles.shingle_sets(pa.array(texts))
+    prints = shingles.set_prints(h, off)
+    for k in rnd.integers(0, len(texts), 8):
+        own = [int(x) for x in h[off[k] : off[k + 1]]]
+        assert int(prints[k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
+    keys = shingles.set_keys(h, off).astype(np.int64)
+    rows = [(int(k), int(x)) for k, x in zip(keys, prints.astype(np.int64), strict=True)]
+    got = [(r["a"], r["b"]) for r in shingles.pivot_pairs(spark.createDataFrame(rows, "key long, fp long")).collect()]
+    full = [(k, x % 2**64) for k, x in rows if k]
+    root = {k: k for k, _ in full}
+
+    def reach(pairs, root):
+        root = dict(root)
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if r == y else r for k, r in root.items()}
+        return root
+
+    near = [(a, b) for (a, x), (b, y) in combinations(full, 2) if (x ^ y).bit_count() <= 2]
+    assert len(near) > 10 and reach(got, root) == reach(near, root)
