@@ -43,7 +43,7 @@ def coco_documents(spark, sf_dir):
     W.save_arrays(lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("image_id"), (F.col("l_suppkey") % 25).alias("category_id"), box.alias("bbox"), (F.col("l_quantity") * 7).cast("double").alias("area"), F.lit(0).alias("iscrowd")), paths["annotations"], "annotations")
     W.save_arrays(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), paths["categories"], "categories")
     images, annotations, categories = R.coco(spark, list(paths.values()))
-    met = annotations.join(images, "image_id").join(R.label_index(categories), "category_id").join(categories, "category_id")
+    met = annotations.join(images, "image_id").join(F.broadcast(R.label_index(categories)), "category_id").join(F.broadcast(categories), "category_id")  # a row a category
     return met.groupBy("label", "name").agg(F.count("*").alias("boxes"), F.count_distinct("file_name").alias("files"), r6(F.sum("area")).alias("area"), r6(F.sum(F.get("bbox", 0))).alias("x")).withColumn("label", long("label"))
 
 

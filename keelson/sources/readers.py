@@ -73,9 +73,18 @@ def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFra
     return df if split is None else df.where(F.col("split") == split)
 
 
+def _parsed(found: DataFrame, schema: T.StructType) -> DataFrame:
+    """The objects in ``value`` as rows.
+
+    A generator, so that conditions on the fields don't move below it: there each would
+    parse every object again, those of other keys included.
+    """
+    return found.select(F.inline(F.array(F.from_json("value", schema))))
+
+
 def _objects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The objects of a JSON array as rows; other members are left out."""
-    return members(spark, path, 1).select(F.from_json("value", schema).alias("_r")).select("_r.*")
+    return _parsed(members(spark, path, 1), schema)
 
 
 def record_array(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +101,7 @@ def coco(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFra
     found = members(spark, path, 2)
 
     def array(key: str) -> DataFrame:
-        return found.where(F.col("key") == key).select(F.from_json("value", schemas.COCO[key].dataType.elementType).alias("_r")).select("_r.*")
+        return _parsed(found.where(F.col("key") == key), schemas.COCO[key].dataType.elementType)
 
     images = array("images").select(F.col("id").alias("image_id"), "file_name", "width", "height")
     annotations = array("annotations").withColumnRenamed("id", "annotation_id")

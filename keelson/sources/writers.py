@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +44,17 @@ def _bracketed(batches: Iterator[pa.RecordBatch], opens: str, closes: str) -> It
     """Lines of one JSON array, a line ahead of what is written; an empty part stays empty."""
     last = None
     for batch in batches:
-        out = []
-        for value in batch.column(0).to_pylist():
-            if last is not None:
-                out.append(last + ",")
-            last = (opens if last is None else "") + value
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        values = batch.column(0)
+        if not len(values):
+            continue
+        if last is None:
+            last = pa.array([opens + values[0].as_py()], pa.string())
+            values = values[1:]
+        out = pa.concat_arrays([last, values])
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(out[:-1], ",", "")], ["value"])
+        last = out[-1:]
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([last + closes], pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(last, closes, "")], ["value"])
 
 
 def save_arrays(df: DataFrame, path: str, key: str | None = None) -> None:

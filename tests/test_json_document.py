@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from keelson.sources import json_document as J
+from keelson.sources import readers as R
 
 
 def anything(rnd, deep=0):
@@ -107,3 +108,26 @@ def test_several_files(spark, tmp_path, small_ranges):
         (tmp_path / f"{k}.json").write_text(json.dumps([{"file": k, "n": n, "t": "x{" * n} for n in range(40)]))
     got = J.members(spark, str(tmp_path), 1).selectExpr("from_json(value, 'file long, n long') AS r").select("r.*").collect()
     assert sorted(map(tuple, got)) == [(k, n) for k in range(3) for n in range(40)]
+
+
+def test_conditions_on_fields_are_met_above_the_parser(spark, tmp_path):
+    """Members of other keys aren't parsed, and no object is parsed again for a condition or a join."""
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps({"images": [{"id": 1, "file_name": "a"}], "annotations": [{"id": n, "image_id": n % 2, "area": n} for n in range(9)], "categories": []}))
+    images, annotations, _ = R.coco(spark, str(path))
+    met = annotations.where("area > 2").join(images, "image_id")
+    assert sorted(r["annotation_id"] for r in met.collect()) == [3, 5, 7]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "from_json" in line]
+
+
+def test_objects_are_cut_together(monkeypatch):
+    """Objects of one key leave a range in one batch for all the bytes scanned together, whatever else is among them."""
+    monkeypatch.setattr(J, "_batch", lambda rows, schema: pytest.fail("row by row") if len(rows) > 9 else pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema))
+    doc = {"a": [{"k": n, "t": "}{" * (n % 3), "in": [{}, {"x": [n]}]} for n in range(500)] + [7, [{}], None], "b": [{"k": -1}]}
+    fragments = json.dumps(doc).split("}")
+    whole = lambda: iter([pa.RecordBatch.from_arrays([pa.array(fragments), pa.array(["f"] * len(fragments)), pa.array([0] * len(fragments))], ["value", "file", "block"])])
+    sums = [r for b in J._sums(whole()) for r in b.to_pylist()]
+    batches = [b for b in J._parts(whole(), J._starts(sums, 2), 2) if J.WHOLE in b.column("kind").to_pylist()]
+    assert [b.num_rows for b in batches] == [501]
+    same([r for b in batches for r in b.to_pylist()], objects(doc, 2))
