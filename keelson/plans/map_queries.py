@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import images
 from ..operators import neighbours, vectors
 from ..operators.maps import map_chain, map_function, map_rows
+from ..scratch import stored
 from .queries import DIMS, Query, long, r6, table
 
 QUERIES: dict[str, Query] = {}
@@ -97,8 +98,9 @@ def neighbours_kept(spark, sf_dir):
     """Whether that map keeps more of each row's neighbours than the principal plane."""
     rows = table(spark, sf_dir, "embeddings")
     flat = vectors.plane(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "v").select("id", "x", "y")
-    places = neighbours.neighbour_map(rows, "vec_id", "embedding", steps=30)
-    kept = [neighbours.preserved(rows, "vec_id", "embedding", p).select(F.col("kept").alias(f"kept{k}")) for k, p in enumerate((places, flat))]
+    graph = stored(neighbours.nearest_neighbours(rows, "vec_id", "embedding", 30), "graph")  # of the map and of both measures
+    places = neighbours.neighbour_map(rows, "vec_id", "embedding", steps=30, graph=graph)
+    kept = [neighbours.preserved(rows, "vec_id", "embedding", p, graph=graph).select(F.col("kept").alias(f"kept{k}")) for k, p in enumerate((places, flat))]
     both = kept[0].join(F.broadcast(kept[1])).join(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row each
     return both.select("n", (F.col("kept0") > F.col("kept1")).alias("keeps_more"))
 
